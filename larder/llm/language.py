@@ -27,7 +27,6 @@ LANGUAGES = ("en", "fr", "de", "es", "it", "nl", "pt")
 #: Bound of the labelled sample: documents per label, and their length in code points.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, (100, 20_000)
 
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?…\n:;()\[\]]+|,")
 #: Longest clause that is labelled as a whole; longer ones are taken in pieces of this many words.
