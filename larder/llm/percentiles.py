@@ -11,20 +11,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.session import broadcast_if_small, materialize
 
 SIGN = -(2**63)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def ordered_key(x: pd.Series) -> pd.Series:
     """A bigint whose unsigned order is the order of the doubles; -0.0 counts as 0.0."""
     b = (x.to_numpy(dtype="float64") + 0.0).view("int64")
     return pd.Series(b ^ ((b >> 63) | np.int64(SIGN)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def key_value(k: pd.Series) -> pd.Series:
     b = k.to_numpy(dtype="int64")
     return pd.Series((b ^ (~(b >> 63) | np.int64(SIGN))).view("float64"))
