@@ -9,26 +9,25 @@ from larder.functions import text as X
 from larder.functions.numeric import steady_round
 from larder.functions.vocabulary import JUNK, taxonomy
 
-TAGS = "array<struct<tag:string,dimension:string,matched_term:string>>"
 
-
-def tags_of(text: Column, rules: list[tuple[str, str, list[str]]] | None = None) -> Column:
-    """The tags of a text with the first keyword, in list order, that stands in it as a word.
+def tags_of(t: Column, rules: list[tuple[str, str, list[str]]] | None = None) -> Column:
+    """The tags of a normalised text with the first keyword, in list order, that stands in it as a word.
 
     One alternation per tag decides; only for tags that match is the first keyword looked for. Both run in the JVM.
     """
-    t = X.normalize_for_tags(text)
     found = []
     for tag, dimension, keys in rules or taxonomy():
         word = F.coalesce(*[F.when(t.rlike(rf"\b{k}\b"), F.lit(k)) for k in keys])
-        hit = F.struct(F.lit(tag).alias("tag"), F.lit(dimension).alias("dimension"), X.normalize_term(word).alias("matched_term"))
+        hit = F.struct(F.lit(tag).alias("tag"), F.lit(dimension).alias("dimension"), word.alias("word"))
         found.append(F.when(t.rlike(X.keyword_pattern(keys)), hit))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def tag_rows(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     """(keep..., tag, dimension, matched_term): a row per text and tag."""
-    return df.select(*keep, F.explode(tags_of(text)).alias("_t")).select(*keep, "_t.tag", "_t.dimension", "_t.matched_term")
+    ready = df.select(*keep, X.normalize_for_tags(text).alias("_text"))
+    hits = ready.select(*keep, F.explode(tags_of(F.col("_text"))).alias("_t"))
+    return hits.select(*keep, "_t.tag", "_t.dimension", X.normalize_term(F.col("_t.word")).alias("matched_term"))
 
 
 def weakly_tagged(df: DataFrame, tags: DataFrame, key: str, most: int = 1) -> DataFrame:
