@@ -26,13 +26,10 @@ NEGATE, EXCLAIM, MOST_EXCLAIM, ALPHA = -0.74, 0.292, 4, 15
 
 def lexicon_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
     """Compound score between -1 and 1; null for null or blank text, 0 where no word is known."""
-    words = F.regexp_extract_all(F.lower(F.replace(text, F.lit("'"), F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.replace(text, F.lit("'"), F.lit(""))), F.lit("[a-z]+"), F.lit(0))
     table = F.create_map(*[x for w, v in lexicon.items() for x in (F.lit(w), F.lit(float(v)))])
     boost = F.create_map(*[x for w, v in BOOSTERS.items() for x in (F.lit(w), F.lit(float(v)))])
     null = F.lit(None).cast("string")
-    before = lambda k: F.slice(F.concat(F.array(*[null] * k), words), 1, F.size(words))
-    # each word with the three before it, so that the word list is built once per text
-    window = F.arrays_zip(words.alias("w"), before(1).alias("a"), before(2).alias("b"), before(3).alias("c"))
 
     def valence(x: Column) -> Column:
         v = table[x["w"]]
@@ -40,11 +37,23 @@ def lexicon_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
         no = [F.coalesce(x[k].isin(*NEGATIONS), F.lit(False)) for k in ("a", "b", "c")]
         return F.coalesce(F.when(no[0] | no[1] | no[2], v * NEGATE).otherwise(v), F.lit(0.0))
 
-    known = F.filter(window, lambda x: x["w"].isin(*lexicon))
-    s = F.aggregate(F.transform(known, valence), F.lit(0.0), lambda a, v: a + v)
+    def total(words: Column) -> Column:
+        before = lambda k: F.slice(F.concat(F.array(*[null] * k), words), 1, F.size(words))
+        window = F.arrays_zip(words.alias("w"), before(1).alias("a"), before(2).alias("b"), before(3).alias("c"))
+        known = F.filter(window, lambda x: x["w"].isin(*lexicon))
+        return F.aggregate(F.transform(known, valence), F.lit(0.0), lambda a, v: a + v)
+
+    # inside a lambda the word list of a text is built once, however often it is used
     marks = F.least(F.regexp_count(text, F.lit("!")), F.lit(MOST_EXCLAIM)) * EXCLAIM
-    s = s + F.signum(s) * marks
-    return F.when(F.trim(text) != "", s / F.sqrt(s * s + ALPHA))
+
+    def compound(t: Column) -> Column:
+        return t / F.sqrt(t * t + ALPHA)
+
+    def emphasised(t: Column) -> Column:
+        return t + F.signum(t) * marks
+
+    once = F.transform(F.transform(F.transform(F.array(found), total), emphasised), compound)
+    return F.when(F.trim(text) != "", F.get(once, F.lit(0)))
 
 
 def model_score(text: Column, scorer: Callable[[list[str]], list[float]]) -> Column:

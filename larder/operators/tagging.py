@@ -53,8 +53,8 @@ def term_index(recipes: DataFrame, tags: DataFrame, id_col: str, name_col: str,
 def phrase_scores(blocks: DataFrame, body: str) -> DataFrame:
     """(term, raw_frequency, normalised_score): dish phrases of listings with their count and its z-score over all terms."""
     junk = F.col(body).rlike("(?i)" + "|".join(JUNK))
-    parts = blocks.filter((F.length(body) >= 5) & ~junk).select(F.explode(X.phrase_parts(F.col(body))).alias("_p"))
-    terms = parts.select(X.clean_phrase(F.col("_p")).alias("term")).filter(X.is_dish_phrase(F.col("term")))
+    cleaned = F.transform(X.phrase_parts(F.col(body)), X.clean_phrase)
+    terms = blocks.filter((F.length(body) >= 5) & ~junk).select(F.explode(F.filter(cleaned, X.is_dish_phrase)).alias("term"))
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("raw_frequency"))
     return with_z(counts, "raw_frequency", "normalised_score")
 
