@@ -41,7 +41,7 @@ def cooccurrence(
     baskets and in the share ``min_share`` of a field's baskets come out. Baskets of more than ``chunk_items`` items
     are split; no basket is cut short.
     """
-    once = materialize(rows.filter(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct(), "baskets")
+    once = materialize(rows.select("field_name", "basket", "item").filter(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct(), "baskets")
     singles = once.groupBy("field_name", "item").agg(F.count(F.lit(1)).alias("n"))
     sizes = once.groupBy("field_name", "basket").agg(F.count(F.lit(1)).alias("size"))
     totals = sizes.groupBy("field_name").agg(F.count(F.lit(1)).alias("n_baskets"))

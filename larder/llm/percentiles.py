@@ -76,7 +76,7 @@ def radix_percentiles(values: DataFrame, pcts: list[int], bits: int = 16) -> Dat
     group; groups without values give no row. ``bits`` divides 64; counts per group have at most 2^bits rows.
     """
     group = ["field_name", "grp"]
-    state = None
+    values, state = values.select(*group, "key"), None
     for done in range(0, 64, bits):
         rows = values
         by = [*group, "prefix"]
