@@ -97,18 +97,14 @@ def split_packed(
     rules = long.select("_skel").distinct().mapInPandas(_resolve, f"_skel string, _rule {RULE}")
     rules = materialize(rules, "skeletons")
     joined = long.join(broadcast_if_small(rules, limit=broadcast_rows), "_skel")
-    toks = tokens(F.col("_text"))
-    values = F.transform(
-        F.col("_rule"),
-        lambda r: F.btrim(
-            _unescape(F.array_join(F.slice(F.col("_toks"), r["first"], r["n"]), ""), r["quote"]), F.lit(" \t\r\n")
-        ),
-    )
-    kept = (
-        joined.withColumn("_toks", toks)
-        .select("_id", "_field", F.filter(values, lambda v: v != "").alias("_values"))
-        .select("_id", "_field", F.posexplode("_values").alias("_p", "_v"))
-    )
+
+    def pick(toks: Column) -> Column:
+        value = lambda r: F.btrim(_unescape(F.array_join(F.slice(toks, r["first"], r["n"]), ""), r["quote"]), F.lit(" \t\r\n"))
+        return F.filter(F.transform(F.col("_rule"), value), lambda v: v != "")
+
+    # inside a lambda the tokens of a text are built once, however many values it has
+    values = F.get(F.transform(F.array(tokens(F.col("_text"))), pick), F.lit(0))
+    kept = joined.select("_id", "_field", F.posexplode(values).alias("_p", "_v"))
     return kept.select(
         F.col("_id").alias(out_id),
         F.col("_field").alias("field_name"),
