@@ -39,8 +39,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) ->
         mine = q.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else q
         got = mine.collect()
         ids = np.array([r["id"] for r in got], dtype=np.int64)
-        m = np.array([r["embedding"] for r in got], dtype=np.float64).reshape(len(got), -1)
-        norm = np.linalg.norm(m, axis=1) if len(got) else np.zeros(0)
+        m = np.array([r["embedding"] for r in got], dtype=np.float64).reshape(len(got), -1 if got else 0)
+        norm = np.linalg.norm(m, axis=1)
         ids, m = ids[norm > 0], m[norm > 0] / norm[norm > 0, None]
         shared = spark.sparkContext.broadcast((ids, m))
 
