@@ -234,10 +234,14 @@ def label_segments(docs: DataFrame, detector: Detector, doc_id: str, text: str)
 
 
 def document_languages(segments: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_words, share, confidence): the languages of each document; share of all its words."""
+    """(doc_id, lang, n_words, n_all, share, confidence): the languages of each document; share of all its words.
+
+    The sums per document and language are written first, so that the texts are labelled once.
+    """
     per = segments.groupBy("doc_id", "lang").agg(
         F.sum("n_words").alias("n_words"), (F.sum(F.col("confidence") * F.col("n_words")) / F.sum("n_words")).alias("confidence")
     )
+    per = materialize(per, "languages")
     total = per.groupBy("doc_id").agg(F.sum("n_words").alias("n_all"))
     return per.join(total, "doc_id").select("doc_id", "lang", "n_words", "n_all", (F.col("n_words") / F.col("n_all")).alias("share"), "confidence")
 
