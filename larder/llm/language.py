@@ -31,6 +31,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?…\n:;()\[\]]+|,")
 #: Longest clause that is labelled as a whole; longer ones are taken in pieces of this many words.
 CLAUSE_WORDS = 16
+#: Words whose scores a task keeps.
+KNOWN_WORDS = 200_000
 #: Cost, in words, of a change of language at the end of a sentence and elsewhere.
 COST_END, COST_IN = 1.2, 3.0
 
@@ -100,24 +102,38 @@ class Detector:
     def __init__(self, filters: BitSlicedFilter, languages: tuple[str, ...] = LANGUAGES):
         self.filters, self.languages = filters, languages
         self.false = filters.false_rates(len(languages))
-        self._known: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Share of the word's n-grams that each language contains, corrected for false positives."""
-        got = self._known.get(word)
+        self._rows: dict[str, int] = {}
+        self._table = np.zeros((1024, len(languages)))
+
+    def score(self, word: str) -> np.ndarray:
+        """Share of the word's n-grams that each language contains, corrected for false positives and squared: a word
+        most of whose n-grams are foreign says little for the language of the rest."""
+        gs = grams(word)
+        n = np.zeros(len(self.languages))
+        for g in gs:
+            m = self.filters.mask(g)
+            for k in range(len(self.languages)):
+                n[k] += (m >> k) & 1
+        return np.clip((n / len(gs) - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1) ** 2
+
+    def row(self, word: str) -> int:
+        """The word's row in the table of scores, which is started anew when it has become large."""
+        got = self._rows.get(word)
         if got is None:
-            gs = grams(word)
-            n = np.zeros(len(self.languages))
-            for g in gs:
-                m = self.filters.mask(g)
-                for k in range(len(self.languages)):
-                    n[k] += (m >> k) & 1
-            got = np.clip((n / len(gs) - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
-            got = got * got  # a word most of whose n-grams are foreign says little for the language of the rest
-            if len(self._known) < 200_000:
-                self._known[word] = got
+            got = self._rows[word] = len(self._rows)
+            if got == len(self._table):
+                self._table = np.concatenate([self._table, np.zeros_like(self._table)])
+            self._table[got] = self.score(word)
         return got
 
+    def scores(self, parts: list[list[str]]) -> np.ndarray:
+        """The summed scores of each list of words, none of them empty."""
+        if len(self._rows) > KNOWN_WORDS:
+            self._rows, self._table = {}, np.zeros((1024, len(self.languages)))
+        rows = [self.row(w) for ws in parts for w in ws]
+        starts = np.cumsum([0, *(len(ws) for ws in parts[:-1])])
+        return np.add.reduceat(self._table[rows], starts, axis=0)
+
     def segments(self, text: str | None) -> list[tuple[int, int, str | None, int, float]]:
         """(start, end, language, words, confidence) of each stretch of one language, by offsets into the NFKC text.
 
@@ -128,19 +144,8 @@ class Detector:
         cl = clauses(unicodedata.normalize("NFKC", text))
         if not cl:
             return []
-        score = np.array([np.sum([self.word(w) for w in ws], axis=0) for ws, *_ in cl])
-        best = score[0].copy()
-        back = np.zeros((len(cl), len(self.languages)), dtype=int)
-        for i in range(1, len(cl)):
-            top = int(np.argmax(best))
-            move = best[top] - cl[i][1]
-            stay = best >= move
-            back[i] = np.where(stay, np.arange(len(best)), top)
-            best = np.where(stay, best, move) + score[i]
-        path = [int(np.argmax(best))]
-        for i in range(len(cl) - 1, 0, -1):
-            path.append(int(back[i][path[-1]]))
-        path.reverse()
+        score = self.scores([c[0] for c in cl])
+        path = self._path(score, [c[1] for c in cl])
         out, i = [], 0
         while i < len(cl):
             j = i
@@ -155,6 +160,23 @@ class Detector:
             i = j
         return out
 
+    @staticmethod
+    def _path(score: np.ndarray, cost: list[float]) -> list[int]:
+        """The best language of each clause, a change before clause i costing ``cost[i]``."""
+        top = score.argmax(axis=1)
+        if (top == top[0]).all():  # no path is better than the best clause by clause without a change
+            return [int(top[0])] * len(score)
+        best, back = score[0].tolist(), []
+        for s, c in zip(score[1:].tolist(), cost[1:], strict=True):
+            k = best.index(max(best))
+            move = best[k] - c
+            back.append([j if b >= move else k for j, b in enumerate(best)])
+            best = [(b if b >= move else move) + x for b, x in zip(best, s, strict=True)]
+        path = [best.index(max(best))]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        return path[::-1]
+
 
 def _build(counts: dict[str, Counter], keep: float, log_slots: int) -> BitSlicedFilter:
     """A language contains an n-gram if its relative frequency there is at least ``keep`` of the highest one."""
@@ -190,7 +212,7 @@ def train(sample: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES,
             for _, cl in texts:
                 for ws, *_ in cl:
                     if len(ws) >= 3:
-                        s = np.sum([detector.word(w) for w in ws], axis=0)
+                        s = detector.scores([ws])[0]
                         k = int(np.argmax(s))
                         if s[k] > 1.15 * np.delete(s, k).max():
                             marked.append((languages[k], ws))
