@@ -141,3 +141,57 @@ def segment_labels(centroids: dict) -> dict[int, str]:
         if free and feature in centroids[free[0]].asDict():
             names[max(free, key=lambda c: centroids[c][feature])] = label
     return {c: names.get(c, SEGMENT_REST) for c in centroids}
+
+
+def hash_shape(n: int, least: float, miss: float = 0.001) -> tuple[int, int]:
+    """(bits, tables): buckets of about one of ``n`` random rows, and tables enough to miss a pair at cosine ``least``
+    with probability ``miss``; two vectors at angle t share a bucket with probability (1 - t / pi)^bits."""
+    bits = max(4, math.ceil(math.log2(max(n, 2))))
+    hit = (1 - math.acos(least) / math.pi) ** bits
+    return bits, math.ceil(math.log(miss) / math.log1p(-hit))
+
+
+def similar_vectors(df: DataFrame, least: float, near: int = 8, seed: int = 42) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of different vectors with cosine of at least ``least``, by sign hashing.
+
+    Equal vectors are one class beforehand (their smallest id stands for them), so copies give no pairs. The rows of all
+    tables are range-partitioned by bucket and, within it, by a projection, and each is compared with the next ``near``
+    of its bucket: the work is linear and a bucket that holds much of the data is spread over tasks. A dense bucket so
+    gives chains of pairs rather than all, which is what classes need. Null and zero vectors match nothing.
+    """
+    from pyspark.sql import types as T
+
+    from larder.session import materialize
+
+    ok = df.select(F.col("id").cast("bigint").alias("id"), "embedding").filter("id is not null and embedding is not null")
+    unit = materialize(ok.groupBy("embedding").agg(F.min("id").alias("id")), "vectors")
+    bits, tables = hash_shape(unit.count(), least)
+    place = T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("p", T.FloatType())]))
+
+    @F.pandas_udf(place)
+    def buckets(e: pd.Series) -> pd.Series:
+        x = np.stack(e.to_numpy()).astype(np.float64)
+        rng = np.random.default_rng(seed)
+        signs = (x @ rng.normal(size=(x.shape[1], tables * bits)) > 0).reshape(len(x), tables, bits)
+        key = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2) + (np.arange(tables, dtype=np.int64) << bits)
+        where = x @ rng.normal(size=(x.shape[1], tables))
+        return pd.Series([[{"k": int(a), "p": float(b)} for a, b in zip(u, v, strict=True)] for u, v in zip(key, where, strict=True)])
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k, i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            old = len(k)
+            k, i = np.concatenate([k, b["k"].to_numpy()]), np.concatenate([i, b["id"].to_numpy()])
+            for s in range(1, min(near, len(k) - 1) + 1):
+                same = np.flatnonzero(k[s:] == k[:-s])
+                same = same[same + s >= old]
+                u, v = i[same], i[same + s]
+                yield pd.DataFrame({"id": np.minimum(u, v), "other": np.maximum(u, v)})
+            k, i = k[-near:], i[-near:]
+
+    keyed = unit.select("id", F.explode(buckets("embedding")).alias("x")).select("id", "x.k", "x.p")
+    pairs = keyed.repartitionByRange("k", "p").sortWithinPartitions("k", "p", "id").mapInPandas(neighbours, "id bigint, other bigint").distinct()
+    v = unit.select(F.col("id").alias("other"), F.col("embedding").alias("f"))
+    s = cosine(F.col("embedding"), F.col("f"))
+    out = pairs.join(unit, "id").join(v, "other").withColumn("similarity", s).filter(F.col("similarity") >= least)
+    return out.select(F.col("id").alias("a"), F.col("other").alias("b"), "similarity")

@@ -56,6 +56,16 @@ def date_dimension(rows: DataFrame, col: str) -> DataFrame:
     )
 
 
+def new_dates(rows: DataFrame, col: str, stored: DataFrame | None) -> DataFrame:
+    """The days that ``stored`` lacks, numbered on from its highest date_id, so that stored ids stay as they are."""
+    if stored is None:
+        return date_dimension(rows, col)
+    day = F.col(col).cast("date")
+    fresh = rows.select(day.alias("full_date")).distinct().join(stored.select("full_date"), "full_date", "left_anti")
+    top = stored.agg(F.max("date_id")).first()[0] or 0
+    return date_dimension(fresh, "full_date").withColumn("date_id", (F.col("date_id") + top).cast("int"))
+
+
 def interaction_id(user: Column, recipe: Column, day: Column) -> Column:
     """60 bits of SHA-256 over user_recipe_date: the same id for the same review, whatever brought it."""
     text = F.concat_ws("_", user.cast("string"), recipe.cast("string"), day.cast("date").cast("string"))
