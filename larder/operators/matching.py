@@ -14,7 +14,7 @@ from larder.functions.vocabulary import (
     STRONG_MATCH,
     WEAK_MATCH,
 )
-from larder.session import materialize
+from larder.session import materialize, release
 
 
 def lexical_match(queries: DataFrame, terms: DataFrame) -> DataFrame:
@@ -134,7 +134,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
 
     mark = None
     for _ in range(rounds):
-        e = materialize(hook(hook(e, True), False), "edges")
+        old, e = e, materialize(hook(hook(e, True), False), "edges")
+        release(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.session import materialize
+from larder.session import materialize, release
 
 KEY = ["ref_field", "key"]
 PARENTS = "ref_field string, key bigint, born timestamp, gone timestamp"
@@ -90,6 +90,7 @@ class OrphanTracker:
     def apply(self, refs: DataFrame, parents: DataFrame, until) -> None:
         """Takes in the references up to ``until`` and the parent rows born or gone since the last batch."""
         known = self.parents.unionByName(parents.select("ref_field", "key", "born", "gone"))
+        old = self.parents
         self.parents = materialize(known.groupBy(*KEY, "born").agg(F.max("gone").alias("gone")).select("ref_field", "key", "born", "gone"), "parents")
         counts = materialize(refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_new")), "refs")
         found = materialize(self.probe(refs, counts).select("ref_field", "key", "interaction_id", "ref_at"), "orphans")
@@ -109,6 +110,8 @@ class OrphanTracker:
             )
         )
         merged = materialize(merged, "state")
+        release(counts)
+        release(old)
         gone = ~F.col("alive")
         self.snapshots.append(
             merged.groupBy("ref_field").agg(

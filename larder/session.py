@@ -35,10 +35,12 @@ def build_session(app: str = "larder", master: str | None = None, shuffle_partit
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a folder of our own only on one machine without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local-cluster[")) and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="larder-")
@@ -76,7 +78,16 @@ def materialize(df: DataFrame, name: str = "cut", partition_by: list[str] | None
     path = scratch_path(df.sparkSession, name)
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._larder_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes the files of a materialized table that nothing reads any more."""
+    path = getattr(df, "_larder_path", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
