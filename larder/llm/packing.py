@@ -183,7 +183,8 @@ def pack(docs: DataFrame, id_col: str, size: Column, capacity: int = 512) -> Dat
         base += times
     spans = spark.createDataFrame(rows, "size int, lo bigint, hi bigint, base bigint, per int, place int, fixed boolean")
     spans = spans.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "base", "per", "place", "fixed"))).alias("spans"))
-    ordered = number_in_groups(parts.filter("size > 0"), ["size"], ["item", "piece_no"], "nth")
+    salts = max(64, max(hist.values(), default=0) // 1_000_000)  # parts of the largest size hold about a million rows
+    ordered = number_in_groups(parts.filter("size > 0"), ["size"], ["item", "piece_no"], "nth", salts)
     at = ordered.join(F.broadcast(spans), "size").withColumn(  # at most ``capacity`` rows
         "s", F.filter("spans", lambda x: (x["lo"] <= F.col("nth")) & (x["hi"] > F.col("nth")))[0]
     )

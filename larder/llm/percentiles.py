@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.session import broadcast_if_small, materialize
+from larder.session import broadcast_if_small, materialize, release
 
 SIGN = -(2**63)
 
@@ -76,7 +76,7 @@ def radix_percentiles(values: DataFrame, pcts: list[int], bits: int = 16) -> Dat
     group; groups without values give no row. ``bits`` divides 64; counts per group have at most 2^bits rows.
     """
     group = ["field_name", "grp"]
-    values, state = values.select(*group, "key"), None
+    values, state, last = values.select(*group, "key"), None, None
     for done in range(0, 64, bits):
         rows = values
         by = [*group, "prefix"]
@@ -102,5 +102,8 @@ def radix_percentiles(values: DataFrame, pcts: list[int], bits: int = 16) -> Dat
         hit = cum.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
         prefix = F.shiftleft("prefix", bits).bitwiseOR(F.col("digit")) if done else F.col("digit")
         state = hit.select(*group, prefix.alias("prefix"), "pct", "total", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
-        state = materialize(state, "ranks")
+        old, state = last, materialize(state, "ranks")
+        if old is not None:
+            release(old)
+        last = state
     return state.select(*group, "pct", key_value("prefix").alias("value"), F.col("total").alias("n"))
