@@ -135,13 +135,14 @@ def shared_recipes(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("ingredient").agg(F.count(F.lit(1)).alias("n_recipes"))
 
 
-@R.add("substitute_exposure", f"""WITH {CLEAN}, {RECIPES}, s AS (SELECT DISTINCT candidate_ingredient i FROM serving_substitution_recommendations WHERE candidate_ingredient IS NOT NULL),
+@R.add("substitute_exposure", f"""WITH {CLEAN}, {RECIPES}, s AS (SELECT DISTINCT substitute_ingredient i FROM serving_substitution_recommendations WHERE substitute_ingredient IS NOT NULL AND updated_at >= TIMESTAMPTZ '2023-07-20 00:00:00+00'),
     x AS (SELECT DISTINCT id FROM (SELECT id, unnest(ingredients_canonical_list) i FROM r) JOIN s USING (i)),
     p AS (SELECT DISTINCT user_id, recipe_id FROM c WHERE recipe_id IN (SELECT id FROM r))
     SELECT user_id, count(*) n_recipes, {steady_sql('avg(CASE WHEN x.id IS NULL THEN 0 ELSE 1 END)')} AS exposure FROM p LEFT JOIN x ON x.id = p.recipe_id GROUP BY user_id""")
 def substitute_exposure(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of a user's reviewed recipes with an ingredient that can be substituted."""
-    names = table(spark, sf, "serving_substitution_recommendations").select(F.col("candidate_ingredient").alias("i")).filter("i is not null").distinct()
+    """Share of a user's reviewed recipes with an ingredient in a substitution scored since a day."""
+    since = F.col("updated_at") >= F.lit("2023-07-20 00:00:00").cast("timestamp")
+    names = table(spark, sf, "serving_substitution_recommendations").filter(since).select(F.col("substitute_ingredient").alias("i")).filter("i is not null").distinct()
     r = recipes(spark, sf)
     has = r.select("id", F.explode("ingredients_canonical_list").alias("i")).join(names, "i", "left_semi").select("id").distinct().withColumn("has", F.lit(1))
     known = r.select(F.col("id").alias("recipe_id")).join(has.withColumnRenamed("id", "recipe_id"), "recipe_id", "left")
@@ -308,10 +309,11 @@ def substitution_view(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("candidate_ingredient", "substitute_ingredient").agg(F.max("recommendation_score").alias("best"), F.count(F.lit(1)).alias("n"))
 
 
-@R.add("swappable_recipes", f"""WITH {RECIPES}, s AS (SELECT DISTINCT candidate_ingredient i FROM serving_substitution_recommendations)
+@R.add("swappable_recipes", f"""WITH {RECIPES}, s AS (SELECT DISTINCT substitute_ingredient i FROM serving_substitution_recommendations)
     SELECT id, count(DISTINCT i) n_swappable FROM (SELECT id, unnest(ingredients_canonical_list) i FROM r) JOIN s USING (i) GROUP BY id""")
 def swappable_recipes(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "serving_substitution_recommendations").select(F.col("candidate_ingredient").alias("i")).distinct()
+    """Recipes with an ingredient that takes part in a substitution, and how many."""
+    names = table(spark, sf, "serving_substitution_recommendations").select(F.col("substitute_ingredient").alias("i")).distinct()
     e = recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("i")).distinct()
     return e.join(names, "i", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_swappable"))
 
@@ -321,18 +323,18 @@ _LAST = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY can
     coalesce(CASE WHEN isnan(recommendation_score) THEN NULL ELSE recommendation_score END, -1e9) DESC) rn FROM serving_substitution_recommendations) WHERE rn = 1)"""
 
 
-@R.add("swap_totals", f"""WITH {_LAST}, b AS (SELECT *, row_number() OVER (PARTITION BY candidate_ingredient ORDER BY recommendation_score DESC, substitute_ingredient) k FROM last
+@R.add("swap_totals", f"""WITH {_LAST}, b AS (SELECT *, row_number() OVER (PARTITION BY substitute_ingredient ORDER BY recommendation_score DESC, candidate_ingredient) k FROM last
       WHERE recommendation_score IS NOT NULL AND NOT isnan(recommendation_score)), {RECIPES},
     e AS (SELECT DISTINCT id, unnest(ingredients_canonical_list) i FROM r)
     SELECT id, count(*) n_swaps, {', '.join(f"{steady_sql(f'coalesce(sum(CASE WHEN isnan({d}) THEN NULL ELSE {d} END), 0)')} AS {d}" for d in _DELTAS)}
-    FROM e JOIN b ON k = 1 AND b.candidate_ingredient = e.i GROUP BY id""")
+    FROM e JOIN b ON k = 1 AND b.substitute_ingredient = e.i GROUP BY id""")
 def swap_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """What every recipe would gain if each ingredient were replaced by its best substitute."""
+    """Summed deltas of the best pair of every ingredient of a recipe that is a substitute of another."""
     t = table(spark, sf, "serving_substitution_recommendations").withColumn("s", finite(F.col("recommendation_score")))
     last = keep_first(t, ["candidate_ingredient", "substitute_ingredient"], [F.col("updated_at").desc(), F.coalesce("s", F.lit(-1e9)).desc()]).filter("s is not null")
-    best = keep_first(last, ["candidate_ingredient"], [F.col("s").desc(), "substitute_ingredient"])
-    e = recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("candidate_ingredient")).distinct()
-    j = split_join(e, best.select("candidate_ingredient", *_DELTAS), ["candidate_ingredient"])
+    best = keep_first(last, ["substitute_ingredient"], [F.col("s").desc(), "candidate_ingredient"])
+    e = recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("substitute_ingredient")).distinct()
+    j = split_join(e, best.select("substitute_ingredient", *_DELTAS), ["substitute_ingredient"])
     return j.groupBy("id").agg(F.count(F.lit(1)).alias("n_swaps"), *[steady_round(F.coalesce(F.sum(finite(F.col(d))), F.lit(0.0))).alias(d) for d in _DELTAS])
 
 
