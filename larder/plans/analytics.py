@@ -12,6 +12,7 @@ from larder.operators import ratings as A
 from larder.operators import warehouse as W
 from larder.operators.matching import total_rank
 from larder.operators.quality import busy_users, keep_first
+from larder.operators.serving import filter_recipes
 from larder.operators.skew import split_join
 from larder.plans.cleaning import CLEAN, INTERACTIONS, RECIPES, clean_interactions, interactions, recipes
 from larder.plans.registry import Registry, table
@@ -283,10 +284,7 @@ def row_counts(spark: SparkSession, sf: str) -> DataFrame:
 def recipe_search(spark: SparkSession, sf: str) -> DataFrame:
     """Text in name or ingredients, time, rating and any of several tags."""
     t = table(spark, sf, "dim_recipe").withColumn("display_rating", F.coalesce("sentiment_rating", "avg_rating"))
-    text = F.coalesce(F.col("name").rlike("(?i)onion"), F.lit(False)) | F.coalesce(F.col("top_ingredients").rlike("(?i)onion"), F.lit(False))
-    tags = F.lower("tags").contains("vegetarian") | F.lower("tags").contains("spicy")
-    rows = t.filter(text & (F.coalesce("avg_cook_minutes", F.lit(0)) <= 60) & (F.coalesce("display_rating", F.lit(0)) >= 3.5) & tags)
-    return rows.select("recipe_id", "name", "display_rating")
+    return filter_recipes(t, "onion", 60, 3.5, ("vegetarian", "spicy")).select("recipe_id", "name", "display_rating")
 
 
 @R.add("recipe_page", "SELECT recipe_id, name, sentiment_rating FROM dim_recipe ORDER BY sentiment_rating DESC NULLS LAST, recipe_id LIMIT 10 OFFSET 20")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import text as X
@@ -10,6 +10,7 @@ from larder.functions import vocabulary as V
 from larder.functions.numeric import steady_round, steady_sql
 from larder.operators import matching as M
 from larder.operators import sentiment as S
+from larder.operators import serving as serve
 from larder.operators import tagging as G
 from larder.operators import vectors as N
 from larder.operators.ratings import category_profile, recipe_categories
@@ -114,14 +115,21 @@ def group_zscore(spark: SparkSession, sf: str) -> DataFrame:
     return G.group_z(e, ["event_type"], "v", "z").select("event_type", "user_id", "z")
 
 
-_SEARCHES = """t AS (SELECT source, lower(trim(name)) || CASE WHEN recipe_id % 3 = 0 THEN ' recipe' WHEN recipe_id % 3 = 1 THEN ' car insurance' ELSE '' END raw_term, source_score
+_ASKED = "CASE WHEN recipe_id % 3 = 2 THEN regexp_replace(lower(trim(name)), '^\\S+ ', '') ELSE lower(trim(name)) END"
+_SEARCHES = f"""t AS (SELECT source, {_ASKED} || CASE WHEN recipe_id % 3 = 0 THEN ' recipe' WHEN recipe_id % 3 = 1 THEN ' car insurance' ELSE '' END raw_term, source_score
     FROM (SELECT name, recipe_id, avg_rating source_score, CASE WHEN recipe_id % 2 = 0 THEN 'trends' ELSE 'ai_mode' END source FROM dim_recipe WHERE name IS NOT NULL))"""
 
 
+def _asked() -> Column:
+    """A name as people search it: every third without its first word."""
+    name = F.lower(F.trim("name"))
+    return F.when(F.col("recipe_id") % 3 == 2, F.regexp_replace(name, r"^\S+ ", "")).otherwise(name)
+
+
 def _searches(spark: SparkSession, sf: str) -> DataFrame:
     """Recipe names as search terms: a third ask for the recipe, a third about something else."""
     k = F.col("recipe_id") % 3
-    raw = F.concat(F.lower(F.trim("name")), F.when(k == 0, " recipe").when(k == 1, " car insurance").otherwise(""))
+    raw = F.concat(_asked(), F.when(k == 0, " recipe").when(k == 1, " car insurance").otherwise(""))
     t = table(spark, sf, "dim_recipe").filter("name is not null")
     return t.select(F.when(F.col("recipe_id") % 2 == 0, "trends").otherwise("ai_mode").alias("source"), raw.alias("raw_term"), F.col("avg_rating").alias("source_score"))
 
@@ -276,7 +284,7 @@ def _ratio_sql(a: str, b: str) -> str:
 
 
 _TERMS = f"""terms AS (SELECT DISTINCT term, list_distinct({sql_tokens('term')}) tt FROM (SELECT {sql_strict('name')} term FROM recipes_clean) WHERE term <> ''),
-    qs AS (SELECT DISTINCT query, list_distinct({sql_tokens('query')}) qt FROM (SELECT {sql_strict('name')} AS query FROM dim_recipe))"""
+    qs AS (SELECT DISTINCT query, list_distinct({sql_tokens('query')}) qt FROM (SELECT {sql_strict(_ASKED)} AS query FROM dim_recipe WHERE name IS NOT NULL))"""
 _MATCHES = f"""{_TERMS},
     j AS (SELECT query, term, {steady_sql(f"greatest(len(list_intersect(qt, tt)) / (len(qt) + len(tt) - len(list_intersect(qt, tt)))::DOUBLE, {_ratio_sql('query', 'term')})")} AS sim
           FROM qs, terms WHERE query NOT IN (SELECT term FROM terms) AND list_has_any(qt, tt)),
@@ -286,7 +294,7 @@ _MATCHES = f"""{_TERMS},
 
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "dim_recipe").select(X.canonical_strict(F.col("name")).alias("query"))
+    q = table(spark, sf, "dim_recipe").filter("name is not null").select(X.canonical_strict(_asked()).alias("query"))
     t = table(spark, sf, "recipes_clean").select(X.canonical_strict(F.col("name")).alias("term"))
     return M.lexical_match(q, t)
 
@@ -313,6 +321,12 @@ def gap_table(spark: SparkSession, sf: str) -> DataFrame:
     return _gaps(spark, sf)
 
 
+@R.add("top_gaps", f"WITH {_GAPS} SELECT source, canonical_term, gap_score FROM gaps WHERE match_status <> 'strong_match' ORDER BY gap_score DESC NULLS LAST, source, canonical_term LIMIT 3")
+def top_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The three largest gaps (a top list is the feature)."""
+    return serve.top_gaps(_gaps(spark, sf)).select("source", "canonical_term", "gap_score")
+
+
 @R.add("gap_status_shares", f"WITH {_GAPS} SELECT match_status, count(*) n, {steady_sql('avg(gap_score)')} AS mean_gap FROM gaps GROUP BY 1")
 def gap_status_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _gaps(spark, sf).groupBy("match_status").agg(F.count(F.lit(1)).alias("n"), steady_round(F.avg("gap_score")).alias("mean_gap"))
