@@ -71,3 +71,32 @@ def per_key_stats(
     out = light.unionByName(merged)
     means = [F.when(F.col(f"n_{m}") > 0, F.col(f"sum_{m}") / F.col(f"n_{m}")).alias(f"mean_{m}") for m in measures]
     return out.select(*by, "n_rows", "n_chunks", *means)
+
+
+def value_changes(df: DataFrame, key_fields: list[str], measure: str, chunk_rows: int = 50_000) -> DataFrame:
+    """Rows (field_name, key_id, n_rows, n_changes, first_value, last_value): how often ``measure`` differs from the row
+    before of the same key, in input order.
+
+    A result that hangs on order: each chunk counts its own changes and hands on its first and last value, and the
+    chunks of a key are merged in order, a change between two chunks counting once. Null is a value; null keys give no row.
+    """
+    col = lambda n: F.col(f"`{n}`")
+    keys = F.array(*[F.struct(F.lit(k).alias("f"), col(k).cast("bigint").alias("k")) for k in key_fields])
+    by = ["field_name", "key_id"]
+    long = located(df.select(keys.alias("_keys"), col(measure).alias("_m"))).select(F.explode("_keys").alias("_k"), "_m", "_part", "_at")
+    long = long.select(F.col("_k.f").alias("field_name"), F.col("_k.k").alias("key_id"), "_m", "_part", "_at").filter(F.col("key_id").isNotNull())
+    rows = number_rows(long, by).withColumn("_chunk", F.floor((F.col("_number") - 1) / chunk_rows))
+    inside = Window.partitionBy(*by, "_chunk").orderBy("_number")
+    differs = lambda a, b: (~a.eqNullSafe(b)).cast("int")
+    step = F.when(F.row_number().over(inside) > 1, differs(F.col("_m"), F.lag("_m").over(inside))).otherwise(0)
+    chunks = rows.withColumn("_step", step).groupBy(*by, "_chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_step").alias("c"),
+        F.min_by(F.struct("_m"), "_number").alias("a"), F.max_by(F.struct("_m"), "_number").alias("z"),
+    )
+    order = Window.partitionBy(*by).orderBy("_chunk")
+    seam = F.when(F.col("_chunk") > 0, differs(F.col("a._m"), F.lag("z").over(order)["_m"])).otherwise(0)
+    merged = chunks.withColumn("_seam", seam).groupBy(*by)
+    return merged.agg(
+        F.sum("n").alias("n_rows"), (F.sum("c") + F.sum("_seam")).alias("n_changes"),
+        F.min_by("a", "_chunk")["_m"].alias("first_value"), F.max_by("z", "_chunk")["_m"].alias("last_value"),
+    )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from larder.functions.numeric import finite
 from larder.functions.text import list_literal
+from larder.operators.skew import split_join
+from larder.session import broadcast_if_small
 
 NUTRITION = ["calories_pdv", "total_fat_pdv", "sugar_pdv", "sodium_pdv", "protein_pdv", "saturated_fat_pdv", "carbs_pdv"]
 
@@ -66,7 +68,7 @@ def busy_users(df: DataFrame, user: str, day: Column, more_than: int = 50) -> Da
 
 
 def drop_users(df: DataFrame, users: DataFrame, user: str) -> DataFrame:
-    return df.join(users, user, "left_anti")
+    return df.join(broadcast_if_small(users), user, "left_anti")
 
 
 def cap(x: Column, most: float) -> Column:
@@ -98,10 +100,11 @@ def clean_name(x: Column, most: int = 200) -> Column:
 def canonical_ingredients(df: DataFrame, id_col: str, list_col: str, mapping: DataFrame) -> DataFrame:
     """(id, ingredients, joined, n): each list mapped name by name (raw, canonical), unmapped names kept, in order.
 
-    Joins on the ingredient name, so a mapping of any size does; the list is put together again by id.
+    Joins on the ingredient name (``mapping`` is unique by it), names on many lists by broadcast; the list is put together
+    again by id.
     """
     raw = df.select(id_col, F.posexplode(list_col).alias("_p", "_raw")).withColumn("raw", F.regexp_replace(F.lower(F.trim("_raw")), r"\s+", " "))
-    named = raw.join(mapping.select("raw", "canonical"), "raw", "left").withColumn("_c", F.coalesce("canonical", "raw"))
+    named = split_join(raw, mapping.select("raw", "canonical"), ["raw"], "left").withColumn("_c", F.coalesce("canonical", "raw"))
     lists = named.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_p", "_c"))).alias("_l"))
     names = F.transform("_l", lambda s: s["_c"])
     return lists.select(id_col, names.alias("ingredients"), F.array_join(names, "|").alias("joined"), F.size("_l").alias("n"))

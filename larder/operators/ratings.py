@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from larder.functions.numeric import steady_round
 from larder.functions.vocabulary import CATEGORIES, PSEUDO_COUNT
+from larder.operators.skew import count_keys, heavy_of, split_join
 
 
 def bayes_rating(rows: DataFrame, item: str, user: str, value: str, m: float = PSEUDO_COUNT) -> DataFrame:
     """(item, rating, weight, n): (sum of w v + m C) / (sum of w + m); w = 1 / the user's number of scored rows.
 
-    The user counts are combined before the shuffle and joined back, so that a user with a third of all rows is not
-    brought to one task; C is one number.
+    The user counts are combined before the shuffle and joined back, those of heavy users by broadcast, so that a user
+    with a third of all rows is not brought to one task; C is one number.
     """
     scored = rows.filter(F.col(value).isNotNull() & F.col(user).isNotNull() & F.col(item).isNotNull())
     mean = scored.agg(F.avg(value)).first()[0]
-    counts = scored.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))
+    counts = count_keys(scored, [user])
     w = 1.0 / F.col("_n")
-    per = scored.join(counts, user).groupBy(item).agg(
+    weighed = split_join(scored.select(user, item, value), counts, [user], heavy=heavy_of(counts, [user]))
+    per = weighed.groupBy(item).agg(
         F.sum(w * F.col(value)).alias("_wv"), F.sum(w).alias("weight"), F.count(F.lit(1)).alias("n")
     )
     rating = (F.col("_wv") + F.lit(m * mean if mean is not None else None)) / (F.col("weight") + m)
@@ -76,7 +78,7 @@ def category_profile(rows: DataFrame, categories: DataFrame, user: str, item: st
     """
     pairs = rows.filter(F.col(user).isNotNull() & F.col("rating").isNotNull()).groupBy(user, item).agg(F.sum("rating").alias("s"), F.count("rating").alias("n"))
     wide = (
-        pairs.join(categories.withColumnRenamed(categories.columns[0], item), item)
+        split_join(pairs, categories.withColumnRenamed(categories.columns[0], item), [item])  # few categories per item
         .groupBy(user)
         .pivot("category", names)
         .agg((F.sum("s") / F.sum("n")).alias("m"))
@@ -98,8 +100,9 @@ def ingredient_features(ratings: DataFrame, recipes: DataFrame, id_col: str, lis
 
 
 def running_counts(rows: DataFrame, key: str) -> DataFrame:
-    """Each row with its key's number of rows, by a combined count joined back rather than a window per key."""
-    return rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_of_key")), key)
+    """Each row with a key and its key's number of rows, by a combined count joined back rather than a window per key."""
+    counts = count_keys(rows, [key], "n_of_key")
+    return split_join(rows, counts, [key], heavy=heavy_of(counts, [key], "n_of_key"))
 
 
 def mode_of(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from larder.session import materialize
 
 
+def count_keys(df: DataFrame, keys: list[str], name: str = "_n") -> DataFrame:
+    """A written table of the rows per key, null keys left out."""
+    return materialize(df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), "keys")
+
+
+def heavy_of(counts: DataFrame, keys: list[str], name: str = "_n", share: float = 0.01) -> DataFrame:
+    """The keys of a table of counts with at least ``share`` of all rows."""
+    total = counts.agg(F.sum(name)).first()[0] or 0
+    return counts.filter(F.col(name) >= max(1.0, share * total)).select(*keys)
+
+
 def heavy_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
     """Keys with at least ``share`` of all rows with a key: at most 1 / share of them. Counts combine before the shuffle."""
-    rows = df.dropna(subset=keys)
-    counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "keys")
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    return counts.filter(F.col("_n") >= max(1.0, share * total)).select(*keys)
+    return heavy_of(count_keys(df, keys), keys, share=share)
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = 0.01) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = 0.01, heavy: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` (unique by ``on``); rows of heavy keys meet their few partners by broadcast.
 
-    ``how`` is inner, left, left_semi or left_anti. Null keys meet nothing.
+    ``how`` is inner, left, left_semi or left_anti. Null keys meet nothing. ``heavy`` saves the count if known already.
     """
-    heavy = heavy_keys(left, on, share)
+    heavy = heavy_keys(left, on, share) if heavy is None else heavy
     marked = left.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), on, "left")  # at most 1 / share rows
     few = right.join(F.broadcast(heavy), on, "left_semi")
     a = marked.filter(F.col("_heavy").isNull()).drop("_heavy").join(right, on, how)

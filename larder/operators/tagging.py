@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import text as X
 from larder.functions.numeric import steady_round
 from larder.functions.vocabulary import JUNK, taxonomy
+from larder.session import broadcast_if_small
 
 
 def tags_of(t: Column, rules: list[tuple[str, str, list[str]]] | None = None) -> Column:
@@ -70,7 +71,7 @@ def group_z(df: DataFrame, groups: list[str], value: str, name: str, digits: int
     """Adds the z-score within groups, from statistics joined back instead of a window over whole groups."""
     stats = df.groupBy(*groups).agg(F.avg(value).alias("_m"), F.stddev(value).alias("_s"))
     z = F.when(F.coalesce("_s", F.lit(0.0)) == 0, 0.0).otherwise((F.col(value) - F.col("_m")) / F.nullif("_s", F.lit(0.0)))
-    return df.join(stats, groups).withColumn(name, steady_round(z, digits)).drop("_m", "_s")
+    return df.join(broadcast_if_small(stats), groups).withColumn(name, steady_round(z, digits)).drop("_m", "_s")
 
 
 def external_terms(rows: DataFrame, tags: DataFrame) -> DataFrame:

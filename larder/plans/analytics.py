@@ -87,7 +87,7 @@ def nutrient_enrichment(spark: SparkSession, sf: str) -> DataFrame:
         F.avg("protein_delta").alias("protein"), F.avg(finite(F.col("sodium_delta"))).alias("sodium")
     )
     r = recipes(spark, sf).select("id", "ingredients_canonical_list", "ingredient_count")
-    e = r.select("id", F.explode("ingredients_canonical_list").alias("ingredient")).join(n, "ingredient", "left")
+    e = split_join(r.select("id", F.explode("ingredients_canonical_list").alias("ingredient")), n, ["ingredient"], "left")
     a = e.groupBy("id").agg(steady_round(F.avg("protein")).alias("protein"), steady_round(F.avg("sodium")).alias("sodium"), F.count("protein").alias("matched"))
     share = F.coalesce(F.col("matched") / F.nullif("ingredient_count", F.lit(0)), F.lit(0.0))
     return r.join(a, "id", "left").select("id", "protein", "sodium", F.coalesce("matched", F.lit(0)).alias("matched"), steady_round(share).alias("coverage"))
@@ -145,7 +145,7 @@ def substitute_exposure(spark: SparkSession, sf: str) -> DataFrame:
     since = F.col("updated_at") >= F.lit("2023-07-20 00:00:00").cast("timestamp")
     names = table(spark, sf, "serving_substitution_recommendations").filter(since).select(F.col("substitute_ingredient").alias("i")).filter("i is not null").distinct()
     r = recipes(spark, sf)
-    has = r.select("id", F.explode("ingredients_canonical_list").alias("i")).join(names, "i", "left_semi").select("id").distinct().withColumn("has", F.lit(1))
+    has = split_join(r.select("id", F.explode("ingredients_canonical_list").alias("i")), names, ["i"], "left_semi").select("id").distinct().withColumn("has", F.lit(1))
     known = r.select(F.col("id").alias("recipe_id")).join(has.withColumnRenamed("id", "recipe_id"), "recipe_id", "left")
     pairs = clean_interactions(spark, sf).select("user_id", "recipe_id").distinct().join(known, "recipe_id")
     return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_recipes"), steady_round(F.avg(F.coalesce("has", F.lit(0)))).alias("exposure"))
@@ -313,7 +313,7 @@ def swappable_recipes(spark: SparkSession, sf: str) -> DataFrame:
     """Recipes with an ingredient that takes part in a substitution, and how many."""
     names = table(spark, sf, "serving_substitution_recommendations").select(F.col("substitute_ingredient").alias("i")).distinct()
     e = recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("i")).distinct()
-    return e.join(names, "i", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_swappable"))
+    return split_join(e, names, ["i"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_swappable"))
 
 
 _DELTAS = ("rating_delta", "sentiment_delta", "protein_delta", "saturated_fat_delta", "sugar_delta", "sodium_delta", "calories_delta", "health_delta")

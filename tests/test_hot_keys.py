@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from larder.operators.hot_keys import located, number_rows, per_key_stats
+from larder.operators.hot_keys import located, number_rows, per_key_stats, value_changes
 from larder.operators.numbering import number_in_groups
 from larder.operators.skew import heavy_keys, split_join
 
@@ -67,3 +67,18 @@ def test_heavy_keys_and_split_join(spark, rows):
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = df.join(right, "k", how)
         assert rows(split_join(df, right, ["k"], how, 0.2).select(*want.columns)) == (rows(want) if how in ("inner", "left_semi") else rows(want.filter("k is not null")) + rows(want.filter("k is null")))
+
+
+def test_ordered_merge_of_chunks(spark):
+    data = make(2000, 8)
+    path = "file:///tmp/larder-changes"
+    spark.createDataFrame([(*d, i) for i, d in enumerate(data)], SCHEMA + ", i int").coalesce(1).sortWithinPartitions("i").write.mode("overwrite").parquet(path)
+    runs = {}
+    for d in data:
+        for f, k in (("u", d[0]), ("r", d[1])):
+            if k is not None:
+                runs.setdefault((f, k), []).append(d[2])
+    want = {k: (len(v), sum(a != b for a, b in zip(v, v[1:], strict=False)), v[0], v[-1]) for k, v in runs.items()}
+    for chunk in (7, 100, 10_000):
+        got = {(r[0], r[1]): tuple(r[2:]) for r in value_changes(spark.read.parquet(path), ["u", "r"], "x", chunk).collect()}
+        assert got == want
