@@ -43,13 +43,17 @@ def clauses(text: str) -> list[tuple[list[str], float, int, int]]:
     at, cost = 0, COST_END
     for m in [*_CLAUSE.finditer(text), None]:
         end = m.start() if m else len(text)
-        found = [(w.start(), w.end(), w.group().lower()) for w in _LETTERS.finditer(text, at, end)]
-        for k in range(0, len(found), CLAUSE_WORDS):
-            part = found[k : k + CLAUSE_WORDS]
-            out.append(([w for _, _, w in part], cost if k == 0 else COST_IN, part[0][0], part[-1][1]))
+        words = _LETTERS.findall(text[at:end].lower())
+        if len(words) > CLAUSE_WORDS:
+            found = [(w.start(), w.end(), w.group().lower()) for w in _LETTERS.finditer(text, at, end)]
+            for k in range(0, len(found), CLAUSE_WORDS):
+                part = found[k : k + CLAUSE_WORDS]
+                out.append(([w for _, _, w in part], cost if k == 0 else COST_IN, part[0][0], part[-1][1]))
+        elif words:
+            out.append((words, cost, at, end))
         if m:
             sep = COST_IN if m.group() in (",", "(", ")") else COST_END
-            cost = min(cost, sep) if not found else sep
+            cost = sep if words else min(cost, sep)
             at = m.end()
     return out
 
@@ -141,7 +145,7 @@ class Detector:
         """
         if not text:
             return []
-        cl = clauses(unicodedata.normalize("NFKC", text))
+        cl = clauses(text if text.isascii() else unicodedata.normalize("NFKC", text))
         if not cl:
             return []
         score = self.scores([c[0] for c in cl])
