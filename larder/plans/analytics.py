@@ -382,3 +382,13 @@ def suspect_days(spark: SparkSession, sf: str) -> DataFrame:
     rows = interactions(spark, sf)
     users = busy_users(rows, "user_id", F.col("date"), 5)
     return rows.filter("date is not null").groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("n")).join(users, "user_id", "left_semi")
+
+
+R.plain("user_stats", dates=("first_review_date", "last_review_date"))
+for _name in ("rating_gap", "blended_rating", "user_row_counts"):
+    R.plain(_name, micros=("loaded_at",))
+R.plain("dim_date", dates=("full_date",))
+for _name in ("merge_upsert", "insert_ignore"):
+    R.plain(_name, dates=("first_review_date",))
+R.plain("freshness", dates=("fetched_date",))
+R.plain("suspect_days", dates=("date",))

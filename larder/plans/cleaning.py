@@ -331,3 +331,15 @@ def interaction_hash(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("serving_grams", r"SELECT doc_id, try_cast(nullif(regexp_extract(text, '(\d+) gram', 1), '') AS DOUBLE) grams FROM documents")
 def serving_grams(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.nullif(F.regexp_extract("text", r"(\d+) gram", 1), F.lit("")).try_cast("double").alias("grams"))
+
+
+R.plain("valid_ratings", dates=("date",))
+R.plain("parse_dates", dates=("date",))
+for _name in ("date_parts", "not_after", "null_keys", "drop_bots"):
+    R.plain(_name, micros=("loaded_at",))
+R.plain("dedupe_interactions", dates=("date",))
+for _name in ("dedupe_recipes", "nutrition_parse", "calorie_cap"):
+    R.plain(_name, dates=("extract_date",))
+R.plain("list_literal_parse", dates=("extract_date",), lists=("items",))
+for _name in ("tokenize", "split_alnum"):
+    R.plain(_name, lists=("tokens",))

@@ -216,3 +216,9 @@ def p7_key_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _key_stats(spark, sf).select(
         "field_name", "key_id", "n_rows", r4("mean_rating").alias("mean_rating"), r4("mean_sentiment_score").alias("mean_sentiment")
     )
+
+
+R.plain("p3_user_features", dates=("first_day", "last_day"))
+R.plain("p3_user_type_features", dates=("last_day",))
+R.plain("p6_report", dates=("month",))
+R.plain("p6_snapshots", micros=("until",))

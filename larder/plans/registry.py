@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,25 @@ class Registry:
 
         return take
 
+    def plain(self, name: str, dates: tuple[str, ...] = (), micros: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> None:
+        """Gives columns of a query in types that every client shows alike, in Spark and SQL: dates as ISO text, times as
+        microseconds, lists joined by bars."""
+        f = self.queries[name]
+
+        def shown(spark: SparkSession, folder: str) -> DataFrame:
+            df = f(spark, folder)
+            new = {c: F.col(c).cast("date").cast("string") for c in dates}
+            new |= {c: F.unix_micros(F.col(c).cast("timestamp")) for c in micros}
+            new |= {c: F.array_join(c, "|") for c in lists}
+            return df.withColumns(new)
+
+        shown.__doc__ = f.__doc__
+        self.queries[name] = shown
+        if name in self.sql:
+            sql = [f"CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}" for c in dates]
+            sql += [f"epoch_us({c}) AS {c}" for c in micros] + [f"array_to_string({c}, '|') AS {c}" for c in lists]
+            self.sql[name] = f"SELECT * REPLACE ({', '.join(sql)}) FROM ({self.sql[name]})"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

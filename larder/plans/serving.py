@@ -179,3 +179,9 @@ def rising_queries(spark: SparkSession, sf: str) -> DataFrame:
     first = t.withColumn("p", F.row_number().over(Window.partitionBy("k").orderBy("name", "recipe_id"))).filter("p <= 5")
     lists = first.groupBy("k").agg(F.array_sort(F.collect_list("name")).alias("names"))
     return lists.join(t.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
+
+
+R.plain("recipe_detail", lists=("steps",))
+R.plain("query_set", lists=("terms",))
+R.plain("latest_runs", micros=("updated_at",))
+R.plain("rising_queries", lists=("names",))

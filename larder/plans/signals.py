@@ -189,7 +189,7 @@ def nutrient_pick(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@R.add("timeline_scan", "SELECT o_custkey, o_orderkey, date_trunc('second', o_orderdate) AS at, o_orderstatus keyword, (o_totalprice / 10000)::INTEGER AS value FROM orders WHERE o_totalprice / 10000 = floor(o_totalprice / 10000) OR true")
+@R.add("timeline_scan", "SELECT o_custkey, o_orderkey, date_trunc('second', o_orderdate) AS point_at, o_orderstatus keyword, (o_totalprice / 10000)::INTEGER AS value FROM orders")
 def timeline_scan(spark: SparkSession, sf: str) -> DataFrame:
     """An interest timeline as JSON, scanned into points."""
     t = table(spark, sf, "orders")
@@ -197,7 +197,7 @@ def timeline_scan(spark: SparkSession, sf: str) -> DataFrame:
     point = F.struct(at.alias("timestamp"), F.array(F.struct(F.col("o_orderstatus").alias("query"), F.rint(F.col("o_totalprice") / 10000).cast("int").alias("extracted_value"))).alias("values"))
     doc = F.to_json(F.struct(F.struct(F.array(point).alias("timeline_data")).alias("interest_over_time")))
     p = t.select("o_custkey", "o_orderkey", F.explode(IO.timeline_points(doc)).alias("p"))
-    return p.select("o_custkey", "o_orderkey", F.col("p.at").cast("timestamp_ntz").alias("at"), "p.keyword", "p.value")
+    return p.select("o_custkey", "o_orderkey", F.col("p.at").alias("point_at"), "p.keyword", "p.value")
 
 
 @R.add("related_queries", """SELECT recipe_id, unnest(['rising', 'top']) query_type, lower(name) || ' recipe' related_query, unnest([CASE WHEN recipe_id % 2 = 0 THEN 5000 ELSE 0 END, review_count]) raw_value FROM dim_recipe WHERE name IS NOT NULL""")
@@ -463,3 +463,8 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     q = out.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", scratch_path(spark, "daily-state")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(sink).select("day", "user_id", "n")
+
+
+R.plain("monthly_interest", dates=("month_end",))
+R.plain("timeline_scan", micros=("point_at",))
+R.plain("stream_daily_counts", dates=("day",))
