@@ -129,7 +129,9 @@ class EntityFeatures:
         live = [r["bucket"] for r in self._read(f"manifest-{gen - 1}").select("bucket").collect()]
         return df.filter(F.col("bucket").isin(live))
 
-    def features(self, since: str | None = None, until: str | None = None, events: DataFrame | None = None) -> DataFrame:
+    def features(
+        self, since: str | None = None, until: str | None = None, events: DataFrame | None = None
+    ) -> DataFrame:
         """One row per entity; with ``since``/``until`` (inclusive days) only events of that range count.
 
         Buckets wholly inside the range come from the state; those the range cuts are aggregated from ``events``.

@@ -83,8 +83,12 @@ def value_changes(df: DataFrame, key_fields: list[str], measure: str, chunk_rows
     col = lambda n: F.col(f"`{n}`")
     keys = F.array(*[F.struct(F.lit(k).alias("f"), col(k).cast("bigint").alias("k")) for k in key_fields])
     by = ["field_name", "key_id"]
-    long = located(df.select(keys.alias("_keys"), col(measure).alias("_m"))).select(F.explode("_keys").alias("_k"), "_m", "_part", "_at")
-    long = long.select(F.col("_k.f").alias("field_name"), F.col("_k.k").alias("key_id"), "_m", "_part", "_at").filter(F.col("key_id").isNotNull())
+    long = located(
+        df.select(keys.alias("_keys"), col(measure).alias("_m"))
+    ).select(F.explode("_keys").alias("_k"), "_m", "_part", "_at")
+    long = long.select(
+        F.col("_k.f").alias("field_name"), F.col("_k.k").alias("key_id"), "_m", "_part", "_at"
+    ).filter(F.col("key_id").isNotNull())
     rows = number_rows(long, by).withColumn("_chunk", F.floor((F.col("_number") - 1) / chunk_rows))
     inside = Window.partitionBy(*by, "_chunk").orderBy("_number")
     differs = lambda a, b: (~a.eqNullSafe(b)).cast("int")

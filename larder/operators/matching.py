@@ -24,9 +24,15 @@ def lexical_match(queries: DataFrame, terms: DataFrame) -> DataFrame:
     larger of token Jaccard and edit ratio wins, the smaller term on ties. No cap is put on candidates: token pairs
     are counted before they meet, and every pair is scored once.
     """
-    q = queries.select("query").filter("query is not null").distinct().withColumn("_qt", F.array_distinct(X.match_tokens(F.col("query"))))
-    t = terms.select("term").filter("term is not null and term <> ''").distinct().withColumn("_tt", F.array_distinct(X.match_tokens(F.col("term"))))
-    exact = q.join(t, q["query"] == t["term"]).select("query", F.col("term").alias("best_term"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("method"))
+    q = queries.select("query").filter("query is not null").distinct().withColumn(
+        "_qt", F.array_distinct(X.match_tokens(F.col("query")))
+    )
+    t = terms.select("term").filter("term is not null and term <> ''").distinct().withColumn(
+        "_tt", F.array_distinct(X.match_tokens(F.col("term")))
+    )
+    exact = q.join(t, q["query"] == t["term"]).select(
+        "query", F.col("term").alias("best_term"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("method")
+    )
     rest = q.join(t.select(F.col("term").alias("query")), "query", "left_anti")
     qx = rest.select("query", F.explode("_qt").alias("tok"))
     tx = t.select("term", F.explode("_tt").alias("tok"))
@@ -34,7 +40,9 @@ def lexical_match(queries: DataFrame, terms: DataFrame) -> DataFrame:
     score = F.greatest(X.token_jaccard(F.col("_qt"), F.col("_tt")), X.edit_ratio(F.col("query"), F.col("term")))
     scored = pairs.join(rest, "query").join(t, "term").select("query", "term", steady_round(score).alias("similarity"))
     best = scored.groupBy("query").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "term")).alias("b"))
-    fuzzy = best.select("query", F.col("b.term").alias("best_term"), (-F.col("b.s")).alias("similarity"), F.lit("fuzzy").alias("method"))
+    fuzzy = best.select(
+        "query", F.col("b.term").alias("best_term"), (-F.col("b.s")).alias("similarity"), F.lit("fuzzy").alias("method")
+    )
     none = rest.join(best.select("query"), "query", "left_anti").select(
         "query", F.lit(None).cast("string").alias("best_term"), F.lit(0.0).alias("similarity"),
         F.when(F.trim("query") == "", "empty_query").otherwise("no_token_overlap").alias("method"),
@@ -54,17 +62,24 @@ def gap_table(terms: DataFrame, matches: DataFrame) -> DataFrame:
     rows = terms.join(matches, terms["canonical_term"] == matches["query"]).drop("query")
     rows = rows.withColumn("match_status", match_status(F.col("similarity")))
     rows = rows.withColumn("gap_score", steady_round(F.col("source_score") * (1 - F.col("similarity"))))
-    label = F.when(F.col("match_status") == "strong_match", None).when(F.col("gap_score") >= HIGH_PRIORITY, "high_priority")
+    label = F.when(F.col("match_status") == "strong_match", None).when(
+        F.col("gap_score") >= HIGH_PRIORITY, "high_priority"
+    )
     label = label.when(F.col("gap_score") >= MEDIUM_PRIORITY, "medium_priority").otherwise("low_priority")
     rows = rows.withColumn("opportunity_label", label)
-    return total_rank(rows, F.col("match_status") != "strong_match", [("gap_score", False), ("source", True), ("canonical_term", True)], "top_gap_rank")
+    return total_rank(
+        rows, F.col("match_status") != "strong_match",
+        [("gap_score", False), ("source", True), ("canonical_term", True)], "top_gap_rank"
+    )
 
 
 def total_rank(df: DataFrame, which: Column, order: list[tuple[str, bool]], name: str) -> DataFrame:
     """Adds a rank over all rows of ``which`` (null elsewhere) without a window over the whole table: rows are
     range-partitioned by the order, numbered in their partition, and shifted by the sizes of the partitions before."""
     cols = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
-    inside = materialize(df.filter(which).repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = materialize(
+        df.filter(which).repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()), "ranges"
+    )
     local = inside.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*cols)))
     sizes = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,7 +97,9 @@ def similar_terms(terms: DataFrame, least: float = SAME_TERM) -> DataFrame:
     segment; no group is compared all with all.
     """
     t = terms.select(F.col(terms.columns[0]).alias("term")).filter("term is not null and term <> ''").distinct()
-    t = materialize(t.withColumn("s", F.array_join(F.array_sort(F.split("term", " ")), " ")).withColumn("n", F.length("s")), "terms")
+    t = materialize(
+        t.withColumn("s", F.array_join(F.array_sort(F.split("term", " ")), " ")).withColumn("n", F.length("s")), "terms"
+    )
     loss = 1 - least
 
     def cuts(n: Column) -> Column:
@@ -92,22 +109,37 @@ def similar_terms(terms: DataFrame, least: float = SAME_TERM) -> DataFrame:
     d = cuts(F.col("n"))
     k = F.least(d + 1, F.col("n"))
     segment = lambda i: F.struct(
-        i.alias("i"), F.col("s").substr(F.floor(i * F.col("n") / k).cast("int") + 1, (F.floor((i + 1) * F.col("n") / k) - F.floor(i * F.col("n") / k)).cast("int")).alias("seg"),
+        i.alias("i"), F.col("s").substr(
+            F.floor(i * F.col("n") / k).cast("int") + 1,
+            (F.floor((i + 1) * F.col("n") / k) - F.floor(i * F.col("n") / k)).cast("int")
+        ).alias("seg"),
         F.floor(i * F.col("n") / k).cast("int").alias("at"),
     )
-    index = t.select("term", "s", "n", F.explode(F.transform(F.sequence(F.lit(0), k - 1), segment)).alias("x")).select("term", "s", "n", d.alias("d"), "x.*")
+    index = t.select(
+        "term", "s", "n", F.explode(F.transform(F.sequence(F.lit(0), k - 1), segment)).alias("x")
+    ).select("term", "s", "n", d.alias("d"), "x.*")
     # the longer partner looks for the segments of each shorter length it may meet
     short = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-9).cast("int")), F.col("n"))
     probe = t.select("term", "s", "n", F.explode(short).alias("m"))
     dm = cuts(F.col("m"))
     km = F.least(dm + 1, F.col("m"))
-    probe = probe.withColumn("dm", dm).withColumn("km", km).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("km") - 1)))
-    lo, hi = F.floor(F.col("i") * F.col("m") / F.col("km")).cast("int"), F.floor((F.col("i") + 1) * F.col("m") / F.col("km")).cast("int")
+    probe = probe.withColumn("dm", dm).withColumn("km", km).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.col("km") - 1))
+    )
+    lo, hi = F.floor(F.col("i") * F.col("m") / F.col("km")).cast("int"), F.floor(
+        (F.col("i") + 1) * F.col("m") / F.col("km")
+    ).cast("int")
     shifts = F.sequence(F.greatest(F.lit(0), lo - F.col("dm")), F.least(F.col("n") - (hi - lo), lo + F.col("dm")))
     probe = probe.filter(F.least(F.col("n") - (hi - lo), lo + F.col("dm")) >= F.greatest(F.lit(0), lo - F.col("dm")))
-    probe = probe.select("term", "m", "i", F.explode(F.transform(shifts, lambda p: F.col("s").substr(p + 1, hi - lo))).alias("seg")).distinct()
-    near = index.select(F.col("term").alias("x"), F.col("n").alias("m"), "i", "seg").join(probe.withColumnRenamed("term", "y"), ["m", "i", "seg"])
-    pairs = near.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    probe = probe.select(
+        "term", "m", "i", F.explode(F.transform(shifts, lambda p: F.col("s").substr(p + 1, hi - lo))).alias("seg")
+    ).distinct()
+    near = index.select(
+        F.col("term").alias("x"), F.col("n").alias("m"), "i", "seg"
+    ).join(probe.withColumnRenamed("term", "y"), ["m", "i", "seg"])
+    pairs = near.filter(F.col("x") != F.col("y")).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    ).distinct()
     r = X.edit_ratio(F.col("a"), F.col("b"))
     return pairs.withColumn("similarity", steady_round(r)).filter(r >= least)
 
@@ -119,7 +151,12 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     in each round; each round is a written table, and rounds end when nothing changes. A node with a third of all
     edges is combined before the shuffle (minimum per node), never collected.
     """
-    e = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u is not null and v is not null and u <> v").distinct(), "edges")
+    e = materialize(
+        edges.select(
+            F.col("a").alias("u"), F.col("b").alias("v")
+        ).filter("u is not null and v is not null and u <> v").distinct(),
+        "edges"
+    )
 
     def hook(e: DataFrame, larger: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -129,7 +166,9 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
         j = both.join(low, "u")
         out = j.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not larger:
-            out = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+            out = j.select(
+                F.col("v").alias("u"), F.col("m").alias("v")
+            ).unionByName(low.select("u", F.col("m").alias("v")))
         return out.filter("u <> v").distinct()
 
     mark = None
@@ -144,7 +183,9 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("component"))
     n = nodes.select(F.col(nodes.columns[0]).alias("node")).filter("node is not null").distinct()
-    return n.join(roots, n["node"] == roots["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
+    return n.join(roots, n["node"] == roots["u"], "left").select(
+        "node", F.coalesce("component", "node").alias("component")
+    )
 
 
 def cluster_rollup(members: DataFrame, gaps: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str = "number", salts: int = 64) -> DataFrame:
+def number_in_groups(
+    df: DataFrame, keys: list[str], order: list[str], name: str = "number", salts: int = 64
+) -> DataFrame:
     """Adds ``name``: 0, 1, ... within each group.
 
     Rows are spread over ``salts`` parts of their group by the hash of ``order`` (which should tell rows apart), ordered
@@ -17,7 +19,9 @@ def number_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str
     """
     salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
     part = [*keys, "_salt"]
-    local = df.withColumn("_salt", salt).withColumn("_in", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1)
+    local = df.withColumn("_salt", salt).withColumn(
+        "_in", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1
+    )
     sizes = local.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -28,13 +28,18 @@ def references(facts: DataFrame, id_col: str, at_col: str, fields: list[str]) ->
     """(ref_field, key, interaction_id, ref_at): each reference that is not null."""
     spec = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("bigint").alias("k")) for f in fields])
     return (
-        facts.select(F.col(f"`{id_col}`").alias("interaction_id"), F.col(f"`{at_col}`").alias("ref_at"), F.explode(spec).alias("r"))
+        facts.select(
+            F.col(f"`{id_col}`").alias("interaction_id"), F.col(f"`{at_col}`").alias("ref_at"),
+            F.explode(spec).alias("r")
+        )
         .select(F.col("r.f").alias("ref_field"), F.col("r.k").alias("key"), "interaction_id", "ref_at")
         .filter(F.col("key").isNotNull())
     )
 
 
-def parent_rows(dim: DataFrame, ref_field: str, key_col: str, born: str | None = None, gone: str | None = None) -> DataFrame:
+def parent_rows(
+    dim: DataFrame, ref_field: str, key_col: str, born: str | None = None, gone: str | None = None
+) -> DataFrame:
     """(ref_field, key, born, gone): the life spans of a dimension; without ``born`` a row has always been there."""
     return dim.select(
         F.lit(ref_field).alias("ref_field"),
@@ -62,7 +67,9 @@ class OrphanTracker:
     @staticmethod
     def _alive(parents: DataFrame, until) -> DataFrame:
         t = F.lit(until).cast("timestamp")
-        return parents.filter((F.col("born") <= t) & (F.col("gone").isNull() | (F.col("gone") > t))).select(*KEY).distinct()
+        return parents.filter(
+            (F.col("born") <= t) & (F.col("gone").isNull() | (F.col("gone") > t))
+        ).select(*KEY).distinct()
 
     def probe(self, refs: DataFrame, counts: DataFrame) -> DataFrame:
         """References without a live parent. Those to hot keys meet their few parents by broadcast."""
@@ -91,7 +98,10 @@ class OrphanTracker:
         """Takes in the references up to ``until`` and the parent rows born or gone since the last batch."""
         known = self.parents.unionByName(parents.select("ref_field", "key", "born", "gone"))
         old = self.parents
-        self.parents = materialize(known.groupBy(*KEY, "born").agg(F.max("gone").alias("gone")).select("ref_field", "key", "born", "gone"), "parents")
+        self.parents = materialize(
+            known.groupBy(*KEY, "born").agg(F.max("gone").alias("gone")).select("ref_field", "key", "born", "gone"),
+            "parents"
+        )
         counts = materialize(refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_new")), "refs")
         found = materialize(self.probe(refs, counts).select("ref_field", "key", "interaction_id", "ref_at"), "orphans")
         waiting = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_found"))

@@ -10,7 +10,9 @@ from larder.functions.text import list_literal
 from larder.operators.skew import split_join
 from larder.session import broadcast_if_small
 
-NUTRITION = ["calories_pdv", "total_fat_pdv", "sugar_pdv", "sodium_pdv", "protein_pdv", "saturated_fat_pdv", "carbs_pdv"]
+NUTRITION = [
+    "calories_pdv", "total_fat_pdv", "sugar_pdv", "sodium_pdv", "protein_pdv", "saturated_fat_pdv", "carbs_pdv"
+]
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:
@@ -103,11 +105,17 @@ def canonical_ingredients(df: DataFrame, id_col: str, list_col: str, mapping: Da
     Joins on the ingredient name (``mapping`` is unique by it), names on many lists by broadcast; the list is put together
     again by id.
     """
-    raw = df.select(id_col, F.posexplode(list_col).alias("_p", "_raw")).withColumn("raw", F.regexp_replace(F.lower(F.trim("_raw")), r"\s+", " "))
-    named = split_join(raw, mapping.select("raw", "canonical"), ["raw"], "left").withColumn("_c", F.coalesce("canonical", "raw"))
+    raw = df.select(id_col, F.posexplode(list_col).alias("_p", "_raw")).withColumn(
+        "raw", F.regexp_replace(F.lower(F.trim("_raw")), r"\s+", " ")
+    )
+    named = split_join(
+        raw, mapping.select("raw", "canonical"), ["raw"], "left"
+    ).withColumn("_c", F.coalesce("canonical", "raw"))
     lists = named.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_p", "_c"))).alias("_l"))
     names = F.transform("_l", lambda s: s["_c"])
-    return lists.select(id_col, names.alias("ingredients"), F.array_join(names, "|").alias("joined"), F.size("_l").alias("n"))
+    return lists.select(
+        id_col, names.alias("ingredients"), F.array_join(names, "|").alias("joined"), F.size("_l").alias("n")
+    )
 
 
 def upper_fences(df: DataFrame, cols: list[str], q: float = 0.95) -> DataFrame:
@@ -129,7 +137,10 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 
 
-def balance_score(df: DataFrame, good: str = "protein_pdv", bad: tuple = (("saturated_fat_pdv", 0.25), ("sugar_pdv", 0.2), ("sodium_pdv", 0.15))) -> Column:
+def balance_score(
+    df: DataFrame, good: str = "protein_pdv",
+    bad: tuple = (("saturated_fat_pdv", 0.25), ("sugar_pdv", 0.2), ("sodium_pdv", 0.15))
+) -> Column:
     """0.4 good - weighted bad, each as a share of its 95th percentile cut to 0..1; the sum cut to -1..1."""
     q = upper_fences(df, [good, *[c for c, _ in bad]]).first()
 
@@ -145,6 +156,10 @@ def balance_score(df: DataFrame, good: str = "protein_pdv", bad: tuple = (("satu
 
 def null_profile(df: DataFrame) -> DataFrame:
     """(column_name, n_rows, n_null): one pass over the table, one row per column."""
-    counts = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("n_null")) for c in df.columns]))
+    counts = df.agg(
+        F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns]
+    )
+    pairs = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("n_null")) for c in df.columns])
+    )
     return counts.select("_all", pairs.alias("x")).select("x.column_name", F.col("_all").alias("n_rows"), "x.n_null")

@@ -38,7 +38,9 @@ def user_stats(rows: DataFrame) -> DataFrame:
     x = F.col("rating").cast("double")
     part = rows.filter(F.col("user_id").isNotNull()).groupBy("user_id", "recipe_id").agg(
         F.count("rating").alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"),
-        F.count("sentiment_score").alias("ns"), F.sum("sentiment_score").alias("ss"), F.sum(F.when(F.col("sentiment_score") > 0, 1).otherwise(0)).alias("pos"),
+        F.count("sentiment_score").alias("ns"), F.sum("sentiment_score").alias("ss"), F.sum(
+            F.when(F.col("sentiment_score") > 0, 1).otherwise(0)
+        ).alias("pos"),
         F.count(gap).alias("ng"), F.sum(gap).alias("sg"), F.min("date").alias("first"), F.max("date").alias("last"),
     )
     s = part.groupBy("user_id").agg(
@@ -56,7 +58,9 @@ def user_stats(rows: DataFrame) -> DataFrame:
         steady_round(zero(F.col("ss") / F.nullif("ns", F.lit(0)))).alias("avg_sentiment_score"),
         steady_round(zero(F.col("sg") / F.nullif("ng", F.lit(0)))).alias("avg_rating_gap"),
         steady_round(zero(F.col("pos") / F.nullif("ns", F.lit(0)))).alias("pct_positive_sentiment"),
-        F.date_diff("last_review_date", "first_review_date").alias("active_days"), "first_review_date", "last_review_date",
+        F.date_diff(
+            "last_review_date", "first_review_date"
+        ).alias("active_days"), "first_review_date", "last_review_date",
     )
 
 
@@ -76,7 +80,9 @@ def category_profile(rows: DataFrame, categories: DataFrame, user: str, item: st
 
     The mean rating per user and item is built first, so the fan-out over categories works on combined rows.
     """
-    pairs = rows.filter(F.col(user).isNotNull() & F.col("rating").isNotNull()).groupBy(user, item).agg(F.sum("rating").alias("s"), F.count("rating").alias("n"))
+    pairs = rows.filter(F.col(user).isNotNull() & F.col("rating").isNotNull()).groupBy(user, item).agg(
+        F.sum("rating").alias("s"), F.count("rating").alias("n")
+    )
     wide = (
         split_join(pairs, categories.withColumnRenamed(categories.columns[0], item), [item])  # few categories per item
         .groupBy(user)
@@ -91,11 +97,15 @@ def category_profile(rows: DataFrame, categories: DataFrame, user: str, item: st
 def ingredient_features(ratings: DataFrame, recipes: DataFrame, id_col: str, list_col: str) -> DataFrame:
     """(ingredient, recipe_count, avg_rating): different recipes, and the mean of the recipes' mean ratings."""
     per = ratings.groupBy("recipe_id").agg(F.avg("rating").alias("m"))
-    listed = recipes.select(F.col(id_col).alias("recipe_id"), F.explode(list_col).alias("ingredient")).join(per, "recipe_id", "left")
+    listed = recipes.select(
+        F.col(id_col).alias("recipe_id"), F.explode(list_col).alias("ingredient")
+    ).join(per, "recipe_id", "left")
     by_pair = listed.groupBy("ingredient", "recipe_id").agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m"))
     return by_pair.groupBy("ingredient").agg(
         F.count(F.lit(1)).alias("recipe_count"),
-        steady_round(F.sum(F.col("m") * F.col("k")) / F.nullif(F.sum(F.when(F.col("m").isNotNull(), F.col("k"))), F.lit(0))).alias("avg_rating"),
+        steady_round(
+            F.sum(F.col("m") * F.col("k")) / F.nullif(F.sum(F.when(F.col("m").isNotNull(), F.col("k"))), F.lit(0))
+        ).alias("avg_rating"),
     )
 
 

@@ -19,7 +19,10 @@ LEXICON = {
     "soggy": -1.2, "tasteless": -1.6, "never": -0.6, "fewer": -0.4, "poor": -2.1, "problem": -1.7, "sorry": -0.3, "salty": -0.4,
 }
 NEGATIONS = ("not", "no", "never", "none", "nothing", "without", "hardly", "cannot", "dont", "didnt", "wasnt", "isnt")
-BOOSTERS = {"very": 0.293, "really": 0.293, "so": 0.293, "too": 0.293, "extremely": 0.293, "absolutely": 0.293, "slightly": -0.293, "somewhat": -0.293}
+BOOSTERS = {
+    "very": 0.293, "really": 0.293, "so": 0.293, "too": 0.293, "extremely": 0.293, "absolutely": 0.293,
+    "slightly": -0.293, "somewhat": -0.293
+}
 # Published constants of the rule-based scorer.
 NEGATE, EXCLAIM, MOST_EXCLAIM, ALPHA = -0.74, 0.292, 4, 15
 

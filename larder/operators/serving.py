@@ -12,7 +12,10 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(Column.__or__, conditions)
 
 
-def filter_recipes(df: DataFrame, search: str = "", max_minutes: float | None = None, min_rating: float | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
+def filter_recipes(
+    df: DataFrame, search: str = "", max_minutes: float | None = None, min_rating: float | None = None,
+    tags: tuple[str, ...] = ()
+) -> DataFrame:
     """Pattern in name or ingredients in any case, time and rating (null counts as 0), any tag as part of the tag text."""
     out = df
     if search:
@@ -27,7 +30,10 @@ def filter_recipes(df: DataFrame, search: str = "", max_minutes: float | None =
     return out
 
 
-def filter_gaps(df: DataFrame, statuses: tuple[str, ...] = (), low: float | None = None, high: float | None = None, tags: tuple[str, ...] = (), sources: tuple[str, ...] = ()) -> DataFrame:
+def filter_gaps(
+    df: DataFrame, statuses: tuple[str, ...] = (), low: float | None = None, high: float | None = None,
+    tags: tuple[str, ...] = (), sources: tuple[str, ...] = ()
+) -> DataFrame:
     """Gap rows by status, explicit score bounds, any of the tags (joined by bars) and source."""
     out = df
     if statuses:
@@ -45,7 +51,9 @@ def filter_gaps(df: DataFrame, statuses: tuple[str, ...] = (), low: float | None
 
 def top_gaps(df: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` highest gaps that are no strong match (a top list is the feature)."""
-    return filter_gaps(df, ("gap", "weak_match")).orderBy(F.col("gap_score").desc_nulls_last(), "source", "canonical_term").limit(n)
+    return filter_gaps(df, ("gap", "weak_match")).orderBy(
+        F.col("gap_score").desc_nulls_last(), "source", "canonical_term"
+    ).limit(n)
 
 
 def page_count(rows: int, size: int = 10) -> int:

@@ -24,7 +24,10 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame
     return heavy_of(count_keys(df, keys), keys, share=share)
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = 0.01, heavy: DataFrame | None = None) -> DataFrame:
+def split_join(
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = 0.01,
+    heavy: DataFrame | None = None
+) -> DataFrame:
     """``left`` joined with ``right`` (unique by ``on``); rows of heavy keys meet their few partners by broadcast.
 
     ``how`` is inner, left, left_semi or left_anti. Null keys meet nothing. ``heavy`` saves the count if known already.

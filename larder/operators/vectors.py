@@ -32,7 +32,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) ->
     nothing; ties go to the smaller id.
     """
     spark = rows.sparkSession
-    q = queries.select(F.col("id").cast("bigint").alias("id"), "embedding").filter("id is not null and embedding is not null")
+    q = queries.select(
+        F.col("id").cast("bigint").alias("id"), "embedding"
+    ).filter("id is not null and embedding is not null")
     n_blocks = max(1, math.ceil(q.count() / block))
     parts = []
     for b in range(n_blocks):
@@ -56,27 +58,46 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) ->
                 s = np.round(m @ x.T, 9)
                 s[ids[:, None] == other[None, :]] = -np.inf
                 top = np.lexsort((np.broadcast_to(other, s.shape), -s), axis=1)[:, :k]
-                out = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "id": other[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
+                out = pd.DataFrame(
+                    {
+                        "query_id": np.repeat(ids, top.shape[1]), "id": other[top].ravel(),
+                        "similarity": np.take_along_axis(s, top, 1).ravel()
+                    }
+                )
                 yield out[np.isfinite(out["similarity"])]
 
-        parts.append(rows.select(F.col("id").cast("bigint").alias("id"), "embedding").mapInPandas(run, "query_id bigint, id bigint, similarity double"))
+        parts.append(
+            rows.select(F.col("id").cast("bigint").alias("id"), "embedding").mapInPandas(
+                run, "query_id bigint, id bigint, similarity double"
+            )
+        )
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def hybrid_embedding(df: DataFrame, id_col: str, vector: str, numbers: list[str], weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
+def hybrid_embedding(
+    df: DataFrame, id_col: str, vector: str, numbers: list[str], weights: tuple[float, float] = (0.7, 0.3)
+) -> DataFrame:
     """(id, embedding): the text vector and the standardised numbers (gaps by median, population deviation), weighted,
     joined and scaled to length 1. The statistics are one row."""
     q = df.agg(
         *[F.median(finite(F.col(c))).alias(f"m_{c}") for c in numbers]
     ).first()
     filled = [F.coalesce(finite(F.col(c)), F.lit(q[f"m_{c}"] if q[f"m_{c}"] is not None else 0.0)) for c in numbers]
-    s = df.agg(*[F.avg(f).alias(f"a_{c}") for c, f in zip(numbers, filled, strict=True)], *[F.stddev_pop(f).alias(f"s_{c}") for c, f in zip(numbers, filled, strict=True)]).first()
-    scaled = [((f - F.lit(s[f"a_{c}"] or 0.0)) / F.lit(s[f"s_{c}"] or 1.0)) * weights[1] for c, f in zip(numbers, filled, strict=True)]
+    s = df.agg(
+        *[F.avg(f).alias(f"a_{c}") for c, f in zip(numbers, filled, strict=True)],
+        *[F.stddev_pop(f).alias(f"s_{c}") for c, f in zip(numbers, filled, strict=True)]
+    ).first()
+    scaled = [
+        ((f - F.lit(s[f"a_{c}"] or 0.0)) / F.lit(s[f"s_{c}"] or 1.0)) * weights[1] for c,
+        f in zip(numbers, filled, strict=True)
+    ]
     text = F.transform(vector, lambda v: v.cast("double") * weights[0])
     whole = F.concat(text, F.array(*scaled))
     length = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda a, v: a + v * v))
-    return df.select(F.col(id_col).alias("id"), whole.alias("_e")).select("id", F.transform("_e", lambda v: v / F.nullif(length, F.lit(0.0))).alias("embedding"))
+    return df.select(F.col(id_col).alias("id"), whole.alias("_e")).select(
+        "id", F.transform("_e", lambda v: v / F.nullif(length, F.lit(0.0))).alias("embedding")
+    )
 
 
 def substitution_scores(pairs: DataFrame, features: DataFrame) -> DataFrame:
@@ -94,11 +115,16 @@ def substitution_scores(pairs: DataFrame, features: DataFrame) -> DataFrame:
     score = 0.6 * F.col("similarity") + 0.2 * zero(d["rating"]) + 0.1 * zero(d["sentiment"]) + 0.1 * health
     return j.select(
         F.col("query_id").alias("candidate_id"), F.col("id").alias("substitute_id"), steady_round(F.col("similarity")).alias("similarity"),
-        *[steady_round(v).alias(f"{c}_delta") for c, v in d.items()], steady_round(health).alias("health_delta"), steady_round(score).alias("recommendation_score"),
+        *[
+            steady_round(v).alias(f"{c}_delta") for c, v in d.items()
+        ], steady_round(health).alias("health_delta"), steady_round(score).alias("recommendation_score"),
     )
 
 
-def segment_users(df: DataFrame, id_col: str, features: list[str], ks: tuple[int, ...] = (4, 5, 6), seeds: tuple[int, ...] = (42, 43, 44), sample: int = 10_000) -> DataFrame:
+def segment_users(
+    df: DataFrame, id_col: str, features: list[str], ks: tuple[int, ...] = (4, 5, 6),
+    seeds: tuple[int, ...] = (42, 43, 44), sample: int = 10_000
+) -> DataFrame:
     """(id, cluster_id, cluster_label): K-Means on standardised features; k by the silhouette over ``sample`` rows picked
     by the hash of their id, each k with the best of several starts; then every row is assigned."""
     from pyspark.ml.clustering import KMeans
@@ -107,7 +133,9 @@ def segment_users(df: DataFrame, id_col: str, features: list[str], ks: tuple[int
 
     from larder.session import materialize
 
-    filled = df.select(F.col(id_col).alias("_id"), *[F.coalesce(finite(F.col(c)), F.lit(0.0)).alias(c) for c in features]).filter("_id is not null")
+    filled = df.select(
+        F.col(id_col).alias("_id"), *[F.coalesce(finite(F.col(c)), F.lit(0.0)).alias(c) for c in features]
+    ).filter("_id is not null")
     vec = VectorAssembler(inputCols=features, outputCol="_v").transform(filled)
     if filled.isEmpty():
         return filled.select(F.col("_id").alias(id_col), F.lit(0).alias("cluster_id"), F.lit("").alias("cluster_label"))
@@ -125,7 +153,9 @@ def segment_users(df: DataFrame, id_col: str, features: list[str], ks: tuple[int
         if best is None or score > best[0]:
             best = (score, model)
     if best is None:
-        return filled.select(F.col("_id").alias(id_col), F.lit(0).alias("cluster_id"), F.lit(SEGMENT_REST).alias("cluster_label"))
+        return filled.select(
+            F.col("_id").alias(id_col), F.lit(0).alias("cluster_id"), F.lit(SEGMENT_REST).alias("cluster_label")
+        )
     out = best[1].transform(data)
     centroids = {r["cluster_id"]: r for r in out.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in features]).collect()}  # k rows
     names = segment_labels(centroids)
@@ -163,7 +193,9 @@ def similar_vectors(df: DataFrame, least: float, near: int = 8, seed: int = 42)
 
     from larder.session import materialize
 
-    ok = df.select(F.col("id").cast("bigint").alias("id"), "embedding").filter("id is not null and embedding is not null")
+    ok = df.select(
+        F.col("id").cast("bigint").alias("id"), "embedding"
+    ).filter("id is not null and embedding is not null")
     unit = materialize(ok.groupBy("embedding").agg(F.min("id").alias("id")), "vectors")
     bits, tables = hash_shape(unit.count(), least)
     place = T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("p", T.FloatType())]))
@@ -175,7 +207,9 @@ def similar_vectors(df: DataFrame, least: float, near: int = 8, seed: int = 42)
         signs = (x @ rng.normal(size=(x.shape[1], tables * bits)) > 0).reshape(len(x), tables, bits)
         key = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2) + (np.arange(tables, dtype=np.int64) << bits)
         where = x @ rng.normal(size=(x.shape[1], tables))
-        return pd.Series([[{"k": int(a), "p": float(b)} for a, b in zip(u, v, strict=True)] for u, v in zip(key, where, strict=True)])
+        return pd.Series(
+            [[{"k": int(a), "p": float(b)} for a, b in zip(u, v, strict=True)] for u, v in zip(key, where, strict=True)]
+        )
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k, i = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -190,7 +224,9 @@ def similar_vectors(df: DataFrame, least: float, near: int = 8, seed: int = 42)
             k, i = k[-near:], i[-near:]
 
     keyed = unit.select("id", F.explode(buckets("embedding")).alias("x")).select("id", "x.k", "x.p")
-    pairs = keyed.repartitionByRange("k", "p").sortWithinPartitions("k", "p", "id").mapInPandas(neighbours, "id bigint, other bigint").distinct()
+    pairs = keyed.repartitionByRange("k", "p").sortWithinPartitions("k", "p", "id").mapInPandas(
+        neighbours, "id bigint, other bigint"
+    ).distinct()
     v = unit.select(F.col("id").alias("other"), F.col("embedding").alias("f"))
     s = cosine(F.col("embedding"), F.col("f"))
     out = pairs.join(unit, "id").join(v, "other").withColumn("similarity", s).filter(F.col("similarity") >= least)

@@ -12,7 +12,9 @@ from larder.session import broadcast_if_small
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """The columns of ``schema`` in its order, cast, missing ones null, others dropped."""
-    cols = [(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    cols = [
+        (F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
+    ]
     return df.select(*cols)
 
 
@@ -74,12 +76,16 @@ def interaction_id(user: Column, recipe: Column, day: Column) -> Column:
 
 def fact_interactions(rows: DataFrame, days: DataFrame) -> DataFrame:
     """Facts with the date's key; rows of unmapped days are dropped. ``days`` has a row per calendar day."""
-    mapped = rows.join(broadcast_if_small(days.select("full_date", "date_id")), rows["date"].cast("date") == days["full_date"])
+    mapped = rows.join(
+        broadcast_if_small(days.select("full_date", "date_id")), rows["date"].cast("date") == days["full_date"]
+    )
     return mapped.select(
         interaction_id(F.col("user_id"), F.col("recipe_id"), F.col("date")).alias("interaction_id"),
         "user_id", "recipe_id", "date_id", "rating", "sentiment_score",
         ((F.col("rating") - 3) / 2.0).alias("rating_normalized"),
-        ((F.col("rating") - 3) / 2.0 - F.col("sentiment_score")).alias("rating_sentiment_gap"), F.lit("batch").alias("source"),
+        (
+            (F.col("rating") - 3) / 2.0 - F.col("sentiment_score")
+        ).alias("rating_sentiment_gap"), F.lit("batch").alias("source"),
     )
 
 

@@ -37,7 +37,11 @@ def clean_recipes(raw: DataFrame) -> DataFrame:
         "id", Q.clean_name(F.col("name")).alias("name"), Q.clean_minutes(F.col("minutes")).alias("minutes"), items.alias("ingredients"), *Q.parse_nutrition(F.col("nutrition"))
     )
     rows = Q.keep_first(rows.filter("name is not null"), ["id"], ["name", "minutes"])
-    return rows.withColumns({n: Q.negative_as_null(F.col(n)) for n in Q.NUTRITION} | {"ingredient_count": F.when(F.col("ingredients").isNotNull(), F.size("ingredients"))})
+    return rows.withColumns(
+        {n: Q.negative_as_null(F.col(n)) for n in Q.NUTRITION} | {
+            "ingredient_count": F.when(F.col("ingredients").isNotNull(), F.size("ingredients"))
+        }
+    )
 
 
 @dataclass
@@ -88,14 +92,40 @@ def warehouse_pipeline(spark: SparkSession, c: Config) -> Pipeline:
     p.add("dim_date", load("dim_date", ["full_date"], None, "dates"))
     p.add("dim_user", load("dim_user", ["user_id"], ["review_count", "avg_rating_given", "std_rating_given", "recipe_diversity", "avg_sentiment_score", "avg_rating_gap",
                                                      "pct_positive_sentiment", "active_days", "last_review_date"], "users"))
-    p.add("recipe_rows", lambda t: t["clean_recipes"].join(t["ratings"].withColumnsRenamed({"recipe_id": "id", "rating": "sentiment_rating", "weight": "weighted_review_count", "n": "review_count"}), "id", "left"))
-    p.add("dim_recipe", load("dim_recipe", ["id"], ["minutes", "ingredients", "ingredient_count", "sentiment_rating", "weighted_review_count", "review_count"], "recipe_rows"))
+    p.add(
+        "recipe_rows",
+        lambda t: t["clean_recipes"].join(
+            t["ratings"].withColumnsRenamed(
+                {
+                    "recipe_id": "id", "rating": "sentiment_rating", "weight": "weighted_review_count",
+                    "n": "review_count"
+                }
+            ),
+            "id", "left"
+        )
+    )
+    p.add(
+        "dim_recipe",
+        load(
+            "dim_recipe", ["id"],
+            ["minutes", "ingredients", "ingredient_count", "sentiment_rating", "weighted_review_count", "review_count"],
+            "recipe_rows"
+        )
+    )
     p.add("facts", facts)
-    p.add("fact_interactions", load("fact_interactions", ["interaction_id"], ["sentiment_score", "rating_normalized", "rating_sentiment_gap", "source"], "facts"))
+    p.add(
+        "fact_interactions",
+        load(
+            "fact_interactions", ["interaction_id"],
+            ["sentiment_score", "rating_normalized", "rating_sentiment_gap", "source"], "facts"
+        )
+    )
     return p
 
 
-def run_if_new(spark: SparkSession, c: Config, interactions: DataFrame, recipes: DataFrame, block: bool = False) -> dict[str, DataFrame] | None:
+def run_if_new(
+    spark: SparkSession, c: Config, interactions: DataFrame, recipes: DataFrame, block: bool = False
+) -> dict[str, DataFrame] | None:
     """Runs the pipeline; with ``block`` only if a clean (user, recipe, date) is not stored yet. An empty input keeps the old tables."""
     if interactions.isEmpty():
         return None
@@ -103,7 +133,9 @@ def run_if_new(spark: SparkSession, c: Config, interactions: DataFrame, recipes:
         stored = read_if_there(spark, f"{c.output_dir}/fact_interactions")
         days = read_if_there(spark, f"{c.output_dir}/dim_date")
         if stored is not None and days is not None:
-            new = clean_interactions(interactions, c).select(W.interaction_id(F.col("user_id"), F.col("recipe_id"), F.col("date")).alias("interaction_id"))
+            new = clean_interactions(interactions, c).select(
+                W.interaction_id(F.col("user_id"), F.col("recipe_id"), F.col("date")).alias("interaction_id")
+            )
             if not has_new_rows(new, stored, ["interaction_id"]):
                 return None
     return warehouse_pipeline(spark, c).run({"interactions": interactions, "recipes": recipes})

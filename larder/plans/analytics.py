@@ -52,7 +52,10 @@ _PIVOT = f"""{CLEAN}, {RECIPES}, k AS ({_cat_sql('r')}),
     a AS (SELECT {', '.join(f'avg({c}) a_{c}' for c in CATEGORIES)} FROM p)"""
 
 
-@R.add("user_category_pivot", f"WITH {_PIVOT} SELECT user_id, {', '.join(steady_sql(f'coalesce({c}, a_{c})') + f' AS avg_rating_{c}' for c in CATEGORIES)} FROM p, a")
+@R.add(
+    "user_category_pivot",
+    f"WITH {_PIVOT} SELECT user_id, {', '.join(steady_sql(f'coalesce({c}, a_{c})') + f' AS avg_rating_{c}' for c in CATEGORIES)} FROM p, a"
+)
 def user_category_pivot(spark: SparkSession, sf: str) -> DataFrame:
     cats = A.recipe_categories(recipes(spark, sf), "id", "ingredients_canonical_list")
     return A.category_profile(clean_interactions(spark, sf), cats, "user_id", "recipe_id", list(CATEGORIES))
@@ -71,8 +74,12 @@ _PROFILE = ("calories_pdv", "protein_pdv", "total_fat_pdv")
 @R.add("ingredient_nutrition", f"""WITH {RECIPES}, e AS (SELECT unnest(ingredients_canonical_list) ingredient, {', '.join(f'CASE WHEN isnan({c}) THEN NULL ELSE {c} END {c}' for c in _PROFILE)} FROM r)
     SELECT ingredient, count(*) n_listed, {', '.join(f'{steady_sql(f"avg({c})")} AS avg_{c}' for c in _PROFILE)} FROM e GROUP BY ingredient""")
 def ingredient_nutrition(spark: SparkSession, sf: str) -> DataFrame:
-    e = recipes(spark, sf).select(F.explode("ingredients_canonical_list").alias("ingredient"), *[finite(F.col(c)).alias(c) for c in _PROFILE])
-    return e.groupBy("ingredient").agg(F.count(F.lit(1)).alias("n_listed"), *[steady_round(F.avg(c)).alias(f"avg_{c}") for c in _PROFILE])
+    e = recipes(spark, sf).select(
+        F.explode("ingredients_canonical_list").alias("ingredient"), *[finite(F.col(c)).alias(c) for c in _PROFILE]
+    )
+    return e.groupBy("ingredient").agg(
+        F.count(F.lit(1)).alias("n_listed"), *[steady_round(F.avg(c)).alias(f"avg_{c}") for c in _PROFILE]
+    )
 
 
 @R.add("nutrient_enrichment", f"""WITH {RECIPES}, e AS (SELECT id, unnest(ingredients_canonical_list) ingredient FROM r),
@@ -87,16 +94,30 @@ def nutrient_enrichment(spark: SparkSession, sf: str) -> DataFrame:
         F.avg("protein_delta").alias("protein"), F.avg(finite(F.col("sodium_delta"))).alias("sodium")
     )
     r = recipes(spark, sf).select("id", "ingredients_canonical_list", "ingredient_count")
-    e = split_join(r.select("id", F.explode("ingredients_canonical_list").alias("ingredient")), n, ["ingredient"], "left")
-    a = e.groupBy("id").agg(steady_round(F.avg("protein")).alias("protein"), steady_round(F.avg("sodium")).alias("sodium"), F.count("protein").alias("matched"))
+    e = split_join(
+        r.select("id", F.explode("ingredients_canonical_list").alias("ingredient")), n, ["ingredient"], "left"
+    )
+    a = e.groupBy("id").agg(
+        steady_round(F.avg("protein")).alias("protein"), steady_round(F.avg("sodium")).alias("sodium"),
+        F.count("protein").alias("matched")
+    )
     share = F.coalesce(F.col("matched") / F.nullif("ingredient_count", F.lit(0)), F.lit(0.0))
-    return r.join(a, "id", "left").select("id", "protein", "sodium", F.coalesce("matched", F.lit(0)).alias("matched"), steady_round(share).alias("coverage"))
+    return r.join(a, "id", "left").select(
+        "id", "protein", "sodium", F.coalesce("matched", F.lit(0)).alias("matched"),
+        steady_round(share).alias("coverage")
+    )
 
 
-@R.add("rating_gap", f"SELECT interaction_id, loaded_at, (rating - 3) / 2.0::DOUBLE rating_normalized, {steady_sql('(rating - 3) / 2.0::DOUBLE - sentiment_score')} AS gap FROM fact_interactions")
+@R.add(
+    "rating_gap",
+    f"SELECT interaction_id, loaded_at, (rating - 3) / 2.0::DOUBLE rating_normalized, {steady_sql('(rating - 3) / 2.0::DOUBLE - sentiment_score')} AS gap FROM fact_interactions"
+)
 def rating_gap(spark: SparkSession, sf: str) -> DataFrame:
     norm = (F.col("rating") - 3) / 2.0
-    return table(spark, sf, "fact_interactions").select("interaction_id", "loaded_at", norm.alias("rating_normalized"), steady_round(norm - F.col("sentiment_score")).alias("gap"))
+    return table(spark, sf, "fact_interactions").select(
+        "interaction_id", "loaded_at", norm.alias("rating_normalized"),
+        steady_round(norm - F.col("sentiment_score")).alias("gap")
+    )
 
 
 @R.add("blended_rating", f"""WITH b AS (SELECT interaction_id, loaded_at, rating, sentiment_score s, CASE WHEN sentiment_score IS NULL THEN NULL WHEN sentiment_score >= 0.6 THEN 5
@@ -106,13 +127,22 @@ def blended_rating(spark: SparkSession, sf: str) -> DataFrame:
     """Rating and sentiment band in one; where they disagree by three bands, the text weighs more."""
     s, r = F.col("sentiment_score"), F.col("rating")
     band = F.when(s >= 0.6, 5).when(s >= 0.2, 4).when(s >= -0.2, 3).when(s >= -0.6, 2).when(s.isNotNull(), 1)
-    mixed = F.when(band.isNull(), r.cast("double")).when(r.isNull(), band.cast("double")).when(F.abs(r - band) >= 3, 0.3 * r + 0.7 * band).otherwise(0.6 * r + 0.4 * band)
-    return table(spark, sf, "fact_interactions").select("interaction_id", "loaded_at", steady_round(mixed).alias("blended"))
+    mixed = F.when(band.isNull(), r.cast("double")).when(r.isNull(), band.cast("double")).when(
+        F.abs(r - band) >= 3, 0.3 * r + 0.7 * band
+    ).otherwise(0.6 * r + 0.4 * band)
+    return table(spark, sf, "fact_interactions").select(
+        "interaction_id", "loaded_at", steady_round(mixed).alias("blended")
+    )
 
 
-@R.add("recipe_ratings", f"WITH {CLEAN} SELECT recipe_id, {steady_sql('avg(rating)')} AS avg_rating, count(*) review_count FROM c GROUP BY recipe_id")
+@R.add(
+    "recipe_ratings",
+    f"WITH {CLEAN} SELECT recipe_id, {steady_sql('avg(rating)')} AS avg_rating, count(*) review_count FROM c GROUP BY recipe_id"
+)
 def recipe_ratings(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_interactions(spark, sf).groupBy("recipe_id").agg(steady_round(F.avg("rating")).alias("avg_rating"), F.count(F.lit(1)).alias("review_count"))
+    return clean_interactions(spark, sf).groupBy("recipe_id").agg(
+        steady_round(F.avg("rating")).alias("avg_rating"), F.count(F.lit(1)).alias("review_count")
+    )
 
 
 @R.add("peak_month", f"""WITH {INTERACTIONS}, m AS (SELECT event_type, month(date)::INTEGER AS month, count(*) n FROM i WHERE event_type IS NOT NULL AND date IS NOT NULL GROUP BY ALL)
@@ -122,9 +152,14 @@ def peak_month(spark: SparkSession, sf: str) -> DataFrame:
     return A.mode_of(rows, "event_type", "month")
 
 
-@R.add("user_row_counts", "SELECT interaction_id, loaded_at, user_id, count(*) OVER (PARTITION BY user_id) n_of_key FROM fact_interactions WHERE user_id IS NOT NULL")
+@R.add(
+    "user_row_counts",
+    "SELECT interaction_id, loaded_at, user_id, count(*) OVER (PARTITION BY user_id) n_of_key FROM fact_interactions WHERE user_id IS NOT NULL"
+)
 def user_row_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "fact_interactions").select("interaction_id", "loaded_at", "user_id").filter("user_id is not null")
+    rows = table(spark, sf, "fact_interactions").select(
+        "interaction_id", "loaded_at", "user_id"
+    ).filter("user_id is not null")
     return A.running_counts(rows, "user_id").select("interaction_id", "loaded_at", "user_id", "n_of_key")
 
 
@@ -143,12 +178,18 @@ def shared_recipes(spark: SparkSession, sf: str) -> DataFrame:
 def substitute_exposure(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a user's reviewed recipes with an ingredient in a substitution scored since a day."""
     since = F.col("updated_at") >= F.lit("2023-07-20 00:00:00").cast("timestamp")
-    names = table(spark, sf, "serving_substitution_recommendations").filter(since).select(F.col("substitute_ingredient").alias("i")).filter("i is not null").distinct()
+    names = table(
+        spark, sf, "serving_substitution_recommendations"
+    ).filter(since).select(F.col("substitute_ingredient").alias("i")).filter("i is not null").distinct()
     r = recipes(spark, sf)
-    has = split_join(r.select("id", F.explode("ingredients_canonical_list").alias("i")), names, ["i"], "left_semi").select("id").distinct().withColumn("has", F.lit(1))
+    has = split_join(
+        r.select("id", F.explode("ingredients_canonical_list").alias("i")), names, ["i"], "left_semi"
+    ).select("id").distinct().withColumn("has", F.lit(1))
     known = r.select(F.col("id").alias("recipe_id")).join(has.withColumnRenamed("id", "recipe_id"), "recipe_id", "left")
     pairs = clean_interactions(spark, sf).select("user_id", "recipe_id").distinct().join(known, "recipe_id")
-    return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_recipes"), steady_round(F.avg(F.coalesce("has", F.lit(0)))).alias("exposure"))
+    return pairs.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_recipes"), steady_round(F.avg(F.coalesce("has", F.lit(0)))).alias("exposure")
+    )
 
 
 @R.add("segment_profile", f"""WITH {CLEAN}, j AS (SELECT c.*, u.cluster_id, u.cluster_label FROM c JOIN dim_user u USING (user_id) WHERE cluster_id IS NOT NULL),
@@ -159,17 +200,28 @@ def substitute_exposure(spark: SparkSession, sf: str) -> DataFrame:
       {', '.join(f"{steady_sql(f'avg(CASE WHEN rating = {k} THEN 1.0 ELSE 0 END)')} AS share_{k}" for k in range(1, 6))} FROM j JOIN z USING (cluster_id), t GROUP BY cluster_id""")
 def segment_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Size, activity, rating distribution and gap of every user segment."""
-    users = table(spark, sf, "dim_user").select("user_id", "cluster_id", "review_count").filter("cluster_id is not null")
+    users = table(spark, sf, "dim_user").select(
+        "user_id", "cluster_id", "review_count"
+    ).filter("cluster_id is not null")
     total = users.count()
     z = users.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n_users"), steady_round(F.count(F.lit(1)) / F.lit(max(total, 1))).alias("user_share"), steady_round(F.avg("review_count")).alias("mean_reviews"),
+        F.count(F.lit(1)).alias("n_users"), steady_round(
+            F.count(F.lit(1)) / F.lit(max(total, 1))
+        ).alias("user_share"), steady_round(F.avg("review_count")).alias("mean_reviews"),
         steady_round(F.stddev("review_count")).alias("std_reviews"), F.min("review_count").alias("min_reviews"), F.max("review_count").alias("max_reviews"),
     )
-    rows = split_join(clean_interactions(spark, sf).select("user_id", "rating", "sentiment_score"), users.select("user_id", "cluster_id"), ["user_id"])
+    rows = split_join(
+        clean_interactions(spark, sf).select("user_id", "rating", "sentiment_score"),
+        users.select("user_id", "cluster_id"), ["user_id"]
+    )
     gap = (F.col("rating") - 3) / 2.0 - F.col("sentiment_score")
     j = rows.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n_ratings"), steady_round(F.avg(gap)).alias("mean_gap"),
-        *[steady_round(F.avg(F.when(F.col("rating") == k, 1.0).otherwise(0.0))).alias(f"share_{k}") for k in range(1, 6)],
+        *[
+            steady_round(
+                F.avg(F.when(F.col("rating") == k, 1.0).otherwise(0.0))
+            ).alias(f"share_{k}") for k in range(1, 6)
+        ],
     )
     return z.join(j, "cluster_id")
 
@@ -181,7 +233,9 @@ def segment_top_ingredients(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     users = table(spark, sf, "dim_user").select("user_id", "cluster_id").filter("cluster_id is not null")
-    seen = clean_interactions(spark, sf).select("user_id", "recipe_id").distinct().join(users, "user_id").select("cluster_id", F.col("recipe_id").alias("id")).distinct()
+    seen = clean_interactions(spark, sf).select("user_id", "recipe_id").distinct().join(users, "user_id").select(
+        "cluster_id", F.col("recipe_id").alias("id")
+    ).distinct()
     e = recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("ingredient"))
     n = seen.join(e, "id").groupBy("cluster_id", "ingredient").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("cluster_id").orderBy(F.col("n").desc(), "ingredient")
@@ -204,19 +258,25 @@ def dim_date(spark: SparkSession, sf: str) -> DataFrame:
     FROM r LEFT JOIN a ON a.recipe_id = r.id LEFT JOIN s ON s.recipe_id = r.id""")
 def dim_recipe(spark: SparkSession, sf: str) -> DataFrame:
     """Recipes with ratings and sentiment: both come from one aggregation before the join."""
-    a = clean_interactions(spark, sf).groupBy(F.col("recipe_id").alias("id")).agg(F.avg("rating").alias("m"), F.count(F.lit(1)).alias("n"), F.avg("sentiment_score").alias("s"))
+    a = clean_interactions(spark, sf).groupBy(F.col("recipe_id").alias("id")).agg(
+        F.avg("rating").alias("m"), F.count(F.lit(1)).alias("n"), F.avg("sentiment_score").alias("s")
+    )
     items = F.col("ingredients_canonical_list")
     return recipes(spark, sf).join(a, "id", "left").select(
         F.col("id").alias("recipe_id"), "name", steady_round(F.col("m")).alias("avg_rating"), F.coalesce("n", F.lit(0)).alias("review_count"),
         steady_round(F.col("s")).alias("sentiment_rating"), F.col("minutes").cast("double").alias("avg_cook_minutes"),
-        F.array_join(F.slice(items, 1, 10), "|").alias("top_ingredients"), F.when(items.isNotNull(), F.size(items)).alias("ingredient_count"),
+        F.array_join(F.slice(items, 1, 10), "|").alias("top_ingredients"), F.when(
+            items.isNotNull(), F.size(items)
+        ).alias("ingredient_count"),
     )
 
 
 @R.add("dim_user", f"""WITH {CLEAN}, s AS (SELECT user_id, count(*) review_count, {steady_sql('avg(rating)')} AS avg_rating_given FROM c GROUP BY 1)
     SELECT s.user_id, s.review_count, s.avg_rating_given, u.cluster_id, u.cluster_label FROM s LEFT JOIN dim_user u USING (user_id)""")
 def dim_user(spark: SparkSession, sf: str) -> DataFrame:
-    s = clean_interactions(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("review_count"), steady_round(F.avg("rating")).alias("avg_rating_given"))
+    s = clean_interactions(spark, sf).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("review_count"), steady_round(F.avg("rating")).alias("avg_rating_given")
+    )
     return s.join(table(spark, sf, "dim_user").select("user_id", "cluster_id", "cluster_label"), "user_id", "left")
 
 
@@ -224,7 +284,9 @@ def dim_user(spark: SparkSession, sf: str) -> DataFrame:
     sentiment_score, (rating - 3) / 2.0::DOUBLE rating_normalized, {steady_sql('(rating - 3) / 2.0::DOUBLE - sentiment_score')} AS rating_sentiment_gap, 'batch' AS source FROM c""")
 def fact_interactions(spark: SparkSession, sf: str) -> DataFrame:
     rows = clean_interactions(spark, sf).select("user_id", "recipe_id", "date", "rating", "sentiment_score")
-    return W.fact_interactions(rows, table(spark, sf, "dim_date")).withColumn("rating_sentiment_gap", steady_round(F.col("rating_sentiment_gap")))
+    return W.fact_interactions(rows, table(spark, sf, "dim_date")).withColumn(
+        "rating_sentiment_gap", steady_round(F.col("rating_sentiment_gap"))
+    )
 
 
 _SIDES = """o AS (SELECT user_id, review_count, first_review_date, cluster_label FROM dim_user WHERE user_id % 3 <> 0),
@@ -233,7 +295,10 @@ _SIDES = """o AS (SELECT user_id, review_count, first_review_date, cluster_label
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     u = table(spark, sf, "dim_user").select("user_id", "review_count", "first_review_date", "cluster_label")
-    new = u.filter("user_id % 3 <> 1").select("user_id", (F.col("review_count") + 1).alias("review_count"), F.date_add("first_review_date", 1).alias("first_review_date"), F.upper("cluster_label").alias("cluster_label"))
+    new = u.filter("user_id % 3 <> 1").select(
+        "user_id", (F.col("review_count") + 1).alias("review_count"),
+        F.date_add("first_review_date", 1).alias("first_review_date"), F.upper("cluster_label").alias("cluster_label")
+    )
     return u.filter("user_id % 3 <> 0"), new
 
 
@@ -246,7 +311,10 @@ def merge_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return W.upsert(old, new, ["user_id"], ["review_count", "cluster_label"])
 
 
-@R.add("insert_ignore", f"WITH {_SIDES} SELECT * FROM o UNION ALL SELECT * FROM n WHERE user_id NOT IN (SELECT user_id FROM o)")
+@R.add(
+    "insert_ignore",
+    f"WITH {_SIDES} SELECT * FROM o UNION ALL SELECT * FROM n WHERE user_id NOT IN (SELECT user_id FROM o)"
+)
 def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     old, new = _sides(spark, sf)
     return W.insert_ignore(old, new, ["user_id"])
@@ -255,20 +323,39 @@ def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("serving_view", """WITH f AS (SELECT DISTINCT interaction_id, user_id, recipe_id, rating, source FROM fact_interactions)
     SELECT * FROM f WHERE source = 'batch' UNION ALL SELECT * FROM f WHERE source = 'stream' AND interaction_id NOT IN (SELECT interaction_id FROM f WHERE source = 'batch')""")
 def serving_view(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "fact_interactions").select("interaction_id", "user_id", "recipe_id", "rating", "source").distinct()
+    f = table(spark, sf, "fact_interactions").select(
+        "interaction_id", "user_id", "recipe_id", "rating", "source"
+    ).distinct()
     return W.serving_view(f.filter("source = 'batch'"), f.filter("source = 'stream'"), "interaction_id")
 
 
-@R.add("conform_schema", "SELECT recipe_id::BIGINT recipe_id, name, ingredient_count::DOUBLE ingredient_count, CAST(NULL AS VARCHAR) note FROM dim_recipe")
+@R.add(
+    "conform_schema",
+    "SELECT recipe_id::BIGINT recipe_id, name, ingredient_count::DOUBLE ingredient_count, CAST(NULL AS VARCHAR) note FROM dim_recipe"
+)
 def conform_schema(spark: SparkSession, sf: str) -> DataFrame:
-    schema = T.StructType([T.StructField("recipe_id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("ingredient_count", T.DoubleType()), T.StructField("note", T.StringType())])
+    schema = T.StructType(
+        [
+            T.StructField("recipe_id", T.LongType()), T.StructField("name", T.StringType()),
+            T.StructField("ingredient_count", T.DoubleType()), T.StructField("note", T.StringType())
+        ]
+    )
     return W.conform(table(spark, sf, "dim_recipe"), schema)
 
 
-@R.add("row_counts", " UNION ALL ".join(f"SELECT '{t}' table_name, count(*) n FROM {t}" for t in ("dim_date", "dim_recipe", "dim_user", "fact_interactions")))
+@R.add(
+    "row_counts",
+    " UNION ALL ".join(
+        f"SELECT '{t}' table_name, count(*) n FROM {t}" for t in (
+            "dim_date", "dim_recipe", "dim_user", "fact_interactions"
+        )
+    )
+)
 def row_counts(spark: SparkSession, sf: str) -> DataFrame:
     names = ("dim_date", "dim_recipe", "dim_user", "fact_interactions")
-    parts = [table(spark, sf, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n") for t in names]
+    parts = [
+        table(spark, sf, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n") for t in names
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -287,36 +374,55 @@ def recipe_search(spark: SparkSession, sf: str) -> DataFrame:
     return filter_recipes(t, "onion", 60, 3.5, ("vegetarian", "spicy")).select("recipe_id", "name", "display_rating")
 
 
-@R.add("recipe_page", "SELECT recipe_id, name, sentiment_rating FROM dim_recipe ORDER BY sentiment_rating DESC NULLS LAST, recipe_id LIMIT 10 OFFSET 20")
+@R.add(
+    "recipe_page",
+    "SELECT recipe_id, name, sentiment_rating FROM dim_recipe ORDER BY sentiment_rating DESC NULLS LAST, recipe_id LIMIT 10 OFFSET 20"
+)
 def recipe_page(spark: SparkSession, sf: str) -> DataFrame:
     """The third page of ten (a page is the feature)."""
-    return table(spark, sf, "dim_recipe").orderBy(F.col("sentiment_rating").desc_nulls_last(), "recipe_id").offset(20).limit(10).select("recipe_id", "name", "sentiment_rating")
+    return table(spark, sf, "dim_recipe").orderBy(
+        F.col("sentiment_rating").desc_nulls_last(), "recipe_id"
+    ).offset(20).limit(10).select("recipe_id", "name", "sentiment_rating")
 
 
-@R.add("recipe_ranks", "SELECT recipe_id, CASE WHEN sentiment_rating IS NOT NULL THEN row_number() OVER (ORDER BY sentiment_rating DESC NULLS LAST, recipe_id) END AS place FROM dim_recipe")
+@R.add(
+    "recipe_ranks",
+    "SELECT recipe_id, CASE WHEN sentiment_rating IS NOT NULL THEN row_number() OVER (ORDER BY sentiment_rating DESC NULLS LAST, recipe_id) END AS place FROM dim_recipe"
+)
 def recipe_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """The display number of every recipe, without bringing all rows to one task."""
     t = table(spark, sf, "dim_recipe").select("recipe_id", "sentiment_rating")
-    return total_rank(t, F.col("sentiment_rating").isNotNull(), [("sentiment_rating", False), ("recipe_id", True)], "place").select("recipe_id", "place")
+    return total_rank(
+        t, F.col("sentiment_rating").isNotNull(), [("sentiment_rating", False), ("recipe_id", True)], "place"
+    ).select("recipe_id", "place")
 
 
 @R.add("substitution_view", """SELECT candidate_ingredient, substitute_ingredient, max(recommendation_score) best, count(*) n FROM serving_substitution_recommendations
     WHERE NOT coalesce(isnan(recommendation_score), false) GROUP BY ALL""")
 def substitution_view(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "serving_substitution_recommendations").filter(~F.coalesce(F.isnan("recommendation_score"), F.lit(False)))
-    return t.groupBy("candidate_ingredient", "substitute_ingredient").agg(F.max("recommendation_score").alias("best"), F.count(F.lit(1)).alias("n"))
+    t = table(spark, sf, "serving_substitution_recommendations").filter(
+        ~F.coalesce(F.isnan("recommendation_score"), F.lit(False))
+    )
+    return t.groupBy("candidate_ingredient", "substitute_ingredient").agg(
+        F.max("recommendation_score").alias("best"), F.count(F.lit(1)).alias("n")
+    )
 
 
 @R.add("swappable_recipes", f"""WITH {RECIPES}, s AS (SELECT DISTINCT substitute_ingredient i FROM serving_substitution_recommendations)
     SELECT id, count(DISTINCT i) n_swappable FROM (SELECT id, unnest(ingredients_canonical_list) i FROM r) JOIN s USING (i) GROUP BY id""")
 def swappable_recipes(spark: SparkSession, sf: str) -> DataFrame:
     """Recipes with an ingredient that takes part in a substitution, and how many."""
-    names = table(spark, sf, "serving_substitution_recommendations").select(F.col("substitute_ingredient").alias("i")).distinct()
+    names = table(
+        spark, sf, "serving_substitution_recommendations"
+    ).select(F.col("substitute_ingredient").alias("i")).distinct()
     e = recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("i")).distinct()
     return split_join(e, names, ["i"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_swappable"))
 
 
-_DELTAS = ("rating_delta", "sentiment_delta", "protein_delta", "saturated_fat_delta", "sugar_delta", "sodium_delta", "calories_delta", "health_delta")
+_DELTAS = (
+    "rating_delta", "sentiment_delta", "protein_delta", "saturated_fat_delta", "sugar_delta", "sodium_delta",
+    "calories_delta", "health_delta"
+)
 _LAST = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_ingredient, substitute_ingredient ORDER BY updated_at DESC,
     coalesce(CASE WHEN isnan(recommendation_score) THEN NULL ELSE recommendation_score END, -1e9) DESC) rn FROM serving_substitution_recommendations) WHERE rn = 1)"""
 
@@ -329,11 +435,19 @@ _LAST = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY can
 def swap_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Summed deltas of the best pair of every ingredient of a recipe that is a substitute of another."""
     t = table(spark, sf, "serving_substitution_recommendations").withColumn("s", finite(F.col("recommendation_score")))
-    last = keep_first(t, ["candidate_ingredient", "substitute_ingredient"], [F.col("updated_at").desc(), F.coalesce("s", F.lit(-1e9)).desc()]).filter("s is not null")
+    last = keep_first(
+        t, ["candidate_ingredient", "substitute_ingredient"],
+        [F.col("updated_at").desc(), F.coalesce("s", F.lit(-1e9)).desc()]
+    ).filter("s is not null")
     best = keep_first(last, ["substitute_ingredient"], [F.col("s").desc(), "candidate_ingredient"])
-    e = recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("substitute_ingredient")).distinct()
+    e = recipes(spark, sf).select(
+        "id", F.explode("ingredients_canonical_list").alias("substitute_ingredient")
+    ).distinct()
     j = split_join(e, best.select("substitute_ingredient", *_DELTAS), ["substitute_ingredient"])
-    return j.groupBy("id").agg(F.count(F.lit(1)).alias("n_swaps"), *[steady_round(F.coalesce(F.sum(finite(F.col(d))), F.lit(0.0))).alias(d) for d in _DELTAS])
+    return j.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_swaps"),
+        *[steady_round(F.coalesce(F.sum(finite(F.col(d))), F.lit(0.0))).alias(d) for d in _DELTAS]
+    )
 
 
 @R.add("coverage", """SELECT count(*) n, round_even(avg(CASE WHEN sentiment_score IS NOT NULL THEN 1.0 ELSE 0 END) * 1e4, 0) / 1e4 AS sentiment, round_even(avg(CASE WHEN rating IS NOT NULL THEN 1.0 ELSE 0 END) * 1e4, 0) / 1e4 AS rating,
@@ -345,19 +459,33 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@R.add("row_loss", f"""WITH {CLEAN} SELECT (SELECT count(*) FROM fact_interactions) n_raw, (SELECT count(*) FROM once) n_unique, (SELECT count(*) FROM c) n_clean""")
+@R.add(
+    "row_loss",
+    f"""WITH {CLEAN} SELECT (SELECT count(*) FROM fact_interactions) n_raw, (SELECT count(*) FROM once) n_unique, (SELECT count(*) FROM c) n_clean"""
+)
 def row_loss(spark: SparkSession, sf: str) -> DataFrame:
     """Rows left after each stage of cleaning, in one pass over the unique rows."""
     rows = interactions(spark, sf)
     raw = table(spark, sf, "fact_interactions").count()
-    unique = keep_first(rows.dropna(subset=["user_id", "recipe_id", "date"]), ["user_id", "recipe_id", "date"], ["interaction_id", "loaded_at"])
-    return unique.agg(F.lit(raw).cast("bigint").alias("n_raw"), F.count(F.lit(1)).alias("n_unique"), F.count_if(F.col("rating").between(1, 5)).alias("n_clean"))
+    unique = keep_first(
+        rows.dropna(subset=["user_id", "recipe_id", "date"]), ["user_id", "recipe_id", "date"],
+        ["interaction_id", "loaded_at"]
+    )
+    return unique.agg(
+        F.lit(raw).cast("bigint").alias("n_raw"), F.count(F.lit(1)).alias("n_unique"),
+        F.count_if(F.col("rating").between(1, 5)).alias("n_clean")
+    )
 
 
-@R.add("freshness", "SELECT source, max(fetched_date) fetched_date, date_diff('day', max(fetched_date), DATE '2024-06-30')::INTEGER age_days, date_diff('day', max(fetched_date), DATE '2024-06-30') > 7 AS is_stale FROM documents GROUP BY source")
+@R.add(
+    "freshness",
+    "SELECT source, max(fetched_date) fetched_date, date_diff('day', max(fetched_date), DATE '2024-06-30')::INTEGER age_days, date_diff('day', max(fetched_date), DATE '2024-06-30') > 7 AS is_stale FROM documents GROUP BY source"
+)
 def freshness(spark: SparkSession, sf: str) -> DataFrame:
     age = F.date_diff(F.lit("2024-06-30").cast("date"), F.max("fetched_date"))
-    return table(spark, sf, "documents").groupBy("source").agg(F.max("fetched_date").alias("fetched_date"), age.alias("age_days"), (age > 7).alias("is_stale"))
+    return table(spark, sf, "documents").groupBy("source").agg(
+        F.max("fetched_date").alias("fetched_date"), age.alias("age_days"), (age > 7).alias("is_stale")
+    )
 
 
 @R.add("count_by_source", "SELECT source, doc_kind, count(*) n FROM documents GROUP BY ALL")
@@ -365,23 +493,36 @@ def count_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy("source", "doc_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("missing_recipes", "SELECT DISTINCT recipe_id FROM fact_interactions WHERE recipe_id IS NOT NULL EXCEPT SELECT recipe_id FROM dim_recipe")
+@R.add(
+    "missing_recipes",
+    "SELECT DISTINCT recipe_id FROM fact_interactions WHERE recipe_id IS NOT NULL EXCEPT SELECT recipe_id FROM dim_recipe"
+)
 def missing_recipes(spark: SparkSession, sf: str) -> DataFrame:
     """Set difference of ids."""
     ids = table(spark, sf, "fact_interactions").select("recipe_id").filter("recipe_id is not null").distinct()
     return ids.join(table(spark, sf, "dim_recipe").select("recipe_id"), "recipe_id", "left_anti")
 
 
-@R.add("recipe_medians", "SELECT median(protein) protein, median(fat) fat, median(carbs) carbs, median(sugar) sugar, median(sodium) sodium FROM dim_recipe")
+@R.add(
+    "recipe_medians",
+    "SELECT median(protein) protein, median(fat) fat, median(carbs) carbs, median(sugar) sugar, median(sodium) sodium FROM dim_recipe"
+)
 def recipe_medians(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "dim_recipe").agg(*[F.median(c).alias(c) for c in ("protein", "fat", "carbs", "sugar", "sodium")])
+    return table(spark, sf, "dim_recipe").agg(
+        *[F.median(c).alias(c) for c in ("protein", "fat", "carbs", "sugar", "sodium")]
+    )
 
 
-@R.add("suspect_days", f"WITH {INTERACTIONS} SELECT user_id, date, count(*) n FROM i WHERE user_id IN (SELECT user_id FROM (SELECT user_id, date FROM i GROUP BY ALL HAVING count(*) > 5)) AND date IS NOT NULL GROUP BY ALL")
+@R.add(
+    "suspect_days",
+    f"WITH {INTERACTIONS} SELECT user_id, date, count(*) n FROM i WHERE user_id IN (SELECT user_id FROM (SELECT user_id, date FROM i GROUP BY ALL HAVING count(*) > 5)) AND date IS NOT NULL GROUP BY ALL"
+)
 def suspect_days(spark: SparkSession, sf: str) -> DataFrame:
     rows = interactions(spark, sf)
     users = busy_users(rows, "user_id", F.col("date"), 5)
-    return rows.filter("date is not null").groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("n")).join(users, "user_id", "left_semi")
+    return rows.filter("date is not null").groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("n")).join(
+        users, "user_id", "left_semi"
+    )
 
 
 R.plain("user_stats", dates=("first_review_date", "last_review_date"))

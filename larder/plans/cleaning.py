@@ -47,31 +47,51 @@ CLEAN = f"{INTERACTIONS}, {KEEP_FIRST}, c AS (SELECT * FROM once WHERE rating BE
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber BETWEEN 1 AND 5 GROUP BY ALL""")
 def valid_ratings(spark: SparkSession, sf: str) -> DataFrame:
     j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = j.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("recipe_id"), F.col("o_orderdate").alias("date"), F.col("l_linenumber").alias("rating"))
+    rows = j.select(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("recipe_id"), F.col("o_orderdate").alias("date"),
+        F.col("l_linenumber").alias("rating")
+    )
     return Q.valid_ratings(rows).groupBy("user_id", "recipe_id", "date", "rating").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("dedupe_interactions", f"WITH {INTERACTIONS}, {KEEP_FIRST} SELECT interaction_id, user_id, recipe_id, date FROM once")
+@R.add(
+    "dedupe_interactions",
+    f"WITH {INTERACTIONS}, {KEEP_FIRST} SELECT interaction_id, user_id, recipe_id, date FROM once"
+)
 def dedupe_interactions(spark: SparkSession, sf: str) -> DataFrame:
     rows = interactions(spark, sf).dropna(subset=["user_id", "recipe_id", "date"])
-    return Q.keep_first(rows, ["user_id", "recipe_id", "date"], ["interaction_id", "loaded_at"]).select("interaction_id", "user_id", "recipe_id", "date")
+    return Q.keep_first(
+        rows, ["user_id", "recipe_id", "date"], ["interaction_id", "loaded_at"]
+    ).select("interaction_id", "user_id", "recipe_id", "date")
 
 
 @R.add("date_parts", f"""WITH {INTERACTIONS} SELECT interaction_id, loaded_at, year(date)::INTEGER AS year, month(date)::INTEGER AS month,
     dayname(date) day_of_week, quarter(date)::INTEGER AS quarter FROM i WHERE date IS NOT NULL""")
 def date_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.date_parts(interactions(spark, sf).filter("date is not null")).select("interaction_id", "loaded_at", "year", "month", "day_of_week", "quarter")
+    return Q.date_parts(interactions(spark, sf).filter("date is not null")).select(
+        "interaction_id", "loaded_at", "year", "month", "day_of_week", "quarter"
+    )
 
 
-@R.add("parse_dates", "SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 7 = 0 THEN 'no date' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS date FROM orders WHERE o_orderkey % 7 <> 0")
+@R.add(
+    "parse_dates",
+    "SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 7 = 0 THEN 'no date' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS date FROM orders WHERE o_orderkey % 7 <> 0"
+)
 def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.when(F.col("o_orderkey") % 7 == 0, "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    text = F.when(F.col("o_orderkey") % 7 == 0, "no date").otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    )
     return Q.parse_dates(table(spark, sf, "orders").select("o_orderkey", text.alias("date")), "date")
 
 
-@R.add("not_after", "SELECT interaction_id, loaded_at FROM fact_interactions WHERE loaded_at <= TIMESTAMPTZ '2023-01-01 00:00:00+00'")
+@R.add(
+    "not_after",
+    "SELECT interaction_id, loaded_at FROM fact_interactions WHERE loaded_at <= TIMESTAMPTZ '2023-01-01 00:00:00+00'"
+)
 def not_after(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.not_after(table(spark, sf, "fact_interactions"), "loaded_at", "2023-01-01 00:00:00").select("interaction_id", "loaded_at")
+    return Q.not_after(
+        table(spark, sf, "fact_interactions"), "loaded_at", "2023-01-01 00:00:00"
+    ).select("interaction_id", "loaded_at")
 
 
 @R.add("coerce_rating", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN r BETWEEN 1 AND 5 THEN r::INTEGER END rating FROM (
@@ -82,9 +102,14 @@ def coerce_rating(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", Q.coerce_rating(raw).alias("rating"))
 
 
-@R.add("null_keys", "SELECT interaction_id, loaded_at FROM fact_interactions WHERE user_id IS NOT NULL AND recipe_id IS NOT NULL AND date_id IS NOT NULL")
+@R.add(
+    "null_keys",
+    "SELECT interaction_id, loaded_at FROM fact_interactions WHERE user_id IS NOT NULL AND recipe_id IS NOT NULL AND date_id IS NOT NULL"
+)
 def null_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "fact_interactions").dropna(subset=["user_id", "recipe_id", "date_id"]).select("interaction_id", "loaded_at")
+    return table(spark, sf, "fact_interactions").dropna(
+        subset=["user_id", "recipe_id", "date_id"]
+    ).select("interaction_id", "loaded_at")
 
 
 _BUSY = f"{INTERACTIONS}, busy AS (SELECT DISTINCT user_id FROM (SELECT user_id, date, count(*) n FROM i WHERE user_id IS NOT NULL GROUP BY ALL HAVING count(*) > 5))"
@@ -95,10 +120,15 @@ def bot_users(spark: SparkSession, sf: str) -> DataFrame:
     return Q.busy_users(interactions(spark, sf), "user_id", F.col("date"), 5)
 
 
-@R.add("drop_bots", f"WITH {_BUSY} SELECT interaction_id, user_id, loaded_at FROM i WHERE user_id IS NULL OR user_id NOT IN (SELECT user_id FROM busy)")
+@R.add(
+    "drop_bots",
+    f"WITH {_BUSY} SELECT interaction_id, user_id, loaded_at FROM i WHERE user_id IS NULL OR user_id NOT IN (SELECT user_id FROM busy)"
+)
 def drop_bots(spark: SparkSession, sf: str) -> DataFrame:
     rows = interactions(spark, sf)
-    return Q.drop_users(rows, Q.busy_users(rows, "user_id", F.col("date"), 5), "user_id").select("interaction_id", "user_id", "loaded_at")
+    return Q.drop_users(
+        rows, Q.busy_users(rows, "user_id", F.col("date"), 5), "user_id"
+    ).select("interaction_id", "user_id", "loaded_at")
 
 
 @R.add("null_profile", "SELECT column_name, n_rows, n_rows - n AS n_null FROM (SELECT count(*) n_rows, " + ", ".join(
@@ -116,7 +146,9 @@ def validation_counts(spark: SparkSession, sf: str) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("interaction_id").isNull()).alias("null_ids"),
         F.count_if(F.col("user_id").isNull() | F.col("recipe_id").isNull()).alias("null_keys"),
-        F.count_if(~F.col("rating").between(1, 5)).alias("bad_ratings"), F.count_if(~F.col("sentiment_score").between(-1, 1)).alias("bad_scores"),
+        F.count_if(~F.col("rating").between(1, 5)).alias("bad_ratings"), F.count_if(
+            ~F.col("sentiment_score").between(-1, 1)
+        ).alias("bad_scores"),
     )
 
 
@@ -128,7 +160,9 @@ RECIPES = "r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORD
 
 def recipes(spark: SparkSession, sf: str) -> DataFrame:
     """Each recipe once, as last extracted."""
-    return Q.keep_first(table(spark, sf, "recipes_clean").filter("id is not null"), ["id"], [F.col("extract_date").desc_nulls_last()])
+    return Q.keep_first(
+        table(spark, sf, "recipes_clean").filter("id is not null"), ["id"], [F.col("extract_date").desc_nulls_last()]
+    )
 
 
 @R.add("dedupe_recipes", f"WITH {RECIPES} SELECT id, name, minutes, extract_date FROM r")
@@ -136,7 +170,10 @@ def dedupe_recipes(spark: SparkSession, sf: str) -> DataFrame:
     return recipes(spark, sf).select("id", "name", "minutes", "extract_date")
 
 
-@R.add("minutes_cap", "SELECT p_partkey, CASE WHEN p_size * 100 - 300 > 0 THEN least(p_size * 100 - 300, 4320) END AS minutes FROM part")
+@R.add(
+    "minutes_cap",
+    "SELECT p_partkey, CASE WHEN p_size * 100 - 300 > 0 THEN least(p_size * 100 - 300, 4320) END AS minutes FROM part"
+)
 def minutes_cap(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", Q.clean_minutes(F.col("p_size") * 100 - 300).alias("minutes"))
 
@@ -159,9 +196,14 @@ def negative_null(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", Q.negative_as_null(F.col("c_acctbal")).alias("balance"))
 
 
-@R.add("calorie_cap", "SELECT id, extract_date, CASE WHEN calories_pdv IS NOT NULL THEN least(calories_pdv, 500) END calories_pdv FROM recipes_clean")
+@R.add(
+    "calorie_cap",
+    "SELECT id, extract_date, CASE WHEN calories_pdv IS NOT NULL THEN least(calories_pdv, 500) END calories_pdv FROM recipes_clean"
+)
 def calorie_cap(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "recipes_clean").select("id", "extract_date", Q.cap(F.col("calories_pdv"), 500.0).alias("calories_pdv"))
+    return table(spark, sf, "recipes_clean").select(
+        "id", "extract_date", Q.cap(F.col("calories_pdv"), 500.0).alias("calories_pdv")
+    )
 
 
 @R.add("clean_names", """SELECT recipe_id, CASE WHEN regexp_matches(n, '[a-zA-Z0-9]') THEN n END AS name FROM (
@@ -173,7 +215,10 @@ def clean_names(spark: SparkSession, sf: str) -> DataFrame:
 _FENCES = f"v AS (SELECT id, {_NUT} FROM r), q AS (SELECT {', '.join(f'quantile_cont({c}, 0.95) q_{c}' for c in Q.NUTRITION)} FROM v)"
 
 
-@R.add("outlier_flag", f"WITH {RECIPES}, {_FENCES} SELECT id, {' OR '.join(f'coalesce({c} > q_{c}, false)' for c in Q.NUTRITION)} AS is_outlier FROM v, q")
+@R.add(
+    "outlier_flag",
+    f"WITH {RECIPES}, {_FENCES} SELECT id, {' OR '.join(f'coalesce({c} > q_{c}, false)' for c in Q.NUTRITION)} AS is_outlier FROM v, q"
+)
 def outlier_flag(spark: SparkSession, sf: str) -> DataFrame:
     return Q.flag_outliers(recipes(spark, sf)).select("id", "is_outlier")
 
@@ -185,15 +230,23 @@ def _n(c: str) -> str:
 _SCORE = f"0.4 * {_n('protein_pdv')} - 0.25 * {_n('saturated_fat_pdv')} - 0.2 * {_n('sugar_pdv')} - 0.15 * {_n('sodium_pdv')}"
 
 
-@R.add("balance_score", f"WITH {RECIPES}, {_FENCES}, s AS (SELECT id, {_SCORE} s FROM v, q) SELECT id, {steady_sql('CASE WHEN s IS NOT NULL THEN greatest(least(s, 1), -1) END')} AS balance_score FROM s")
+@R.add(
+    "balance_score",
+    f"WITH {RECIPES}, {_FENCES}, s AS (SELECT id, {_SCORE} s FROM v, q) SELECT id, {steady_sql('CASE WHEN s IS NOT NULL THEN greatest(least(s, 1), -1) END')} AS balance_score FROM s"
+)
 def balance_score(spark: SparkSession, sf: str) -> DataFrame:
     r = recipes(spark, sf)
     return r.select("id", steady_round(Q.balance_score(r)).alias("balance_score"))
 
 
-@R.add("ingredient_explode", f"WITH {RECIPES} SELECT id, ingredient, count(*) n FROM (SELECT id, unnest(ingredients_canonical_list) ingredient FROM r) GROUP BY ALL")
+@R.add(
+    "ingredient_explode",
+    f"WITH {RECIPES} SELECT id, ingredient, count(*) n FROM (SELECT id, unnest(ingredients_canonical_list) ingredient FROM r) GROUP BY ALL"
+)
 def ingredient_explode(spark: SparkSession, sf: str) -> DataFrame:
-    return recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("ingredient")).groupBy("id", "ingredient").agg(F.count(F.lit(1)).alias("n"))
+    return recipes(spark, sf).select(
+        "id", F.explode("ingredients_canonical_list").alias("ingredient")
+    ).groupBy("id", "ingredient").agg(F.count(F.lit(1)).alias("n"))
 
 
 _MAPPING = """map AS (SELECT DISTINCT candidate_ingredient AS raw, regexp_replace(candidate_ingredient, '^(red|white|young|dried|smoked|roasted) ', '') canonical
@@ -208,21 +261,39 @@ def ingredient_canonical_map(spark: SparkSession, sf: str) -> DataFrame:
     mapping = table(spark, sf, "serving_substitution_recommendations").select(
         c.alias("raw"), F.regexp_replace(c, "^(red|white|young|dried|smoked|roasted) ", "").alias("canonical")
     ).filter("raw is not null").distinct()
-    return Q.canonical_ingredients(recipes(spark, sf), "id", "ingredients_canonical_list", mapping).select("id", "joined", "n")
+    return Q.canonical_ingredients(
+        recipes(spark, sf), "id", "ingredients_canonical_list", mapping
+    ).select("id", "joined", "n")
 
 
 @R.add("list_literal_parse", "SELECT id, extract_date, ingredients_canonical_list AS items FROM recipes_clean")
 def list_literal_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Lists written as literals and read again."""
     items = F.col("ingredients_canonical_list")
-    text = F.when(items.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))), ", "), F.lit("]")))
+    text = F.when(
+        items.isNotNull(),
+        F.concat(
+            F.lit("["),
+            F.array_join(
+                F.transform(items, lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))),
+                ", "
+            ),
+            F.lit("]")
+        )
+    )
     return table(spark, sf, "recipes_clean").select("id", "extract_date", X.list_literal(text).alias("items"))
 
 
-@R.add("fill_description", "SELECT recipe_id, coalesce(nullif(tags, ''), concat_ws(' ', name, top_ingredients)) description FROM dim_recipe WHERE avg_cook_minutes <> 0 AND ingredient_count <> 0")
+@R.add(
+    "fill_description",
+    "SELECT recipe_id, coalesce(nullif(tags, ''), concat_ws(' ', name, top_ingredients)) description FROM dim_recipe WHERE avg_cook_minutes <> 0 AND ingredient_count <> 0"
+)
 def fill_description(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "dim_recipe").filter("avg_cook_minutes <> 0 and ingredient_count <> 0")
-    return t.select("recipe_id", F.coalesce(F.nullif("tags", F.lit("")), F.concat_ws(" ", "name", "top_ingredients")).alias("description"))
+    return t.select(
+        "recipe_id",
+        F.coalesce(F.nullif("tags", F.lit("")), F.concat_ws(" ", "name", "top_ingredients")).alias("description")
+    )
 
 
 # -------------------------------------------------------------------------------------------------------------- text
@@ -279,7 +350,9 @@ def canonical_loose(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("clean_reviews", r"""SELECT doc_id, CASE WHEN length(t) >= 2 THEN t END review FROM (
     SELECT doc_id, nfc_normalize(trim(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(0), ''), '<[^>]+', ' ', 'g'), '\s+', ' ', 'g'))) t FROM documents)""")
 def clean_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.short_as_null(X.nfc(X.clean_review(F.col("text")))).alias("review"))
+    return table(spark, sf, "documents").select(
+        "doc_id", X.short_as_null(X.nfc(X.clean_review(F.col("text")))).alias("review")
+    )
 
 
 @R.add("html_strip", r"SELECT doc_id, regexp_replace(text, '<[^>]+>', ' ', 'g') t FROM documents")
@@ -287,7 +360,10 @@ def html_strip(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.strip_html(F.col("text"), strict=True).alias("t"))
 
 
-@R.add("ingredient_text", r"SELECT recipe_id, trim(regexp_replace(regexp_replace(lower(coalesce(top_ingredients, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) t FROM dim_recipe")
+@R.add(
+    "ingredient_text",
+    r"SELECT recipe_id, trim(regexp_replace(regexp_replace(lower(coalesce(top_ingredients, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) t FROM dim_recipe"
+)
 def ingredient_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "dim_recipe").select("recipe_id", X.ingredient_text(F.col("top_ingredients")).alias("t"))
 
@@ -297,7 +373,10 @@ def tokenize(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.match_tokens(F.col("text")).alias("tokens"))
 
 
-@R.add("split_alnum", "SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 2) tokens FROM documents")
+@R.add(
+    "split_alnum",
+    "SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 2) tokens FROM documents"
+)
 def split_alnum(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.split_alnum(F.col("text")).alias("tokens"))
 
@@ -305,7 +384,9 @@ def split_alnum(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("possessive", r"""SELECT doc_id, regexp_replace(regexp_replace(t, '\b([a-zA-Z]{2,}) s ([a-zA-Z])', '\1''s \2', 'g'), '\b([a-zA-Z]{2,}) s$', '\1''s') t
     FROM (SELECT doc_id, replace(text, '''', ' ') t FROM documents)""")
 def possessive(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.restore_possessive(F.replace(F.col("text"), F.lit("'"), F.lit(" "))).alias("t"))
+    return table(spark, sf, "documents").select(
+        "doc_id", X.restore_possessive(F.replace(F.col("text"), F.lit("'"), F.lit(" "))).alias("t")
+    )
 
 
 @R.add("exclamations", "SELECT doc_id, len(regexp_extract_all(text, '!'))::INTEGER n FROM documents")
@@ -316,11 +397,16 @@ def exclamations(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("useful_tags", f"""WITH t AS (SELECT DISTINCT trim(x) tag FROM (SELECT unnest(string_split_regex(tags, '[|,;]')) x FROM dim_recipe))
     SELECT tag FROM t WHERE tag <> '' AND NOT (tag IN ({sql_list(V.TAG_BLOCKLIST)}) OR tag LIKE 'for-%' OR tag LIKE '%-servings%' OR regexp_matches(tag, '^\\d+$'))""")
 def useful_tags(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "dim_recipe").select(F.explode(F.split("tags", "[|,;]")).alias("x")).select(F.trim("x").alias("tag")).distinct()
+    t = table(spark, sf, "dim_recipe").select(
+        F.explode(F.split("tags", "[|,;]")).alias("x")
+    ).select(F.trim("x").alias("tag")).distinct()
     return t.filter((F.col("tag") != "") & X.is_useful_tag(F.col("tag")))
 
 
-@R.add("interaction_hash", "SELECT DISTINCT user_id, recipe_id, date_id, ('0x' || substr(sha256(user_id || '_' || recipe_id || '_' || date_id), 1, 15))::BIGINT h FROM fact_interactions WHERE user_id IS NOT NULL AND recipe_id IS NOT NULL AND date_id IS NOT NULL")
+@R.add(
+    "interaction_hash",
+    "SELECT DISTINCT user_id, recipe_id, date_id, ('0x' || substr(sha256(user_id || '_' || recipe_id || '_' || date_id), 1, 15))::BIGINT h FROM fact_interactions WHERE user_id IS NOT NULL AND recipe_id IS NOT NULL AND date_id IS NOT NULL"
+)
 def interaction_hash(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["user_id", "recipe_id", "date_id"]
     t = table(spark, sf, "fact_interactions").dropna(subset=keys).select(*keys).distinct()
@@ -328,9 +414,14 @@ def interaction_hash(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(*keys, F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint").alias("h"))
 
 
-@R.add("serving_grams", r"SELECT doc_id, try_cast(nullif(regexp_extract(text, '(\d+) gram', 1), '') AS DOUBLE) grams FROM documents")
+@R.add(
+    "serving_grams",
+    r"SELECT doc_id, try_cast(nullif(regexp_extract(text, '(\d+) gram', 1), '') AS DOUBLE) grams FROM documents"
+)
 def serving_grams(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.nullif(F.regexp_extract("text", r"(\d+) gram", 1), F.lit("")).try_cast("double").alias("grams"))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.nullif(F.regexp_extract("text", r"(\d+) gram", 1), F.lit("")).try_cast("double").alias("grams")
+    )
 
 
 R.plain("valid_ratings", dates=("date",))

@@ -163,7 +163,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     """References and orphans per dimension and month of loading."""
     month = F.trunc(F.col("ref_at").cast("date"), "month").alias("month")
-    totals = _refs(spark, sf).filter("ref_at is not null").groupBy("ref_field", month).agg(F.count(F.lit(1)).alias("n_refs"))
+    totals = _refs(spark, sf).filter("ref_at is not null").groupBy("ref_field", month).agg(
+        F.count(F.lit(1)).alias("n_refs")
+    )
     found = (
         _tracked(spark, sf).found()
         .groupBy("ref_field", month, "key").agg(F.count(F.lit(1)).alias("n"))

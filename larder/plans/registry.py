@@ -28,7 +28,9 @@ class Registry:
 
         return take
 
-    def plain(self, name: str, dates: tuple[str, ...] = (), micros: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> None:
+    def plain(
+        self, name: str, dates: tuple[str, ...] = (), micros: tuple[str, ...] = (), lists: tuple[str, ...] = ()
+    ) -> None:
         """Gives columns of a query in types that every client shows alike, in Spark and SQL: dates as ISO text, times as
         microseconds, lists joined by bars."""
         f = self.queries[name]

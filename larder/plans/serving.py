@@ -21,28 +21,45 @@ R = Registry()
     WHERE x.doc_kind = 'steps' AND d.recipe_id = (SELECT min(recipe_id) FROM documents JOIN dim_recipe USING (recipe_id) WHERE doc_kind = 'steps')""")
 def recipe_detail(spark: SparkSession, sf: str) -> DataFrame:
     """The steps of one recipe: a point look-up that reaches the scan of the recipes."""
-    docs = table(spark, sf, "documents").filter("doc_kind = 'steps' and recipe_id is not null").select("recipe_id", "doc_id", "text")
+    docs = table(spark, sf, "documents").filter(
+        "doc_kind = 'steps' and recipe_id is not null"
+    ).select("recipe_id", "doc_id", "text")
     names = table(spark, sf, "dim_recipe").select("recipe_id", "name")
     one = docs.join(names, "recipe_id", "left_semi").agg(F.min("recipe_id")).first()[0]
-    hit = names.filter(F.col("recipe_id") == F.lit(one)).join(docs.filter(F.col("recipe_id") == F.lit(one)), "recipe_id")
-    return hit.select("recipe_id", "name", "doc_id", F.regexp_extract_all("text", F.lit("[^\\n]+"), F.lit(0)).alias("steps"))
-
-
-@R.add("tag_facets", "SELECT tag, count(*) n FROM (SELECT DISTINCT recipe_id, trim(x) tag FROM (SELECT recipe_id, unnest(string_split_regex(tags, '[|,;\\n\\t]')) x FROM dim_recipe)) WHERE tag <> '' GROUP BY tag")
+    hit = names.filter(F.col("recipe_id") == F.lit(one)).join(
+        docs.filter(F.col("recipe_id") == F.lit(one)), "recipe_id"
+    )
+    return hit.select(
+        "recipe_id", "name", "doc_id", F.regexp_extract_all("text", F.lit("[^\\n]+"), F.lit(0)).alias("steps")
+    )
+
+
+@R.add(
+    "tag_facets",
+    "SELECT tag, count(*) n FROM (SELECT DISTINCT recipe_id, trim(x) tag FROM (SELECT recipe_id, unnest(string_split_regex(tags, '[|,;\\n\\t]')) x FROM dim_recipe)) WHERE tag <> '' GROUP BY tag"
+)
 def tag_facets(spark: SparkSession, sf: str) -> DataFrame:
     """Raw tag strings with their number of recipes."""
-    t = table(spark, sf, "dim_recipe").select("recipe_id", F.explode(F.split("tags", "[|,;\\n\\t]")).alias("x")).select("recipe_id", F.trim("x").alias("tag"))
+    t = table(spark, sf, "dim_recipe").select(
+        "recipe_id", F.explode(F.split("tags", "[|,;\\n\\t]")).alias("x")
+    ).select("recipe_id", F.trim("x").alias("tag"))
     return t.filter("tag <> ''").distinct().groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("query_set", """SELECT list_sort(list_distinct(list_transform(string_split(lower(source), '_'), lambda x: trim(x)))) terms, count(*) n FROM documents WHERE source IS NOT NULL GROUP BY 1""")
+@R.add(
+    "query_set",
+    """SELECT list_sort(list_distinct(list_transform(string_split(lower(source), '_'), lambda x: trim(x)))) terms, count(*) n FROM documents WHERE source IS NOT NULL GROUP BY 1"""
+)
 def query_set(spark: SparkSession, sf: str) -> DataFrame:
     """A set of search words from a delimited list: split, trimmed, lower case, distinct."""
     terms = F.array_sort(F.array_distinct(F.transform(F.split(F.lower("source"), "_"), F.trim)))
     return table(spark, sf, "documents").filter("source is not null").groupBy(terms.alias("terms")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("decision_table", """SELECT recipe_id, CASE WHEN length(name) > 15 THEN substr(name, 1, 15) || '...' ELSE name END label, repeat('#', least(greatest(coalesce(avg_rating, 0)::INTEGER, 0), 10)) bar FROM dim_recipe""")
+@R.add(
+    "decision_table",
+    """SELECT recipe_id, CASE WHEN length(name) > 15 THEN substr(name, 1, 15) || '...' ELSE name END label, repeat('#', least(greatest(coalesce(avg_rating, 0)::INTEGER, 0), 10)) bar FROM dim_recipe"""
+)
 def decision_table(spark: SparkSession, sf: str) -> DataFrame:
     """Shortened names and text bars."""
     bar = F.expr("repeat('#', least(greatest(cast(rint(coalesce(avg_rating, 0)) as int), 0), 10))")
@@ -50,16 +67,25 @@ def decision_table(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "dim_recipe").select("recipe_id", label.alias("label"), bar.alias("bar"))
 
 
-@R.add("segment_kpis", "SELECT count(*) n_users, count(DISTINCT cluster_label) n_segments, count(*) FILTER (cluster_label IN ('Sunday Braiser', 'Quick Skillet Cook')) n_selected FROM dim_user WHERE cluster_id IS NOT NULL")
+@R.add(
+    "segment_kpis",
+    "SELECT count(*) n_users, count(DISTINCT cluster_label) n_segments, count(*) FILTER (cluster_label IN ('Sunday Braiser', 'Quick Skillet Cook')) n_selected FROM dim_user WHERE cluster_id IS NOT NULL"
+)
 def segment_kpis(spark: SparkSession, sf: str) -> DataFrame:
     u = table(spark, sf, "dim_user").filter("cluster_id is not null")
-    return u.agg(F.count(F.lit(1)).alias("n_users"), F.count_distinct("cluster_label").alias("n_segments"), F.count_if(F.col("cluster_label").isin("Sunday Braiser", "Quick Skillet Cook")).alias("n_selected"))
+    return u.agg(
+        F.count(F.lit(1)).alias("n_users"), F.count_distinct("cluster_label").alias("n_segments"),
+        F.count_if(F.col("cluster_label").isin("Sunday Braiser", "Quick Skillet Cook")).alias("n_selected")
+    )
 
 
 _STAR = "CASE WHEN s BETWEEN -1 AND 1 THEN greatest(least(2 * s + 3, 5), 1) ELSE greatest(least(s, 5), 0) END"
 
 
-@R.add("star_rating", f"SELECT recipe_id, {steady_sql(_STAR)} AS stars FROM (SELECT recipe_id, coalesce(sentiment_rating, avg_rating) s FROM dim_recipe)")
+@R.add(
+    "star_rating",
+    f"SELECT recipe_id, {steady_sql(_STAR)} AS stars FROM (SELECT recipe_id, coalesce(sentiment_rating, avg_rating) s FROM dim_recipe)"
+)
 def star_rating(spark: SparkSession, sf: str) -> DataFrame:
     """Sentiment of -1..1 as stars of 1..5; other scales are cut to 0..5."""
     s = F.coalesce("sentiment_rating", "avg_rating")
@@ -80,20 +106,34 @@ _BEST = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY can
     SELECT recipe_id, n n_swaps, {steady_sql('base')} AS before, {steady_sql('(base * (w + 10) - 10 * c + s + 10 * c) / (w + n + 10)')} AS after FROM s JOIN b USING (recipe_id), g""")
 def swap_what_if(spark: SparkSession, sf: str) -> DataFrame:
     """The shrunken sentiment of a recipe if the swaps of its ingredients counted as reviews of their own."""
-    t = table(spark, sf, "serving_substitution_recommendations").withColumn("s", F.nanvl("recommendation_score", F.lit(None)))
-    last = keep_first(t, ["candidate_ingredient", "substitute_ingredient"], [F.col("updated_at").desc(), F.coalesce("s", F.lit(-1e9)).desc()]).filter("s is not null")
+    t = table(
+        spark, sf, "serving_substitution_recommendations"
+    ).withColumn("s", F.nanvl("recommendation_score", F.lit(None)))
+    last = keep_first(
+        t, ["candidate_ingredient", "substitute_ingredient"],
+        [F.col("updated_at").desc(), F.coalesce("s", F.lit(-1e9)).desc()]
+    ).filter("s is not null")
     best = keep_first(last, ["substitute_ingredient"], [F.col("s").desc(), "candidate_ingredient"])
-    best = best.select(F.col("substitute_ingredient").alias("i"), F.nanvl("sentiment_delta", F.lit(None)).alias("d")).filter("d is not null")
+    best = best.select(
+        F.col("substitute_ingredient").alias("i"), F.nanvl("sentiment_delta", F.lit(None)).alias("d")
+    ).filter("d is not null")
     c = table(spark, sf, "fact_interactions").agg(F.avg("sentiment_score")).first()[0]
     b = table(spark, sf, "dim_recipe").filter("avg_rating is not null").select(
-        F.col("recipe_id").alias("id"), ((F.col("avg_rating") - 3) / 2).alias("base"), F.coalesce("weighted_review_count", F.lit(0.0)).alias("w")
+        F.col("recipe_id").alias("id"), ((F.col("avg_rating") - 3) / 2).alias("base"), F.coalesce(
+            "weighted_review_count", F.lit(0.0)
+        ).alias("w")
     )
     e = recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("i")).distinct()
     d = split_join(e, best, ["i"]).join(b, "id")
-    s = d.groupBy("id", "base", "w").agg(F.count(F.lit(1)).alias("n_swaps"), F.sum(clip(F.col("base") + F.col("d"), -1.0, 1.0)).alias("s"))
+    s = d.groupBy("id", "base", "w").agg(
+        F.count(F.lit(1)).alias("n_swaps"), F.sum(clip(F.col("base") + F.col("d"), -1.0, 1.0)).alias("s")
+    )
     m, g = PSEUDO_COUNT, F.lit(c)
     after = (F.col("base") * (F.col("w") + m) - m * g + F.col("s") + m * g) / (F.col("w") + F.col("n_swaps") + m)
-    return s.select(F.col("id").alias("recipe_id"), "n_swaps", steady_round(F.col("base")).alias("before"), steady_round(after).alias("after"))
+    return s.select(
+        F.col("id").alias("recipe_id"), "n_swaps", steady_round(F.col("base")).alias("before"),
+        steady_round(after).alias("after")
+    )
 
 
 _BAKING = ("bake", "baking", "cookie", "cake", "dessert", "bread", "pastry")
@@ -104,18 +144,28 @@ _BAKING = ("bake", "baking", "cookie", "cake", "dessert", "bread", "pastry")
     SELECT ingredient, {steady_sql('avg(CASE WHEN bakes THEN 1.0 ELSE 0 END)')} AS rate, avg(CASE WHEN bakes THEN 1.0 ELSE 0 END) >= 0.5 AS is_baking FROM e JOIN k ON k.recipe_id = e.id GROUP BY ingredient""")
 def baking_context(spark: SparkSession, sf: str) -> DataFrame:
     """How often an ingredient is listed in recipes tagged for baking."""
-    k = table(spark, sf, "dim_recipe").select(F.col("recipe_id").alias("id"), F.coalesce(F.col("tags").rlike("|".join(_BAKING)), F.lit(False)).alias("bakes"))
+    k = table(spark, sf, "dim_recipe").select(
+        F.col("recipe_id").alias("id"), F.coalesce(F.col("tags").rlike("|".join(_BAKING)), F.lit(False)).alias("bakes")
+    )
     e = recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("ingredient")).join(k, "id")
     rate = F.avg(F.col("bakes").cast("double"))
     return e.groupBy("ingredient").agg(steady_round(rate).alias("rate"), (rate >= 0.5).alias("is_baking"))
 
 
-@R.add("global_sentiment", f"SELECT {steady_sql('avg(sentiment_score)')} AS mean_sentiment, count(sentiment_score) n FROM fact_interactions")
+@R.add(
+    "global_sentiment",
+    f"SELECT {steady_sql('avg(sentiment_score)')} AS mean_sentiment, count(sentiment_score) n FROM fact_interactions"
+)
 def global_sentiment(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "fact_interactions").agg(steady_round(F.avg("sentiment_score")).alias("mean_sentiment"), F.count("sentiment_score").alias("n"))
+    return table(spark, sf, "fact_interactions").agg(
+        steady_round(F.avg("sentiment_score")).alias("mean_sentiment"), F.count("sentiment_score").alias("n")
+    )
 
 
-@R.add("term_counts", "SELECT primary_tag, count(*) n FROM recipes_clean WHERE primary_tag IS NOT NULL GROUP BY 1 ORDER BY n DESC, primary_tag LIMIT 20")
+@R.add(
+    "term_counts",
+    "SELECT primary_tag, count(*) n FROM recipes_clean WHERE primary_tag IS NOT NULL GROUP BY 1 ORDER BY n DESC, primary_tag LIMIT 20"
+)
 def term_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty most frequent tags (the top list is the feature)."""
     n = table(spark, sf, "recipes_clean").filter("primary_tag is not null").groupBy("primary_tag").agg(F.count(F.lit(1)).alias("n"))
@@ -125,10 +175,15 @@ def term_counts(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("hash_sample")
 def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A hundred users picked by a seeded hash: the same ones on any cluster (sampling is the feature)."""
-    return table(spark, sf, "dim_user").select("user_id").orderBy(F.xxhash64("user_id", F.lit(42)), "user_id").limit(100)
+    return table(spark, sf, "dim_user").select("user_id").orderBy(
+        F.xxhash64("user_id", F.lit(42)), "user_id"
+    ).limit(100)
 
 
-@R.add("latest_runs", "SELECT candidate_ingredient, max(updated_at) updated_at, count(*) n FROM serving_substitution_recommendations WHERE candidate_ingredient IS NOT NULL GROUP BY 1")
+@R.add(
+    "latest_runs",
+    "SELECT candidate_ingredient, max(updated_at) updated_at, count(*) n FROM serving_substitution_recommendations WHERE candidate_ingredient IS NOT NULL GROUP BY 1"
+)
 def latest_runs(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "serving_substitution_recommendations").filter("candidate_ingredient is not null")
     return t.groupBy("candidate_ingredient").agg(F.max("updated_at").alias("updated_at"), F.count(F.lit(1)).alias("n"))
@@ -139,9 +194,15 @@ def latest_runs(spark: SparkSession, sf: str) -> DataFrame:
 def text_templates(spark: SparkSession, sf: str) -> DataFrame:
     """Prompts from a template, and the first eight ingredients with the number of the rest."""
     items = F.col("ingredients_canonical_list")
-    prompt = F.concat(F.lit("How to cook "), F.coalesce("name", F.lit("?")), F.lit(" in "), F.col("minutes").cast("string"), F.lit(" minutes: 20 dish names"))
+    prompt = F.concat(
+        F.lit("How to cook "), F.coalesce("name", F.lit("?")), F.lit(" in "), F.col("minutes").cast("string"),
+        F.lit(" minutes: 20 dish names")
+    )
     r = recipes(spark, sf).filter(F.col("minutes").isNotNull() & (F.size(items) > 8))
-    return r.select("id", prompt.alias("prompt"), F.array_join(F.slice(items, 1, 8), ", ").alias("shown"), (F.size(items) - 8).alias("n_more"))
+    return r.select(
+        "id", prompt.alias("prompt"), F.array_join(F.slice(items, 1, 8), ", ").alias("shown"),
+        (F.size(items) - 8).alias("n_more")
+    )
 
 
 @R.add("nearest_one", """WITH k AS (SELECT a.vec_id query_id, b.vec_id id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
@@ -150,7 +211,10 @@ def nearest_one(spark: SparkSession, sf: str) -> DataFrame:
     """The best vector of every query vector (id divisible by 50) with its status."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     n = N.nearest(v.filter("id % 50 = 0"), v, 1)
-    return n.select("query_id", "id", F.round("similarity", 5).alias("similarity"), M.match_status(F.col("similarity")).alias("match_status"))
+    return n.select(
+        "query_id", "id", F.round("similarity", 5).alias("similarity"),
+        M.match_status(F.col("similarity")).alias("match_status")
+    )
 
 
 @R.add("vector_classes")
@@ -160,7 +224,10 @@ def vector_classes(spark: SparkSession, sf: str) -> DataFrame:
     return M.components(v.select("id"), N.similar_vectors(v, 0.7).select("a", "b"))
 
 
-@R.add("user_segment_ratings", f"""WITH {CLEAN} SELECT cluster_label, rating::INTEGER rating, count(*) n FROM c LEFT JOIN dim_user USING (user_id) GROUP BY ALL""")
+@R.add(
+    "user_segment_ratings",
+    f"""WITH {CLEAN} SELECT cluster_label, rating::INTEGER rating, count(*) n FROM c LEFT JOIN dim_user USING (user_id) GROUP BY ALL"""
+)
 def user_segment_ratings(spark: SparkSession, sf: str) -> DataFrame:
     """Ratings by segment; the join of a hot user's rows is split off."""
     u = table(spark, sf, "dim_user").select("user_id", "cluster_label")
@@ -169,14 +236,22 @@ def user_segment_ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@R.add("rising_queries", """SELECT source k, list_sort(list(name))[1:5] names, count(*) n FROM (SELECT CASE WHEN recipe_id % 2 = 0 THEN 'rising' ELSE 'top' END source, lower(trim(name)) name FROM dim_recipe WHERE regexp_matches(name, '(?i)soup'))  GROUP BY source""")
+@R.add(
+    "rising_queries",
+    """SELECT source k, list_sort(list(name))[1:5] names, count(*) n FROM (SELECT CASE WHEN recipe_id % 2 = 0 THEN 'rising' ELSE 'top' END source, lower(trim(name)) name FROM dim_recipe WHERE regexp_matches(name, '(?i)soup'))  GROUP BY source"""
+)
 def rising_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Per kind, the first five names of soups in order and the number of all; only five a kind leave a task."""
     from pyspark.sql import Window
 
     t = table(spark, sf, "dim_recipe").filter(F.col("name").rlike("(?i)soup"))
-    t = t.select(F.when(F.col("recipe_id") % 2 == 0, "rising").otherwise("top").alias("k"), F.lower(F.trim("name")).alias("name"), "recipe_id")
-    first = t.withColumn("p", F.row_number().over(Window.partitionBy("k").orderBy("name", "recipe_id"))).filter("p <= 5")
+    t = t.select(
+        F.when(F.col("recipe_id") % 2 == 0, "rising").otherwise("top").alias("k"),
+        F.lower(F.trim("name")).alias("name"), "recipe_id"
+    )
+    first = t.withColumn(
+        "p", F.row_number().over(Window.partitionBy("k").orderBy("name", "recipe_id"))
+    ).filter("p <= 5")
     lists = first.groupBy("k").agg(F.array_sort(F.collect_list("name")).alias("names"))
     return lists.join(t.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
 

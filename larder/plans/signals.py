@@ -38,19 +38,26 @@ _BOOST = "MAP {" + ", ".join(f"'{w}': {v}::DOUBLE" for w, v in S.BOOSTERS.items(
     e AS (SELECT d.doc_id, d.text, coalesce(s, 0) + sign(round(coalesce(s, 0), 9)) * least(len(regexp_extract_all(text, '!')), {S.MOST_EXCLAIM}) * {S.EXCLAIM} s FROM documents d LEFT JOIN s USING (doc_id))
     SELECT doc_id, {steady_sql(f"CASE WHEN trim(text) <> '' THEN s / sqrt(s * s + {S.ALPHA}) END")} AS compound FROM e""")
 def lexicon_sentiment(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", steady_round(S.lexicon_score(F.col("text"))).alias("compound"))
+    return table(spark, sf, "documents").select(
+        "doc_id", steady_round(S.lexicon_score(F.col("text"))).alias("compound")
+    )
 
 
 # ------------------------------------------------------------------------------------------------------------ tagging
 
 
 def _alias_case(t: str, keys: list[str]) -> str:
-    return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({t}, '\\b{k}\\b') THEN '{k}' END" for k in keys) + ", NULL)"
+    return "coalesce(" + ", ".join(
+        f"CASE WHEN regexp_matches({t}, '\\b{k}\\b') THEN '{k}' END" for k in keys
+    ) + ", NULL)"
 
 
 def _tags_sql(source: str, key: str, text: str) -> str:
     """Tags of ``text`` in ``source`` by keyword, as one union of the taxonomy's tags."""
-    parts = [f"SELECT {key}, '{tag}' tag, '{dim}' dimension, {_alias_case('t', keys)} kw FROM n" for tag, dim, keys in V.taxonomy()]
+    parts = [
+        f"SELECT {key}, '{tag}' tag, '{dim}' dimension, {_alias_case('t', keys)} kw FROM n" for tag, dim,
+        keys in V.taxonomy()
+    ]
     return f"""WITH n AS (SELECT {key}, {sql_for_tags(text)} t FROM {source}), x AS ({' UNION ALL '.join(parts)})
     SELECT {key}, tag, dimension, {sql_term('kw')} matched_term FROM x WHERE kw IS NOT NULL"""
 
@@ -61,7 +68,10 @@ def _recipe_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RECIPE_TEXT = "concat_ws(' ', name, array_to_string(ingredients_canonical_list, ' '))"
-_RECIPE_TAGS = _tags_sql("(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY extract_date DESC NULLS LAST) rn FROM recipes_clean WHERE id IS NOT NULL) WHERE rn = 1)", "id", _RECIPE_TEXT)
+_RECIPE_TAGS = _tags_sql(
+    "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY extract_date DESC NULLS LAST) rn FROM recipes_clean WHERE id IS NOT NULL) WHERE rn = 1)",
+    "id", _RECIPE_TEXT
+)
 
 
 @R.add("taxonomy_tags", _RECIPE_TAGS)
@@ -103,7 +113,10 @@ _PHRASES = f"""p AS (SELECT unnest(string_split_regex(text, '[,\\n;|•]')) x FR
     n AS (SELECT term, count(*) raw_frequency FROM ok GROUP BY term), z AS (SELECT avg(raw_frequency) m, stddev_samp(raw_frequency) s FROM n)"""
 
 
-@R.add("phrase_scores", f"WITH {_PHRASES} SELECT term, raw_frequency, {steady_sql('(raw_frequency - m) / s', 6)} AS normalised_score FROM n, z")
+@R.add(
+    "phrase_scores",
+    f"WITH {_PHRASES} SELECT term, raw_frequency, {steady_sql('(raw_frequency - m) / s', 6)} AS normalised_score FROM n, z"
+)
 def phrase_scores(spark: SparkSession, sf: str) -> DataFrame:
     return G.phrase_scores(table(spark, sf, "documents"), "text")
 
@@ -131,7 +144,10 @@ def _searches(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("recipe_id") % 3
     raw = F.concat(_asked(), F.when(k == 0, " recipe").when(k == 1, " car insurance").otherwise(""))
     t = table(spark, sf, "dim_recipe").filter("name is not null")
-    return t.select(F.when(F.col("recipe_id") % 2 == 0, "trends").otherwise("ai_mode").alias("source"), raw.alias("raw_term"), F.col("avg_rating").alias("source_score"))
+    return t.select(
+        F.when(F.col("recipe_id") % 2 == 0, "trends").otherwise("ai_mode").alias("source"), raw.alias("raw_term"),
+        F.col("avg_rating").alias("source_score")
+    )
 
 
 _KEYS = "|".join(k for _, _, ks in V.taxonomy() for k in ks)
@@ -153,7 +169,12 @@ def external_terms(spark: SparkSession, sf: str) -> DataFrame:
     return _external(spark, sf).select("source", "raw_term", "canonical_term", "source_score")
 
 
-@R.add("signal_tags", "SELECT DISTINCT * FROM (" + _tags_sql(f"(WITH {_SEARCHES} SELECT source, raw_term FROM t)", "source, raw_term", "raw_term") + ")")
+@R.add(
+    "signal_tags",
+    "SELECT DISTINCT * FROM (" + _tags_sql(
+        f"(WITH {_SEARCHES} SELECT source, raw_term FROM t)", "source, raw_term", "raw_term"
+    ) + ")"
+)
 def signal_tags(spark: SparkSession, sf: str) -> DataFrame:
     rows = _searches(spark, sf).select("source", "raw_term").distinct()
     return G.tag_rows(rows, F.col("raw_term"), ["source", "raw_term"]).distinct()
@@ -171,30 +192,53 @@ def seed_filter(spark: SparkSession, sf: str) -> DataFrame:
     s AS (SELECT k, unnest(generate_series(date_trunc('month', min(month_end))::TIMESTAMP, date_trunc('month', max(month_end))::TIMESTAMP, INTERVAL 1 MONTH)) d FROM m GROUP BY k)
     SELECT s.k AS source, last_day(d::DATE) month_end, {steady_sql('v', 2)} AS interest FROM s LEFT JOIN m ON m.k = s.k AND m.month_end = last_day(s.d::DATE)""")
 def monthly_interest(spark: SparkSession, sf: str) -> DataFrame:
-    return G.monthly_interest(table(spark, sf, "documents").filter("fetched_date is not null and source is not null"), "source", "fetched_date", "n_chars")
+    return G.monthly_interest(
+        table(spark, sf, "documents").filter("fetched_date is not null and source is not null"), "source",
+        "fetched_date", "n_chars"
+    )
 
 
-@R.add("nutrient_pick", """SELECT recipe_id, protein amount_protein, sodium / 1000 amount_sodium_g, NULL::DOUBLE amount_unknown FROM dim_recipe""")
+@R.add(
+    "nutrient_pick",
+    """SELECT recipe_id, protein amount_protein, sodium / 1000 amount_sodium_g, NULL::DOUBLE amount_unknown FROM dim_recipe"""
+)
 def nutrient_pick(spark: SparkSession, sf: str) -> DataFrame:
     """Nutrients picked from nested and flat JSON entries by name and unit."""
     t = table(spark, sf, "dim_recipe")
     c = lambda x: F.to_json(F.struct(F.col(x).alias("v")))
     num = lambda x: F.coalesce(F.regexp_extract(c(x), r":(.*)\}", 1), F.lit("null"))
     val = lambda x: F.when(F.col(x).isNull(), "null").otherwise(num(x))
-    doc = F.concat(F.lit('[{"nutrient":{"name":"Protein","unitName":"G"},"amount":'), val("protein"), F.lit('},{"nutrientName":"Sodium, Na","unitName":"MG","value":'), val("sodium"), F.lit('},{"nutrientName":"Fiber","unitName":"G","amount":"n/a"}]'))
+    doc = F.concat(
+        F.lit('[{"nutrient":{"name":"Protein","unitName":"G"},"amount":'), val("protein"),
+        F.lit('},{"nutrientName":"Sodium, Na","unitName":"MG","value":'), val("sodium"),
+        F.lit('},{"nutrientName":"Fiber","unitName":"G","amount":"n/a"}]')
+    )
     n = F.from_json(doc, f"array<{IO.NUTRIENT}>")
     return t.select(
-        "recipe_id", IO.nutrient_amount(n, ["protein"]).alias("amount_protein"), (IO.nutrient_amount(n, ["sodium"], ["mg"]) / 1000).alias("amount_sodium_g"),
+        "recipe_id", IO.nutrient_amount(n, ["protein"]).alias("amount_protein"), (
+            IO.nutrient_amount(n, ["sodium"], ["mg"]) / 1000
+        ).alias("amount_sodium_g"),
         IO.nutrient_amount(n, ["fiber"]).alias("amount_unknown"),
     )
 
 
-@R.add("timeline_scan", "SELECT o_custkey, o_orderkey, date_trunc('second', o_orderdate) AS point_at, o_orderstatus keyword, (o_totalprice / 10000)::INTEGER AS value FROM orders")
+@R.add(
+    "timeline_scan",
+    "SELECT o_custkey, o_orderkey, date_trunc('second', o_orderdate) AS point_at, o_orderstatus keyword, (o_totalprice / 10000)::INTEGER AS value FROM orders"
+)
 def timeline_scan(spark: SparkSession, sf: str) -> DataFrame:
     """An interest timeline as JSON, scanned into points."""
     t = table(spark, sf, "orders")
     at = F.unix_timestamp(F.date_trunc("second", F.col("o_orderdate").cast("timestamp"))).cast("string")
-    point = F.struct(at.alias("timestamp"), F.array(F.struct(F.col("o_orderstatus").alias("query"), F.rint(F.col("o_totalprice") / 10000).cast("int").alias("extracted_value"))).alias("values"))
+    point = F.struct(
+        at.alias("timestamp"),
+        F.array(
+            F.struct(
+                F.col("o_orderstatus").alias("query"),
+                F.rint(F.col("o_totalprice") / 10000).cast("int").alias("extracted_value")
+            )
+        ).alias("values")
+    )
     doc = F.to_json(F.struct(F.struct(F.array(point).alias("timeline_data")).alias("interest_over_time")))
     p = t.select("o_custkey", "o_orderkey", F.explode(IO.timeline_points(doc)).alias("p"))
     return p.select("o_custkey", "o_orderkey", F.col("p.at").alias("point_at"), "p.keyword", "p.value")
@@ -206,18 +250,29 @@ def related_queries(spark: SparkSession, sf: str) -> DataFrame:
     q = F.concat(F.lower("name"), F.lit(" recipe"))
     item = lambda v: F.array(F.struct(q.alias("query"), v.cast("string").alias("value")), F.struct(F.lit("car repair").alias("query"), F.lit("9").alias("value")))
     rise = F.when(F.col("recipe_id") % 2 == 0, "Breakout").otherwise("unknown")
-    doc = F.to_json(F.struct(F.struct(item(rise).alias("rising"), item(F.col("review_count")).alias("top")).alias("related_queries")))
+    doc = F.to_json(
+        F.struct(
+            F.struct(item(rise).alias("rising"), item(F.col("review_count")).alias("top")).alias("related_queries")
+        )
+    )
     rows = t.select("recipe_id", "review_count", F.explode(IO.related_queries(doc)).alias("r"))
-    value = F.when((F.col("r.query_type") == "top") & F.col("review_count").isNull(), None).otherwise(F.col("r.raw_value"))
+    value = F.when(
+        (F.col("r.query_type") == "top") & F.col("review_count").isNull(), None
+    ).otherwise(F.col("r.raw_value"))
     return rows.select("recipe_id", "r.query_type", "r.related_query", value.alias("raw_value"))
 
 
-@R.add("answer_blocks", f"""SELECT doc_id, 0::INTEGER block_index, trim(text) body FROM documents WHERE text IS NOT NULL AND length(trim(text)) >= 5 AND NOT regexp_matches(text, '{_JUNK}')""")
+@R.add(
+    "answer_blocks",
+    f"""SELECT doc_id, 0::INTEGER block_index, trim(text) body FROM documents WHERE text IS NOT NULL AND length(trim(text)) >= 5 AND NOT regexp_matches(text, '{_JUNK}')"""
+)
 def answer_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Answer pages of several shapes as JSON, scanned into text blocks."""
     t = table(spark, sf, "documents").filter("text is not null")
     k = F.col("doc_id") % 3
-    block = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("text").alias("snippet"))).alias("text_blocks")).alias("ai_mode")))
+    block = F.to_json(
+        F.struct(F.struct(F.array(F.struct(F.col("text").alias("snippet"))).alias("text_blocks")).alias("ai_mode"))
+    )
     plain = F.to_json(F.struct(F.struct(F.col("text").alias("answer")).alias("ai_overview")))
     mark = F.to_json(F.struct(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")).alias("reconstructed_markdown")))
     doc = F.when(k == 0, block).when(k == 1, plain).otherwise(mark)
@@ -235,8 +290,12 @@ def supply_demand_gap(spark: SparkSession, sf: str) -> DataFrame:
     tags = materialize(_recipe_tags(spark, sf), "tags")
     supply = tags.groupBy(F.col("tag").alias("term")).agg(F.count(F.lit(1)).alias("recipe_count"))
     score = steady_round(F.avg(F.nanvl("calories_pdv", F.lit(None))) / 100)
-    demand = table(spark, sf, "recipes_clean").filter("primary_tag is not null").groupBy(F.col("primary_tag").alias("term")).agg(score.alias("combined_score"))
-    demand = demand.unionByName(tags.filter("dimension = 'cuisine'").select(F.col("tag").alias("term")).distinct().withColumn("combined_score", F.lit(0.5)))
+    demand = table(spark, sf, "recipes_clean").filter("primary_tag is not null").groupBy(
+        F.col("primary_tag").alias("term")
+    ).agg(score.alias("combined_score"))
+    demand = demand.unionByName(
+        tags.filter("dimension = 'cuisine'").select(F.col("tag").alias("term")).distinct().withColumn("combined_score", F.lit(0.5))
+    )
     return G.supply_demand_gap(demand, supply)
 
 
@@ -256,16 +315,26 @@ def food_match(spark: SparkSession, sf: str) -> DataFrame:
     A word stands in a description only inside one of its runs of letters, so words and runs meet on two-letter parts
     and are then compared; no ingredient is compared with all descriptions.
     """
-    q = table(spark, sf, "recipes_clean").select(F.explode("ingredients_canonical_list").alias("q")).filter("q is not null").distinct()
+    q = table(spark, sf, "recipes_clean").select(
+        F.explode("ingredients_canonical_list").alias("q")
+    ).filter("q is not null").distinct()
     q = q.withColumn("t", X.split_alnum(F.col("q"))).filter(F.size("t") > 0)
-    f = table(spark, sf, "dim_recipe").filter("name is not null").select("recipe_id", F.lower("name").alias("d"), F.coalesce("ingredient_count", F.lit(0)).alias("rich"))
+    f = table(spark, sf, "dim_recipe").filter("name is not null").select(
+        "recipe_id", F.lower("name").alias("d"), F.coalesce("ingredient_count", F.lit(0)).alias("rich")
+    )
     words = q.select(F.explode("t").alias("w")).distinct().withColumn("g", F.substring("w", 1, 2))
     runs = f.select(F.explode(F.split("d", "[^a-z0-9]+")).alias("r")).filter(F.length("r") >= 2).distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("r") - 1), lambda i: F.substring(F.col("r"), i, F.lit(2))))
-    meet = words.join(runs.withColumn("g", F.explode(grams)), "g").filter(F.contains("r", "w")).select("w", "r").distinct()
+    grams = F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length("r") - 1), lambda i: F.substring(F.col("r"), i, F.lit(2)))
+    )
+    meet = words.join(
+        runs.withColumn("g", F.explode(grams)), "g"
+    ).filter(F.contains("r", "w")).select("w", "r").distinct()
     fr = f.select("recipe_id", F.explode(F.array_distinct(F.split("d", "[^a-z0-9]+"))).alias("r"))
     hits = meet.join(fr, "r").select("w", "recipe_id").distinct()
-    pairs = q.select("q", F.explode("t").alias("w")).join(hits, "w").groupBy("q", "recipe_id").agg(F.count(F.lit(1)).alias("hits"))
+    pairs = q.select("q", F.explode("t").alias("w")).join(hits, "w").groupBy("q", "recipe_id").agg(
+        F.count(F.lit(1)).alias("hits")
+    )
     full = pairs.join(q, "q").join(f, "recipe_id")
     key = F.struct(
         F.contains("d", "q").cast("int").alias("phrase"), (F.col("hits") / F.size("t")).alias("rate"), (F.col("recipe_id") % 4).alias("kind"),
@@ -321,15 +390,23 @@ def gap_table(spark: SparkSession, sf: str) -> DataFrame:
     return _gaps(spark, sf)
 
 
-@R.add("top_gaps", f"WITH {_GAPS} SELECT source, canonical_term, gap_score FROM gaps WHERE match_status <> 'strong_match' ORDER BY gap_score DESC NULLS LAST, source, canonical_term LIMIT 3")
+@R.add(
+    "top_gaps",
+    f"WITH {_GAPS} SELECT source, canonical_term, gap_score FROM gaps WHERE match_status <> 'strong_match' ORDER BY gap_score DESC NULLS LAST, source, canonical_term LIMIT 3"
+)
 def top_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """The three largest gaps (a top list is the feature)."""
     return serve.top_gaps(_gaps(spark, sf)).select("source", "canonical_term", "gap_score")
 
 
-@R.add("gap_status_shares", f"WITH {_GAPS} SELECT match_status, count(*) n, {steady_sql('avg(gap_score)')} AS mean_gap FROM gaps GROUP BY 1")
+@R.add(
+    "gap_status_shares",
+    f"WITH {_GAPS} SELECT match_status, count(*) n, {steady_sql('avg(gap_score)')} AS mean_gap FROM gaps GROUP BY 1"
+)
 def gap_status_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return _gaps(spark, sf).groupBy("match_status").agg(F.count(F.lit(1)).alias("n"), steady_round(F.avg("gap_score")).alias("mean_gap"))
+    return _gaps(spark, sf).groupBy("match_status").agg(
+        F.count(F.lit(1)).alias("n"), steady_round(F.avg("gap_score")).alias("mean_gap")
+    )
 
 
 _SIMILAR = f"""n AS (SELECT DISTINCT {sql_strict('name')} node FROM dim_recipe WHERE name IS NOT NULL), nodes AS (SELECT node, {_sorted_sql('node')} s FROM n WHERE node <> ''),
@@ -338,11 +415,15 @@ _SIMILAR = f"""n AS (SELECT DISTINCT {sql_strict('name')} node FROM dim_recipe W
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "dim_recipe").filter("name is not null").select(X.canonical_strict(F.col("name")).alias("node"))
+    t = table(spark, sf, "dim_recipe").filter("name is not null").select(
+        X.canonical_strict(F.col("name")).alias("node")
+    )
     return t.filter("node <> ''").distinct()
 
 
-@R.add("similar_terms", f"WITH {_SIMILAR} SELECT a, b, {steady_sql('r')} AS similarity FROM edges WHERE r >= {V.SAME_TERM}")
+@R.add(
+    "similar_terms", f"WITH {_SIMILAR} SELECT a, b, {steady_sql('r')} AS similarity FROM edges WHERE r >= {V.SAME_TERM}"
+)
 def similar_terms(spark: SparkSession, sf: str) -> DataFrame:
     return M.similar_terms(_terms(spark, sf))
 
@@ -408,15 +489,23 @@ def substitutions(spark: SparkSession, sf: str) -> DataFrame:
     e AS (SELECT vec_id, list_concat(list_transform(embedding, lambda v: v::DOUBLE * 0.7), [(a - ma) / sa * 0.3, (b - mb) / sb * 0.3]) e FROM x, s)
     SELECT vec_id, len(e)::INTEGER dims, {steady_sql('e[1] / sqrt(list_dot_product(e, e))')} AS first_value, {steady_sql('e[-1] / sqrt(list_dot_product(e, e))')} AS last_value FROM e""")
 def hybrid_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
+    part = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b")
+    )
     e = N.hybrid_embedding(_vectors(spark, sf).join(part, "id"), "id", "embedding", ["a", "b"])
-    return e.select(F.col("id").alias("vec_id"), F.size("embedding").alias("dims"), steady_round(F.element_at("embedding", 1)).alias("first_value"), steady_round(F.element_at("embedding", -1)).alias("last_value"))
+    return e.select(
+        F.col("id").alias("vec_id"), F.size("embedding").alias("dims"),
+        steady_round(F.element_at("embedding", 1)).alias("first_value"),
+        steady_round(F.element_at("embedding", -1)).alias("last_value")
+    )
 
 
 @R.add("user_segments")
 def user_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Users in K-Means segments with names (rows only: starts and silhouette are not expressible in SQL)."""
-    rows = materialize(clean_interactions(spark, sf).select("user_id", "recipe_id", "date", "rating", "sentiment_score"), "rows")
+    rows = materialize(
+        clean_interactions(spark, sf).select("user_id", "recipe_id", "date", "rating", "sentiment_score"), "rows"
+    )
     cats = recipe_categories(recipes(spark, sf), "id", "ingredients_canonical_list")
     taste = category_profile(rows, cats, "user_id", "recipe_id", list(V.CATEGORIES))
     table_ = materialize(stats_of_users(rows).join(taste, "user_id"), "users")
@@ -447,20 +536,29 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("stream_serving", f"""WITH {_LIVE}, b AS (SELECT DISTINCT interaction_id, user_id, recipe_id, rating FROM fact_interactions WHERE source = 'batch' AND interaction_id IS NOT NULL)
     SELECT * FROM b UNION ALL SELECT * FROM live WHERE interaction_id NOT IN (SELECT interaction_id FROM b)""")
 def stream_serving(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "fact_interactions").filter("source = 'batch' and interaction_id is not null").select("interaction_id", "user_id", "recipe_id", "rating").distinct()
+    b = table(spark, sf, "fact_interactions").filter("source = 'batch' and interaction_id is not null").select(
+        "interaction_id", "user_id", "recipe_id", "rating"
+    ).distinct()
     return jobs.serve(b, _ingested(spark, sf))
 
 
-@R.add("stream_daily_counts", "SELECT CAST(loaded_at AS DATE) AS day, user_id, count(*) n FROM fact_interactions WHERE user_id IS NOT NULL AND loaded_at IS NOT NULL GROUP BY ALL")
+@R.add(
+    "stream_daily_counts",
+    "SELECT CAST(loaded_at AS DATE) AS day, user_id, count(*) n FROM fact_interactions WHERE user_id IS NOT NULL AND loaded_at IS NOT NULL GROUP BY ALL"
+)
 def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows per user and day as a stream with complete days kept; the batch of one file set needs no watermark cut."""
     sink = scratch_path(spark, "daily")
-    out = jobs.daily_counts(jobs.read_events(spark, f"{sf}/fact_interactions.parquet", files_per_batch=10_000), late="4000 days")
+    out = jobs.daily_counts(
+        jobs.read_events(spark, f"{sf}/fact_interactions.parquet", files_per_batch=10_000), late="4000 days"
+    )
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
-    q = out.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", scratch_path(spark, "daily-state")).trigger(availableNow=True).start()
+    q = out.writeStream.outputMode("update").foreachBatch(put).option(
+        "checkpointLocation", scratch_path(spark, "daily-state")
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(sink).select("day", "user_id", "n")
 

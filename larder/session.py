@@ -16,7 +16,9 @@ BROADCAST_ROWS = 200_000
 _own_folders: dict[str, str] = {}
 
 
-def build_session(app: str = "larder", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "larder", master: str | None = None, shuffle_partitions: int | None = None
+) -> SparkSession:
     """A session with UTC time, AQE and Arrow; cluster settings given from outside win."""
     b = SparkSession.builder.appName(app)
     if master:

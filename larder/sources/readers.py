@@ -48,7 +48,9 @@ def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def first_available(sources: list[Callable[[], DataFrame | None]], schema: T.StructType, spark: SparkSession) -> DataFrame:
+def first_available(
+    sources: list[Callable[[], DataFrame | None]], schema: T.StructType, spark: SparkSession
+) -> DataFrame:
     """The first source that gives a table; else an empty one of ``schema``."""
     for s in sources:
         try:
@@ -60,7 +62,10 @@ def first_available(sources: list[Callable[[], DataFrame | None]], schema: T.Str
     return spark.createDataFrame([], schema)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 32, **options: str) -> DataFrame:
+def read_jdbc(
+    spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None,
+    parts: int = 32, **options: str
+) -> DataFrame:
     """A database table, read in ranges of ``key`` if given."""
     r = spark.read.format("jdbc").option("url", url).option("dbtable", table)
     for k, v in options.items():
@@ -99,7 +104,9 @@ def read_foods(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
         except Exception:
             continue
         parts.append(df.select(F.explode(key).alias("f")).select("f.*"))
-    out = parts[0] if parts else spark.createDataFrame([], f"description string, dataType string, foodNutrients array<{NUTRIENT}>")
+    out = parts[0] if parts else spark.createDataFrame(
+        [], f"description string, dataType string, foodNutrients array<{NUTRIENT}>"
+    )
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
@@ -124,7 +131,13 @@ def timeline_points(results: Column) -> Column:
     shape = "struct<interest_over_time:struct<timeline_data:array<struct<timestamp:string,values:array<struct<query:string,extracted_value:int>>>>>>"
     data = F.from_json(results, shape)["interest_over_time"]["timeline_data"]
     points = F.transform(
-        data, lambda p: F.transform(p["values"], lambda v: F.struct(F.timestamp_seconds(p["timestamp"].cast("bigint")).alias("at"), v["query"].alias("keyword"), v["extracted_value"].alias("value")))
+        data, lambda p: F.transform(
+            p["values"],
+            lambda v: F.struct(
+                F.timestamp_seconds(p["timestamp"].cast("bigint")).alias("at"), v["query"].alias("keyword"),
+                v["extracted_value"].alias("value")
+            )
+        )
     )
     return F.flatten(points)
 
@@ -136,7 +149,12 @@ def related_queries(results: Column) -> Column:
 
     def rows(kind: str) -> Column:
         value = lambda v: F.coalesce(v.try_cast("int"), F.when(F.lower(v) == "breakout", 5000).otherwise(0))
-        items = F.transform(F.coalesce(r[kind], F.array()), lambda x: F.struct(F.lit(kind).alias("query_type"), x["query"].alias("related_query"), value(x["value"]).alias("raw_value")))
+        items = F.transform(
+            F.coalesce(r[kind], F.array()),
+            lambda x: F.struct(
+                F.lit(kind).alias("query_type"), x["query"].alias("related_query"), value(x["value"]).alias("raw_value")
+            )
+        )
         return F.filter(items, lambda x: x["related_query"].rlike(r"(?i)\brecipes?\b"))
 
     return F.concat(rows("rising"), rows("top"))
@@ -147,17 +165,40 @@ def answer_blocks(results: Column, least: int = 5) -> Column:
     and the page's markdown where no block stays."""
     block = "struct<title:string,snippet:string,body:string,text:string,answer:string>"
     part = f"struct<text_blocks:array<{block}>,text:string,answer:string,snippet:string>"
-    r = F.from_json(results, f"struct<ai_mode:{part},ai_overview:{part},text_blocks:array<{block}>,text:string,answer:string,snippet:string,reconstructed_markdown:string>")
+    r = F.from_json(
+        results,
+        f"struct<ai_mode:{part},ai_overview:{part},text_blocks:array<{block}>,text:string,answer:string,snippet:string,reconstructed_markdown:string>"
+    )
     blank = lambda c: F.nullif(c, F.lit(""))
-    whole = F.coalesce(*[blank(r[p][f]) for p in ("ai_mode", "ai_overview") for f in ("text", "answer", "snippet")], *[blank(r[f]) for f in ("text", "answer", "snippet")])
-    blocks = F.coalesce(*[F.when(F.size(b) > 0, b) for b in (r["ai_mode"]["text_blocks"], r["ai_overview"]["text_blocks"], r["text_blocks"])])
+    whole = F.coalesce(
+        *[blank(r[p][f]) for p in ("ai_mode", "ai_overview") for f in ("text", "answer", "snippet")],
+        *[blank(r[f]) for f in ("text", "answer", "snippet")]
+    )
+    blocks = F.coalesce(
+        *[
+            F.when(F.size(b) > 0, b) for b in (
+                r["ai_mode"]["text_blocks"], r["ai_overview"]["text_blocks"], r["text_blocks"]
+            )
+        ]
+    )
     entry = lambda i, t, b: F.struct(i.cast("int").alias("block_index"), t.alias("title"), F.trim(b).alias("body"))
     none = F.lit(None).cast("string")
-    listed = F.transform(blocks, lambda b, i: entry(i, b["title"], F.coalesce(blank(b["snippet"]), blank(b["body"]), blank(b["text"]), blank(b["answer"]), F.lit(""))))
+    listed = F.transform(
+        blocks,
+        lambda b, i: entry(
+            i, b["title"],
+            F.coalesce(blank(b["snippet"]), blank(b["body"]), blank(b["text"]), blank(b["answer"]), F.lit(""))
+        )
+    )
     listed = F.coalesce(listed, F.array(entry(F.lit(0), none, F.coalesce(whole, F.lit("")))))
     good = lambda x: (F.length(x["body"]) >= least) & ~x["body"].rlike("(?i)" + "|".join(JUNK))
     kept = F.filter(listed, good)
-    markdown = F.filter(F.array(entry(F.lit(0), none, F.regexp_replace(F.coalesce(r["reconstructed_markdown"], F.lit("")), r"\\(.)", "$1"))), good)
+    markdown = F.filter(
+        F.array(
+            entry(F.lit(0), none, F.regexp_replace(F.coalesce(r["reconstructed_markdown"], F.lit("")), r"\\(.)", "$1"))
+        ),
+        good
+    )
     return F.when(F.size(kept) > 0, kept).otherwise(markdown)
 
 

@@ -24,13 +24,17 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT, files_per_b
 def clean_stream(events: DataFrame, as_of: str | None = None, late: str | None = None) -> DataFrame:
     """Stateless rules: keys known, rating 1 to 5, not dated after ``as_of``; with ``late`` copies of an id that arrive
     within that delay are dropped by bounded state."""
-    rows = events.filter(F.col("interaction_id").isNotNull() & F.col("user_id").isNotNull() & F.col("recipe_id").isNotNull() & F.col("rating").between(1, 5))
+    rows = events.filter(
+        F.col("interaction_id").isNotNull() & F.col("user_id").isNotNull() & F.col("recipe_id").isNotNull() & F.col("rating").between(1, 5)
+    )
     if as_of:
         rows = rows.filter(F.col("loaded_at") <= F.lit(as_of).cast("timestamp"))
     if late:
         rows = rows.withWatermark("loaded_at", late).dropDuplicatesWithinWatermark(["interaction_id"])
     norm = (F.col("rating") - 3) / 2.0
-    return rows.withColumns({"rating_normalized": norm, "rating_sentiment_gap": norm - F.col("sentiment_score"), "source": F.lit("stream")})
+    return rows.withColumns(
+        {"rating_normalized": norm, "rating_sentiment_gap": norm - F.col("sentiment_score"), "source": F.lit("stream")}
+    )
 
 
 def start_ingest(rows: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
@@ -41,13 +45,19 @@ def start_ingest(rows: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        once = batch.groupBy("interaction_id").agg(F.min_by(F.struct("*"), F.struct("loaded_at", "user_id", "recipe_id")).alias("r")).select("r.*")
+        once = batch.groupBy("interaction_id").agg(
+            F.min_by(F.struct("*"), F.struct("loaded_at", "user_id", "recipe_id")).alias("r")
+        ).select("r.*")
         seen = read_if_there(spark, sink)
         if seen is not None:
-            once = once.join(seen.filter(F.col("epoch") != epoch).select("interaction_id"), "interaction_id", "left_anti")
+            once = once.join(
+                seen.filter(F.col("epoch") != epoch).select("interaction_id"), "interaction_id", "left_anti"
+            )
         once.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
-    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(put).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
 
 
 def serve(batch: DataFrame, sink: str) -> DataFrame:

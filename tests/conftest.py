@@ -13,7 +13,9 @@ def spark():
 
     from larder.session import build_session
 
-    SparkSession.builder.config("spark.driver.memory", "4g").config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="larder-test-"))
+    SparkSession.builder.config("spark.driver.memory", "4g").config(
+        "spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="larder-test-")
+    )
     s = build_session("tests", "local[8]", 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -85,6 +85,14 @@ def test_empty_table_and_null_keys(spark):
     assert state.refresh(spark.createDataFrame([], SCHEMA)) == []
     assert state.features().count() == 0
     other = EntityFeatures(spark, scratch_path(spark, "t"))
-    other.refresh(spark.createDataFrame([(None, 1, "a", None, 1, 0.1, 0, 0, ""), (1, None, "a", None, 1, 0.1, 0, 0, ""), (2, 5, None, None, None, None, 0, 0, "")], SCHEMA))
+    other.refresh(
+        spark.createDataFrame(
+            [
+                (None, 1, "a", None, 1, 0.1, 0, 0, ""), (1, None, "a", None, 1, 0.1, 0, 0, ""),
+                (2, 5, None, None, None, None, 0, 0, "")
+            ],
+            SCHEMA
+        )
+    )
     got = other.features().select("entity", "n_events", F.size("by_type")).collect()
     assert [tuple(r) for r in got] == [(5, 1, 0)]

@@ -20,7 +20,11 @@ def test_chunked_results_equal_brute_force(spark, rows):
     df = spark.createDataFrame(data, SCHEMA).repartition(7)
     path = "file:///tmp/larder-hot-keys"
     df.write.mode("overwrite").parquet(path)
-    got = {(r[0], r[1]): r for r in per_key_stats(spark.read.parquet(path), ["u", "r"], ["x", "s"], chunk_rows=100).collect()}
+    got = {
+        (r[0], r[1]): r for r in per_key_stats(
+            spark.read.parquet(path), ["u", "r"], ["x", "s"], chunk_rows=100
+        ).collect()
+    }
     want = {}
     for k, f in enumerate(["u", "r"]):
         for d in data:
@@ -42,7 +46,9 @@ def test_numbers_are_exact(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id").repartition(5).sortWithinPartitions("id")
     path = "file:///tmp/larder-numbers"
     df.write.mode("overwrite").parquet(path)
-    got = number_rows(located(spark.read.parquet(path)), ["k"]).groupBy("k").agg(F.sort_array(F.collect_list("_number")).alias("n")).collect()
+    got = number_rows(located(spark.read.parquet(path)), ["k"]).groupBy("k").agg(
+        F.sort_array(F.collect_list("_number")).alias("n")
+    ).collect()
     for r in got:
         assert r["n"] == list(range(1, len(r["n"]) + 1))
 
@@ -52,7 +58,9 @@ def test_numbering_by_salt_does_not_hang_on_partitions(spark, rows):
     a = number_in_groups(df.repartition(3), ["k"], ["id"])
     b = number_in_groups(df.repartition(8), ["k"], ["id"])
     assert rows(a) == rows(b)
-    assert [r["n"] for r in a.groupBy("k").agg(F.sort_array(F.collect_list("number")).alias("n")).collect()] == [list(range(250))] * 2
+    assert [
+        r["n"] for r in a.groupBy("k").agg(F.sort_array(F.collect_list("number")).alias("n")).collect()
+    ] == [list(range(250))] * 2
 
 
 def test_empty_and_all_null(spark):
@@ -61,18 +69,24 @@ def test_empty_and_all_null(spark):
 
 
 def test_heavy_keys_and_split_join(spark, rows):
-    df = spark.createDataFrame([(1, i) for i in range(300)] + [(i, i) for i in range(2, 300)] + [(None, 0)], "k int, v int")
+    df = spark.createDataFrame(
+        [(1, i) for i in range(300)] + [(i, i) for i in range(2, 300)] + [(None, 0)], "k int, v int"
+    )
     assert [r[0] for r in heavy_keys(df, ["k"], 0.2).collect()] == [1]
     right = spark.createDataFrame([(1, "a"), (5, "b")], "k int, w string")
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = df.join(right, "k", how)
-        assert rows(split_join(df, right, ["k"], how, 0.2).select(*want.columns)) == (rows(want) if how in ("inner", "left_semi") else rows(want.filter("k is not null")) + rows(want.filter("k is null")))
+        assert rows(split_join(df, right, ["k"], how, 0.2).select(*want.columns)) == (
+            rows(want) if how in ("inner", "left_semi") else rows(want.filter("k is not null")) + rows(want.filter("k is null"))
+        )
 
 
 def test_ordered_merge_of_chunks(spark):
     data = make(2000, 8)
     path = "file:///tmp/larder-changes"
-    spark.createDataFrame([(*d, i) for i, d in enumerate(data)], SCHEMA + ", i int").coalesce(1).sortWithinPartitions("i").write.mode("overwrite").parquet(path)
+    spark.createDataFrame(
+        [(*d, i) for i, d in enumerate(data)], SCHEMA + ", i int"
+    ).coalesce(1).sortWithinPartitions("i").write.mode("overwrite").parquet(path)
     runs = {}
     for d in data:
         for f, k in (("u", d[0]), ("r", d[1])):
@@ -80,5 +94,9 @@ def test_ordered_merge_of_chunks(spark):
                 runs.setdefault((f, k), []).append(d[2])
     want = {k: (len(v), sum(a != b for a, b in zip(v, v[1:], strict=False)), v[0], v[-1]) for k, v in runs.items()}
     for chunk in (7, 100, 10_000):
-        got = {(r[0], r[1]): tuple(r[2:]) for r in value_changes(spark.read.parquet(path), ["u", "r"], "x", chunk).collect()}
+        got = {
+            (r[0], r[1]): tuple(r[2:]) for r in value_changes(
+                spark.read.parquet(path), ["u", "r"], "x", chunk
+            ).collect()
+        }
         assert got == want

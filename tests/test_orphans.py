@@ -18,7 +18,11 @@ def test_replayed_history_equals_brute_force(spark, rows):
     for k in range(60):
         born = r.randint(0, 300)
         dim.append((k, at(born), at(born + r.randint(1, 100)) if r.random() < 0.4 else None, 0, 0))
-    facts = [(i % 700, 1, 3 if r.random() < 0.3 else r.choice([None, r.randint(0, 80)]), at(r.randint(0, 365)), 0, "x") for i in range(1000)]
+    facts = [
+        (
+            i % 700, 1, 3 if r.random() < 0.3 else r.choice([None, r.randint(0, 80)]), at(r.randint(0, 365)), 0, "x"
+        ) for i in range(1000)
+    ]
     refs = references(spark.createDataFrame(facts, FACT), "interaction_id", "loaded_at", ["recipe_id"])
     parents = parent_rows(spark.createDataFrame(dim, DIM), "recipe_id", "recipe_id", "loaded_at", "deleted_at")
     lives = {d[0]: d for d in dim}
@@ -46,7 +50,9 @@ def test_arrival_resolves_and_deletion_reopens(spark):
     tracker.apply(ref(("r", 1, 10, at(1)), ("r", 2, 11, at(1))), par(("r", 2, at(0), None)), at(2))
     tracker.apply(ref(), par(("r", 1, at(3), None)), at(4))
     tracker.apply(ref(), par(("r", 2, at(0), at(5))), at(6))
-    got = {r["until"]: (r["n_new"], r["n_resolved"], r["n_reopened"], r["n_waiting"]) for r in tracker.snapshot().collect()}
+    got = {
+        r["until"]: (r["n_new"], r["n_resolved"], r["n_reopened"], r["n_waiting"]) for r in tracker.snapshot().collect()
+    }
     assert got[at(2)] == (1, 0, 0, 1)
     assert got[at(4)] == (0, 1, 0, 0)
     assert got[at(6)] == (0, 0, 1, 1)

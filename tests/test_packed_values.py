@@ -20,7 +20,9 @@ CASES = {
     "'it''s';x": ["it's", "x"],
     '{yam,"turkey breast",ricotta}': ["yam", "turkey breast", "ricotta"],
     " dairy-free|  grill|| pie |": ["dairy-free", "grill", "pie"],
-    "salt\nblueberry | young turnip\tpear;2% milk, mac & cheese": ["salt", "blueberry", "young turnip", "pear", "2% milk", "mac & cheese"],
+    "salt\nblueberry | young turnip\tpear;2% milk, mac & cheese": [
+        "salt", "blueberry", "young turnip", "pear", "2% milk", "mac & cheese"
+    ],
     "baker's chocolate,cooks' pan": ["baker's chocolate", "cooks' pan"],
     '"", "  ", a': ["a"],
     '" padded "': ["padded"],

@@ -7,7 +7,10 @@ from larder.operators.serving import filter_gaps, filter_recipes, page, page_cou
 @pytest.fixture
 def recipes(spark):
     return spark.createDataFrame(
-        [("Garlic Chicken", "chicken|garlic", 20.0, 4.5, "Italian,dinner"), ("Slow stew", "beef|pasta", 90.0, None, None), ("Salad", None, None, 3.0, "vegan")],
+        [
+            ("Garlic Chicken", "chicken|garlic", 20.0, 4.5, "Italian,dinner"),
+            ("Slow stew", "beef|pasta", 90.0, None, None), ("Salad", None, None, 3.0, "vegan")
+        ],
         "name string, top_ingredients string, avg_cook_minutes double, display_rating double, tags string",
     )
 
@@ -21,7 +24,13 @@ def test_recipe_filters(recipes):
 
 
 def test_gap_filters_and_pages(spark, recipes):
-    g = spark.createDataFrame([("gap", 0.9, "a|b", "x", "p"), ("weak_match", -0.2, None, "y", "q"), ("strong_match", 2.0, "b", "x", "r"), ("gap", None, "c", "x", "s")], "match_status string, gap_score double, tags string, source string, canonical_term string")
+    g = spark.createDataFrame(
+        [
+            ("gap", 0.9, "a|b", "x", "p"), ("weak_match", -0.2, None, "y", "q"), ("strong_match", 2.0, "b", "x", "r"),
+            ("gap", None, "c", "x", "s")
+        ],
+        "match_status string, gap_score double, tags string, source string, canonical_term string"
+    )
     assert filter_gaps(g).count() == 4 and filter_gaps(g, ("gap",)).count() == 2 and filter_gaps(g, low=0.0).count() == 2
     assert filter_gaps(g, tags=("b",)).count() == 2 and filter_gaps(g, sources=("y",)).count() == 1 and filter_gaps(g, high=1.0).count() == 2
     assert [r["canonical_term"] for r in top_gaps(g, 2).collect()] == ["p", "q"]

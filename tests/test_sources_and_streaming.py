@@ -11,7 +11,11 @@ from larder.streaming import jobs
 def test_csv_with_extra_columns_and_line_breaks(spark, tmp_path, rows):
     p = tmp_path / "i.csv"
     p.write_text('other,review,user_id,recipe_id,date,rating\nx,"two\nlines, ""q""",1,2,2020-01-02,5\ny,,z,3,bad,9\n')
-    got = rows(R.read_csv(spark, str(p), R.INTERACTIONS).select("user_id", "recipe_id", F.col("date").cast("string"), "rating", "review"))
+    got = rows(
+        R.read_csv(spark, str(p), R.INTERACTIONS).select(
+            "user_id", "recipe_id", F.col("date").cast("string"), "rating", "review"
+        )
+    )
     assert got == [(1, 2, "2020-01-02 00:00:00", 5, 'two\nlines, "q"'), (None, 3, None, 9, None)]
 
 
@@ -19,34 +23,67 @@ def test_archives_and_missing_sources(spark, tmp_path):
     z = tmp_path / "a.zip"
     with zipfile.ZipFile(z, "w") as f:
         f.writestr("dir/x.csv", "a\n1\n")
-    assert R.extract_member(str(z), "x.csv", str(tmp_path)).endswith("dir/x.csv") and R.extract_member(str(z), "y.csv", str(tmp_path)) is None
+    assert R.extract_member(
+        str(z), "x.csv", str(tmp_path)
+    ).endswith("dir/x.csv") and R.extract_member(str(z), "y.csv", str(tmp_path)) is None
     bad = tmp_path / "b.zip"
     bad.write_text("no zip")
     assert R.extract_member(str(bad), "x", str(tmp_path)) is None and not bad.exists()
     assert R.read_if_there(spark, str(tmp_path / "none")) is None
-    got = R.first_available([lambda: R.read_if_there(spark, str(tmp_path / "none")), lambda: 1 / 0, lambda: spark.range(2)], R.RECIPES, spark)
+    got = R.first_available(
+        [lambda: R.read_if_there(spark, str(tmp_path / "none")), lambda: 1 / 0, lambda: spark.range(2)], R.RECIPES,
+        spark
+    )
     assert got.count() == 2 and R.first_available([], R.RECIPES, spark).columns == R.RECIPES.fieldNames()
 
 
 def test_foods_and_nutrients(spark, tmp_path, rows):
-    nested = {"description": "Butter", "dataType": "Foundation", "foodNutrients": [{"nutrient": {"name": "Protein", "unitName": "g"}, "amount": 1.5}]}
-    flat = {"description": "Salt", "foodNutrients": [{"nutrientName": "Sodium, Na", "unitName": "MG", "value": 12}, {"nutrientName": "Protein", "value": "n/a"}]}
+    nested = {
+        "description": "Butter", "dataType": "Foundation",
+        "foodNutrients": [{"nutrient": {"name": "Protein", "unitName": "g"}, "amount": 1.5}]
+    }
+    flat = {
+        "description": "Salt",
+        "foodNutrients": [
+            {"nutrientName": "Sodium, Na", "unitName": "MG", "value": 12}, {"nutrientName": "Protein", "value": "n/a"}
+        ]
+    }
     (tmp_path / "a.json").write_text(json.dumps({"A": [nested]}))
     (tmp_path / "b.json").write_text(json.dumps({"B": [flat]}))
-    foods = R.read_foods(spark, [(str(tmp_path / "a.json"), "A"), (str(tmp_path / "b.json"), "B"), (str(tmp_path / "c.json"), "C")])
-    got = foods.select("description", R.nutrient_amount(F.col("foodNutrients"), ["protein"]), R.nutrient_amount(F.col("foodNutrients"), ["sodium"], ["mg"]))
+    foods = R.read_foods(
+        spark, [(str(tmp_path / "a.json"), "A"), (str(tmp_path / "b.json"), "B"), (str(tmp_path / "c.json"), "C")]
+    )
+    got = foods.select(
+        "description", R.nutrient_amount(F.col("foodNutrients"), ["protein"]),
+        R.nutrient_amount(F.col("foodNutrients"), ["sodium"], ["mg"])
+    )
     assert rows(got) == [("Butter", 1.5, None), ("Salt", None, 12.0)]
     assert R.read_foods(spark, []).count() == 0
 
 
 def test_answer_shapes(spark):
     docs = [
-        {"ai_mode": {"text_blocks": [{"title": "t", "snippet": "soup and bread"}, {"text": "ok"}, {"text": "Would you like more"}]}},
-        {"answer": "plain answer"}, {"reconstructed_markdown": "1\\. garlic soup", "text_blocks": [{"text": ""}]}, {}, {"ai_mode": {"text_blocks": []}, "text": "fallback text"},
+        {
+            "ai_mode": {
+                "text_blocks": [
+                    {"title": "t", "snippet": "soup and bread"}, {"text": "ok"}, {"text": "Would you like more"}
+                ]
+            }
+        },
+        {"answer": "plain answer"}, {
+            "reconstructed_markdown": "1\\. garlic soup", "text_blocks": [{"text": ""}]
+        }, {}, {"ai_mode": {"text_blocks": []}, "text": "fallback text"},
     ]
     df = spark.createDataFrame([(json.dumps(d),) for d in docs], "j string").coalesce(1)
-    got = [[(b["block_index"], b["title"], b["body"]) for b in r[0]] for r in df.select(R.answer_blocks(F.col("j"))).collect()]
-    assert got == [[(0, "t", "soup and bread")], [(0, None, "plain answer")], [(0, None, "1. garlic soup")], [], [(0, None, "fallback text")]]
+    got = [
+        [
+            (b["block_index"], b["title"], b["body"]) for b in r[0]
+        ] for r in df.select(R.answer_blocks(F.col("j"))).collect()
+    ]
+    assert got == [
+        [(0, "t", "soup and bread")], [(0, None, "plain answer")], [(0, None, "1. garlic soup")], [],
+        [(0, None, "fallback text")]
+    ]
 
 
 def test_writers(spark, tmp_path, rows):

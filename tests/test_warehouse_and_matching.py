@@ -23,15 +23,21 @@ def test_upsert_updates_listed_columns_only_and_repeats_without_effect(spark, ro
 
 def test_schema_dates_and_ids(spark, rows):
     df = spark.createDataFrame([("1", 2)], "a string, b int")
-    schema = T.StructType([T.StructField("b", T.DoubleType()), T.StructField("a", T.LongType()), T.StructField("c", T.StringType())])
+    schema = T.StructType(
+        [T.StructField("b", T.DoubleType()), T.StructField("a", T.LongType()), T.StructField("c", T.StringType())]
+    )
     assert rows(W.conform(df, schema)) == [(2.0, 1, None)]
     days = spark.createDataFrame([("2020-01-02",), ("2020-01-01",), ("2020-01-02",), (None,)], "d string")
     assert [r[0] for r in W.date_dimension(days, "d").orderBy("full_date").collect()] == [1, 2]
-    ids = spark.createDataFrame([(1, 2, "2020-01-01")], "u int, r int, d string").select(W.interaction_id(F.col("u"), F.col("r"), F.col("d")))
+    ids = spark.createDataFrame([(1, 2, "2020-01-01")], "u int, r int, d string").select(
+        W.interaction_id(F.col("u"), F.col("r"), F.col("d"))
+    )
     import hashlib
 
     assert ids.first()[0] == int(hashlib.sha256(b"1_2_2020-01-01").hexdigest()[:15], 16)
-    batch, stream = spark.createDataFrame([(1, "b")], "k int, s string"), spark.createDataFrame([(1, "s"), (2, "s")], "k int, s string")
+    batch, stream = spark.createDataFrame([(1, "b")], "k int, s string"), spark.createDataFrame(
+        [(1, "s"), (2, "s")], "k int, s string"
+    )
     assert rows(W.serving_view(batch, stream, "k")) == [(1, "b"), (2, "s")]
 
 
@@ -83,12 +89,21 @@ def test_components_do_not_hang_on_row_order(spark, rows):
 
 
 def test_lexical_match_and_gaps(spark, rows):
-    q = spark.createDataFrame([("banana bread",), ("garlic soup",), ("",), ("zzz",), (None,), ("banana bread",)], "query string")
+    q = spark.createDataFrame(
+        [("banana bread",), ("garlic soup",), ("",), ("zzz",), (None,), ("banana bread",)], "query string"
+    )
     t = spark.createDataFrame([("banana bread",), ("garlic chicken soup",), ("garlic",), (None,)], "term string")
     got = {r["query"]: (r["best_term"], r["method"]) for r in M.lexical_match(q, t).collect()}
-    assert got == {"banana bread": ("banana bread", "exact"), "garlic soup": ("garlic chicken soup", "fuzzy"), "": (None, "empty_query"), "zzz": (None, "no_token_overlap")}
-    ranked = M.total_rank(spark.range(100).withColumn("x", F.col("id") % 7), F.col("id") > 4, [("x", False), ("id", True)], "r").orderBy("r").filter("r is not null").collect()
-    assert [r["r"] for r in ranked] == list(range(1, 96)) and [(-r["x"], r["id"]) for r in ranked] == sorted((-r["x"], r["id"]) for r in ranked)
+    assert got == {
+        "banana bread": ("banana bread", "exact"), "garlic soup": ("garlic chicken soup", "fuzzy"),
+        "": (None, "empty_query"), "zzz": (None, "no_token_overlap")
+    }
+    ranked = M.total_rank(
+        spark.range(100).withColumn("x", F.col("id") % 7), F.col("id") > 4, [("x", False), ("id", True)], "r"
+    ).orderBy("r").filter("r is not null").collect()
+    assert [r["r"] for r in ranked] == list(range(1, 96)) and [
+        (-r["x"], r["id"]) for r in ranked
+    ] == sorted((-r["x"], r["id"]) for r in ranked)
 
 
 def test_neighbours_equal_brute_force(spark):
@@ -104,16 +119,36 @@ def test_neighbours_equal_brute_force(spark):
     for q in (0, 50, 100, 150):
         s = u @ u[q]
         s[q] = -9
-        assert [x["id"] for x in sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])] == list(np.argsort(-s)[:3])
+        assert [
+            x["id"] for x in sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])
+        ] == list(np.argsort(-s)[:3])
     assert N.nearest(df.limit(0), df, 3).count() == 0
 
 
 def test_signals(spark, rows):
-    blocks = spark.createDataFrame([("Garlic Chicken Soup, banana bread loaf\n1. garlic chicken soup",), ("would you like soup bread",), (None,), ("",)], "body string")
-    assert [tuple(r)[:2] for r in phrase_scores(blocks, "body").orderBy("term").collect()] == [("banana bread loaf", 1), ("garlic chicken soup", 2)]
+    blocks = spark.createDataFrame(
+        [
+            ("Garlic Chicken Soup, banana bread loaf\n1. garlic chicken soup",), ("would you like soup bread",),
+            (None,), ("",)
+        ],
+        "body string"
+    )
+    assert [
+        tuple(r)[:2] for r in phrase_scores(blocks, "body").orderBy("term").collect()
+    ] == [("banana bread loaf", 1), ("garlic chicken soup", 2)]
     z = group_z(spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, v double"), ["g"], "v", "z")
     assert rows(z) == [("a", 1.0, -0.707107), ("a", 3.0, 0.707107), ("b", 5.0, 0.0)]
-    m = monthly_interest(spark.createDataFrame([("a", "2020-01-05", 2), ("a", "2020-03-01", 4)], "k string, d string, v int"), "k", "d", "v")
-    assert [(str(r["month_end"]), r["interest"]) for r in m.orderBy("month_end").collect()] == [("2020-01-31", 2.0), ("2020-02-29", None), ("2020-03-31", 4.0)]
-    gap = supply_demand_gap(spark.createDataFrame([("x", 2.0), ("y", 0.1)], "term string, combined_score double"), spark.createDataFrame([("x", 1), ("z", 3)], "term string, recipe_count int"))
-    assert rows(gap.select("term", "gap_score", "opportunity_tier")) == [("x", 2.7071, "high"), ("y", 0.1, "low"), ("z", -0.7071, "low")]
+    m = monthly_interest(
+        spark.createDataFrame([("a", "2020-01-05", 2), ("a", "2020-03-01", 4)], "k string, d string, v int"), "k", "d",
+        "v"
+    )
+    assert [
+        (str(r["month_end"]), r["interest"]) for r in m.orderBy("month_end").collect()
+    ] == [("2020-01-31", 2.0), ("2020-02-29", None), ("2020-03-31", 4.0)]
+    gap = supply_demand_gap(
+        spark.createDataFrame([("x", 2.0), ("y", 0.1)], "term string, combined_score double"),
+        spark.createDataFrame([("x", 1), ("z", 3)], "term string, recipe_count int")
+    )
+    assert rows(gap.select("term", "gap_score", "opportunity_tier")) == [
+        ("x", 2.7071, "high"), ("y", 0.1, "low"), ("z", -0.7071, "low")
+    ]
