@@ -15,7 +15,9 @@ from larder.session import broadcast_if_small, materialize
 
 def baskets(df: DataFrame, field: str, basket: str, item: str) -> DataFrame:
     """(field_name, basket, item), each once; rows without a basket or an item are left out."""
-    return df.select(F.lit(field).alias("field_name"), F.col(f"`{basket}`").alias("basket"), F.col(f"`{item}`").alias("item"))
+    return df.select(
+        F.lit(field).alias("field_name"), F.col(f"`{basket}`").alias("basket"), F.col(f"`{item}`").alias("item")
+    )
 
 
 def _pairs_inside(arrays: DataFrame) -> DataFrame:
@@ -27,7 +29,9 @@ def _pairs_inside(arrays: DataFrame) -> DataFrame:
 
 def _pairs_across(pairs: DataFrame) -> DataFrame:
     """Pairs of one item of ``left`` and one of ``right``, smaller first."""
-    both = pairs.select("field_name", "right", F.explode("left").alias("x")).select("field_name", "x", F.explode("right").alias("y"))
+    both = pairs.select(
+        "field_name", "right", F.explode("left").alias("x")
+    ).select("field_name", "x", F.explode("right").alias("y"))
     return both.select("field_name", F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
 
 
@@ -41,7 +45,12 @@ def cooccurrence(
     baskets and in the share ``min_share`` of a field's baskets come out. Baskets of more than ``chunk_items`` items
     are split; no basket is cut short.
     """
-    once = materialize(rows.select("field_name", "basket", "item").filter(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct(), "baskets")
+    once = materialize(
+        rows.select("field_name", "basket", "item").filter(
+            F.col("basket").isNotNull() & F.col("item").isNotNull()
+        ).distinct(),
+        "baskets"
+    )
     singles = once.groupBy("field_name", "item").agg(F.count(F.lit(1)).alias("n"))
     sizes = once.groupBy("field_name", "basket").agg(F.count(F.lit(1)).alias("size"))
     totals = sizes.groupBy("field_name").agg(F.count(F.lit(1)).alias("n_baskets"))
@@ -60,7 +69,9 @@ def cooccurrence(
     )
     huge = materialize(huge, "huge")
     small = kept.join(huge, ["field_name", "basket"], "left_anti")
-    arrays = small.groupBy("field_name", "basket").agg(F.sort_array(F.collect_list("item")).alias("items")).filter(F.size("items") > 1)
+    arrays = small.groupBy("field_name", "basket").agg(
+        F.sort_array(F.collect_list("item")).alias("items")
+    ).filter(F.size("items") > 1)
     pairs = _pairs_inside(arrays)
     if not huge.isEmpty():
         chunk = F.pmod(F.xxhash64("item"), F.col("n_chunks")).cast("int")
@@ -79,7 +90,9 @@ def cooccurrence(
         )
         across = sides.filter(F.col("left").isNotNull() & F.col("right").isNotNull())
         pairs = pairs.unionByName(_pairs_inside(chunks)).unionByName(_pairs_across(across))
-    counts = pairs.groupBy("field_name", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_pairs)
+    counts = pairs.groupBy(
+        "field_name", "item_a", "item_b"
+    ).agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_pairs)
     a = items.select("field_name", F.col("item").alias("item_a"), F.col("n").alias("n_a"), "n_baskets")
     b = items.select("field_name", F.col("item").alias("item_b"), F.col("n").alias("n_b"))
     out = counts.join(a, ["field_name", "item_a"]).join(b, ["field_name", "item_b"])

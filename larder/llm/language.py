@@ -195,7 +195,9 @@ def _build(counts: dict[str, Counter], keep: float, log_slots: int) -> BitSliced
     return f
 
 
-def train(sample: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, rounds: int = 2, log_slots: int = 19) -> Detector:
+def train(
+    sample: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, rounds: int = 2, log_slots: int = 19
+) -> Detector:
     """Fits the filters to (label, text). As labels may be wrong and texts mixed, the clauses are labelled anew by the
     first fit and counted again."""
     texts = [(lang, clauses(unicodedata.normalize("NFKC", t))) for lang, t in sample]
@@ -224,11 +226,15 @@ def train(sample: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES,
     return detector
 
 
-def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str, per_label: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
+def labelled_sample(
+    docs: DataFrame, doc_id: str, text: str, lang: str, per_label: int = SAMPLE_DOCS
+) -> list[tuple[str, str]]:
     """Up to ``per_label`` documents of each plain two-letter label, picked by the hash of their id."""
     label = F.lower(F.trim(F.col(f"`{lang}`")))
     length = F.length(F.col(f"`{text}`"))
-    rows = docs.select(label.alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{doc_id}`")).alias("h"))
+    rows = docs.select(
+        label.alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{doc_id}`")).alias("h")
+    )
     rows = rows.filter(F.col("lang").isin(*LANGUAGES) & length.between(*SAMPLE_CHARS))
     from pyspark.sql import Window
 
@@ -246,13 +252,17 @@ def label_segments(docs: DataFrame, detector: Detector, doc_id: str, text: str)
     ``start`` and ``end`` are code points of the text in NFKC. Null, empty and letterless texts give no row; rows with
     a null id are left out; repeated rows are labelled each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((detector.filters.slots, detector.filters.log_slots, detector.languages))
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (detector.filters.slots, detector.filters.log_slots, detector.languages)
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots, log_slots, languages = shared.value
         d = Detector(BitSlicedFilter(log_slots, slots=slots), languages)
         for b in batches:
-            out = [(i, k + 1, *s) for i, t in zip(b["doc_id"], b["text"], strict=True) for k, s in enumerate(d.segments(t))]
+            out = [
+                (i, k + 1, *s) for i, t in zip(b["doc_id"], b["text"], strict=True) for k, s in enumerate(d.segments(t))
+            ]
             yield pd.DataFrame(out, columns=["doc_id", "segment_no", "start", "end", "lang", "n_words", "confidence"])
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -265,14 +275,20 @@ def document_languages(segments: DataFrame) -> DataFrame:
     The sums per document and language are written first, so that the texts are labelled once.
     """
     per = segments.groupBy("doc_id", "lang").agg(
-        F.sum("n_words").alias("n_words"), (F.sum(F.col("confidence") * F.col("n_words")) / F.sum("n_words")).alias("confidence")
+        F.sum("n_words").alias("n_words"), (
+            F.sum(F.col("confidence") * F.col("n_words")) / F.sum("n_words")
+        ).alias("confidence")
     )
     per = materialize(per, "languages")
     total = per.groupBy("doc_id").agg(F.sum("n_words").alias("n_all"))
-    return per.join(total, "doc_id").select("doc_id", "lang", "n_words", "n_all", (F.col("n_words") / F.col("n_all")).alias("share"), "confidence")
+    return per.join(total, "doc_id").select(
+        "doc_id", "lang", "n_words", "n_all", (F.col("n_words") / F.col("n_all")).alias("share"), "confidence"
+    )
 
 
-def doubtful_labels(docs: DataFrame, segments: DataFrame, doc_id: str, lang: str, share: float = 0.15, min_words: int = 20) -> DataFrame:
+def doubtful_labels(
+    docs: DataFrame, segments: DataFrame, doc_id: str, lang: str, share: float = 0.15, min_words: int = 20
+) -> DataFrame:
     """(doc_id, lang): documents of several languages, or whose label is not the code of their only one."""
     found = document_languages(segments).filter(
         F.col("lang").isNotNull() & (F.col("share") >= share) & (F.col("n_all") >= min_words)
@@ -281,4 +297,6 @@ def doubtful_labels(docs: DataFrame, segments: DataFrame, doc_id: str, lang: str
     n = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     label = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.lower(F.trim(F.col(f"`{lang}`"))).alias("label"))
     rows = found.join(n, "doc_id").join(label, "doc_id")
-    return rows.filter((F.col("n") > 1) | ~F.col("found").eqNullSafe(F.col("label"))).select("doc_id", F.col("found").alias("lang")).distinct()
+    return rows.filter(
+        (F.col("n") > 1) | ~F.col("found").eqNullSafe(F.col("label"))
+    ).select("doc_id", F.col("found").alias("lang")).distinct()

@@ -92,7 +92,9 @@ def find_leaks(
     texts of a repeated item id count as one item.
     """
     spark = docs.sparkSession
-    stored = items.select(F.col(f"`{item_id}`").cast("bigint").alias("k"), F.col(f"`{item_text}`").alias("t")).filter("k is not null and t is not null")
+    stored = items.select(
+        F.col(f"`{item_id}`").cast("bigint").alias("k"), F.col(f"`{item_text}`").alias("t")
+    ).filter("k is not null and t is not null")
     chars = stored.agg(F.sum(F.length("t"))).first()[0] or 0
     n_blocks = max(1, math.ceil(chars / block_chars))
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter(
@@ -105,7 +107,9 @@ def find_leaks(
 
         def probe(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for p in batches:
-                out = [(d, *m) for d, t in zip(p["doc_id"], p["text"], strict=True) for m in search(t, index.value, size)]
+                out = [
+                    (d, *m) for d, t in zip(p["doc_id"], p["text"], strict=True) for m in search(t, index.value, size)
+                ]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_shared", "n_item"])
 
         found = rows.mapInPandas(probe, "doc_id bigint, item_id bigint, n_shared int, n_item int")

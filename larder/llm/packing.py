@@ -29,7 +29,9 @@ def pieces(docs: DataFrame, id_col: str, size: Column, capacity: int) -> DataFra
     """(item, piece_no, n_pieces, first, size): items longer than ``capacity`` are cut into full pieces and a rest."""
     sized = docs.select(F.col(f"`{id_col}`").alias("item"), size.cast("bigint").alias("whole"))
     n = F.ceil(F.col("whole") / capacity).cast("int")
-    cut = sized.withColumn("n_pieces", n).withColumn("piece_no", F.explode_outer(F.when(n > 0, F.sequence(F.lit(1), n))))
+    cut = sized.withColumn("n_pieces", n).withColumn(
+        "piece_no", F.explode_outer(F.when(n > 0, F.sequence(F.lit(1), n)))
+    )
     first = (F.col("piece_no") - 1).cast("bigint") * capacity
     return cut.select(
         "item",
@@ -171,7 +173,9 @@ def pack(docs: DataFrame, id_col: str, size: Column, capacity: int = 512) -> Dat
     """
     spark = docs.sparkSession
     parts = materialize(pieces(docs, id_col, size, capacity), "pieces")
-    hist = {r["size"]: r["n"] for r in parts.filter("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hist = {
+        r["size"]: r["n"] for r in parts.filter("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
     used: Counter = Counter()
     rows, base = [], 0
     for sizes, times, fixed in plan(hist, capacity):
@@ -181,8 +185,12 @@ def pack(docs: DataFrame, id_col: str, size: Column, capacity: int = 512) -> Dat
             used[s] += per * times
             place += per
         base += times
-    spans = spark.createDataFrame(rows, "size int, lo bigint, hi bigint, base bigint, per int, place int, fixed boolean")
-    spans = spans.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "base", "per", "place", "fixed"))).alias("spans"))
+    spans = spark.createDataFrame(
+        rows, "size int, lo bigint, hi bigint, base bigint, per int, place int, fixed boolean"
+    )
+    spans = spans.groupBy("size").agg(
+        F.sort_array(F.collect_list(F.struct("lo", "hi", "base", "per", "place", "fixed"))).alias("spans")
+    )
     salts = max(64, max(hist.values(), default=0) // 1_000_000)  # parts of the largest size hold about a million rows
     ordered = number_in_groups(parts.filter("size > 0"), ["size"], ["item", "piece_no"], "nth", salts)
     at = ordered.join(F.broadcast(spans), "size").withColumn(  # at most ``capacity`` rows

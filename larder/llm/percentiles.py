@@ -34,7 +34,9 @@ def key_value(k: pd.Series) -> pd.Series:
 def keyed_values(df: DataFrame, group: str, fields: list[str]) -> DataFrame:
     """(field_name, grp, key) for each value that is neither null nor NaN."""
     spec = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("double").alias("v")) for f in fields])
-    long = df.select(F.col(f"`{group}`").alias("grp"), F.explode(spec).alias("x")).select(F.col("x.f").alias("field_name"), "grp", F.col("x.v").alias("v"))
+    long = df.select(F.col(f"`{group}`").alias("grp"), F.explode(spec).alias("x")).select(
+        F.col("x.f").alias("field_name"), "grp", F.col("x.v").alias("v")
+    )
     long = long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
     return long.select("field_name", "grp", ordered_key("v").alias("key"))
 
@@ -46,7 +48,9 @@ def _digit(key: Column, done: int, bits: int) -> Column:
 def summary(values: DataFrame, bits: int = 16) -> DataFrame:
     """Mergeable histogram (field_name, grp, prefix, n) of the leading ``bits``: 12 + m bits keep m bits of the fraction,
     so a percentile read from it is off by a factor of at most 1 + 2^-m (m = bits - 12)."""
-    return values.groupBy("field_name", "grp", F.shiftrightunsigned("key", 64 - bits).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    return values.groupBy(
+        "field_name", "grp", F.shiftrightunsigned("key", 64 - bits).alias("prefix")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_summaries(*parts: DataFrame) -> DataFrame:
@@ -60,13 +64,20 @@ def merge_summaries(*parts: DataFrame) -> DataFrame:
 def summary_percentiles(hist: DataFrame, pcts: list[int], bits: int = 16) -> DataFrame:
     """(field_name, grp, pct, value, low, high): bounds of the exact percentile and their middle."""
     w = Window.partitionBy("field_name", "grp").orderBy("prefix")
-    cum = hist.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("field_name", "grp")))
+    cum = hist.withColumn("upto", F.sum("n").over(w)).withColumn(
+        "total", F.sum("n").over(Window.partitionBy("field_name", "grp"))
+    )
     rank = F.greatest(F.ceil(F.col("total") * F.col("pct") / F.lit(100)), F.lit(1))
-    hit = cum.withColumn("pct", F.explode(F.array(*[F.lit(p) for p in pcts]))).filter((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+    hit = cum.withColumn("pct", F.explode(F.array(*[F.lit(p) for p in pcts]))).filter(
+        (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
+    )
     low = F.shiftleft("prefix", 64 - bits)
     high = low.bitwiseOR(F.lit(2 ** (64 - bits) - 1))
     out = hit.select("field_name", "grp", "pct", key_value(low).alias("a"), key_value(high).alias("b"))
-    return out.select("field_name", "grp", "pct", ((F.col("a") + F.col("b")) / 2).alias("value"), F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    return out.select(
+        "field_name", "grp", "pct", ((F.col("a") + F.col("b")) / 2).alias("value"), F.least("a", "b").alias("low"),
+        F.greatest("a", "b").alias("high")
+    )
 
 
 def radix_percentiles(values: DataFrame, pcts: list[int], bits: int = 16) -> DataFrame:
@@ -86,7 +97,9 @@ def radix_percentiles(values: DataFrame, pcts: list[int], bits: int = 16) -> Dat
             rows = rows.withColumn("prefix", F.shiftrightunsigned("key", 64 - done))
             live = state.select(*by).distinct()
             live = broadcast_if_small(live)
-            on = (rows["field_name"] == live["field_name"]) & rows["grp"].eqNullSafe(live["grp"]) & (rows["prefix"] == live["prefix"])
+            on = (
+                rows["field_name"] == live["field_name"]
+            ) & rows["grp"].eqNullSafe(live["grp"]) & (rows["prefix"] == live["prefix"])
             rows = rows.join(live, on, "left_semi")
         hist = rows.groupBy(*by, _digit(F.col("key"), done, bits).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy(*by).orderBy("digit")
@@ -97,11 +110,15 @@ def radix_percentiles(values: DataFrame, pcts: list[int], bits: int = 16) -> Dat
             cum = cum.withColumn("rank", F.greatest(F.expr("(total * pct + 99) div 100"), F.lit(1)))
         else:
             s = state.withColumnsRenamed({c: f"_{c}" for c in by})
-            on = (cum["field_name"] == s["_field_name"]) & cum["grp"].eqNullSafe(s["_grp"]) & (cum["prefix"] == s["_prefix"])
+            on = (
+                cum["field_name"] == s["_field_name"]
+            ) & cum["grp"].eqNullSafe(s["_grp"]) & (cum["prefix"] == s["_prefix"])
             cum = cum.join(s, on)
         hit = cum.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
         prefix = F.shiftleft("prefix", bits).bitwiseOR(F.col("digit")) if done else F.col("digit")
-        state = hit.select(*group, prefix.alias("prefix"), "pct", "total", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
+        state = hit.select(
+            *group, prefix.alias("prefix"), "pct", "total", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank")
+        )
         old, state = last, materialize(state, "ranks")
         if old is not None:
             release(old)

@@ -39,11 +39,16 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     lists = table(spark, sf, "recipes_clean").select(
         F.lit("ingredients_canonical_list").alias("field_name"), F.col("id").alias("basket"), F.explode("ingredients_canonical_list").alias("item")
     )
-    tags = packed_values(spark, sf, ("tags",)).select("field_name", F.col("recipe_id").alias("basket"), F.col("item_value").alias("item"))
+    tags = packed_values(spark, sf, ("tags",)).select(
+        "field_name", F.col("recipe_id").alias("basket"), F.col("item_value").alias("item")
+    )
     return cooccurrence(lists.unionByName(tags), min_pairs=5, min_share=1 / 200)
 
 
-@R.add("p1_found", f"WITH {_BASKETS} SELECT field_name, item_a, item_b FROM pairs WHERE n_ab::HUGEINT * n_baskets >= 3 * n_a::HUGEINT * n_b")
+@R.add(
+    "p1_found",
+    f"WITH {_BASKETS} SELECT field_name, item_a, item_b FROM pairs WHERE n_ab::HUGEINT * n_baskets >= 3 * n_a::HUGEINT * n_b"
+)
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of ingredients and of tags that occur together at least three times as often as chance explains."""
     d = lambda c: F.col(c).cast("decimal(18,0)")
@@ -84,10 +89,15 @@ def _best(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("p2_found", f"{_RANKED} SELECT candidate_ingredient, substitute_ingredient FROM r WHERE place <= 5")
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """The five best substitutes of every ingredient."""
-    return _best(spark, sf).select(F.col("grp").alias("candidate_ingredient"), F.col("item").alias("substitute_ingredient"))
+    return _best(spark, sf).select(
+        F.col("grp").alias("candidate_ingredient"), F.col("item").alias("substitute_ingredient")
+    )
 
 
-@R.add("p2_ranking", f"{_RANKED} SELECT candidate_ingredient, substitute_ingredient, s score, place FROM r WHERE place <= 5")
+@R.add(
+    "p2_ranking",
+    f"{_RANKED} SELECT candidate_ingredient, substitute_ingredient, s score, place FROM r WHERE place <= 5"
+)
 def p2_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """The five best substitutes with score and place."""
     return _best(spark, sf).select(
@@ -140,7 +150,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("p5_percentiles", f"{_VALUES} SELECT primary_tag, field_name, pct, value, n FROM p")
 def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Six percentiles of every tag and of the whole (null tag)."""
-    return _percentiles(spark, sf, [10, 25, 50, 75, 90, 99]).select("primary_tag", "field_name", F.col("pct").cast("int").alias("pct"), "value", "n")
+    return _percentiles(spark, sf, [10, 25, 50, 75, 90, 99]).select(
+        "primary_tag", "field_name", F.col("pct").cast("int").alias("pct"), "value", "n"
+    )
 
 
 # ---------------------------------------------------------------------------------------------------------------- p8
@@ -156,7 +168,9 @@ TOKENS_SQL = rf"""
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
-    return pack(table(spark, sf, "documents").filter("doc_id is not null"), "doc_id", count_tokens(F.col("text")), CAPACITY)
+    return pack(
+        table(spark, sf, "documents").filter("doc_id is not null"), "doc_id", count_tokens(F.col("text")), CAPACITY
+    )
 
 
 @R.add("p8_found", f"SELECT doc_id FROM documents WHERE {TOKENS_SQL} > {CAPACITY}")
@@ -177,7 +191,9 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("p8_fill")
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Containers used, the least possible by volume, and the share of room left unused."""
-    per = _packed(spark, sf).filter("container_id is not null").groupBy("container_id").agg(F.sum("size").alias("used"), F.max("fixed").alias("fixed"))
+    per = _packed(spark, sf).filter("container_id is not null").groupBy("container_id").agg(
+        F.sum("size").alias("used"), F.max("fixed").alias("fixed")
+    )
     n = F.count(F.lit(1))
     return per.agg(
         n.alias("n_containers"), F.ceil(F.sum("used") / CAPACITY).alias("least_by_volume"),
@@ -197,7 +213,9 @@ m AS (SELECT d.id doc_id, i.id item_id, count(*) k FROM sh d JOIN sh i ON d.kind
 
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "text", "item_id", "text")
+    return find_leaks(
+        table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "text", "item_id", "text"
+    )
 
 
 @R.add("p9_found", f"WITH {_SHINGLES} SELECT doc_id, item_id FROM m JOIN ni ON ni.id = item_id WHERE 10 * k >= 3 * n")
@@ -206,7 +224,10 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).select("doc_id", "item_id")
 
 
-@R.add("p9_leaked_items", f"WITH {_SHINGLES} SELECT item_id, count(*) n_docs, max(k)::INTEGER most_shared, max(n)::INTEGER n_item FROM m JOIN ni ON ni.id = item_id WHERE 10 * k >= 3 * n GROUP BY item_id")
+@R.add(
+    "p9_leaked_items",
+    f"WITH {_SHINGLES} SELECT item_id, count(*) n_docs, max(k)::INTEGER most_shared, max(n)::INTEGER n_item FROM m JOIN ni ON ni.id = item_id WHERE 10 * k >= 3 * n GROUP BY item_id"
+)
 def p9_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     """The test items that leaked and into how many documents."""
     return _leaks(spark, sf).groupBy("item_id").agg(

@@ -17,12 +17,19 @@ def latest_scores(df: DataFrame, group: str, item: str, score: str, at: str) ->
     """(grp, item, score): of each pair the row of the latest ``at``. Null times come first, of rows at the same time
     the highest score counts; pairs with a null key, or whose score is then null or NaN, are left out."""
     col = lambda n: F.col(f"`{n}`")
-    rows = df.select(col(group).alias("grp"), col(item).alias("item"), col(at).alias("at"), F.nanvl(col(score).cast("double"), F.lit(None)).alias("score"))
-    last = rows.filter(F.col("grp").isNotNull() & F.col("item").isNotNull()).groupBy("grp", "item").agg(F.max(F.struct("at", "score")).alias("m"))
+    rows = df.select(
+        col(group).alias("grp"), col(item).alias("item"), col(at).alias("at"),
+        F.nanvl(col(score).cast("double"), F.lit(None)).alias("score")
+    )
+    last = rows.filter(
+        F.col("grp").isNotNull() & F.col("item").isNotNull()
+    ).groupBy("grp", "item").agg(F.max(F.struct("at", "score")).alias("m"))
     return last.select("grp", "item", F.col("m.score").alias("score")).filter(F.col("score").isNotNull())
 
 
-def top_n(rows: DataFrame, n: int, shares: tuple[float, ...] = (0.9, 0.6), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def top_n(
+    rows: DataFrame, n: int, shares: tuple[float, ...] = (0.9, 0.6), broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """(grp, item, score, rank): the first ``n`` of each group by score descending, then item ascending.
 
     ``rows`` has grp, item, score without nulls; repeated rows count as one. ``shares`` are the quantiles of score at
@@ -34,7 +41,9 @@ def top_n(rows: DataFrame, n: int, shares: tuple[float, ...] = (0.9, 0.6), broad
     band = F.lit(len(cuts))
     for k, c in reversed(list(enumerate(cuts))):
         band = F.when(F.col("score") >= F.lit(c), k).otherwise(band)
-    banded = materialize(rows.select("grp", "item", "score", band.cast("int").alias("band")).distinct(), "bands", ["band"])
+    banded = materialize(
+        rows.select("grp", "item", "score", band.cast("int").alias("band")).distinct(), "bands", ["band"]
+    )
     done: DataFrame | None = None
     order = Window.partitionBy("grp").orderBy(F.col("score").desc(), F.col("item"))
     for k in range(len(cuts) + 1):
@@ -53,7 +62,9 @@ def top_n(rows: DataFrame, n: int, shares: tuple[float, ...] = (0.9, 0.6), broad
         else:
             if not small:
                 ranked = ranked.join(filled, "grp", "left_anti")
-            won = ranked.join(have, "grp", "left").withColumn("rank", F.col("rn") + F.coalesce("have", F.lit(0)).cast("int"))
+            won = ranked.join(have, "grp", "left").withColumn(
+                "rank", F.col("rn") + F.coalesce("have", F.lit(0)).cast("int")
+            )
             won = won.filter(F.col("rank") <= n)
         won = materialize(won.select("grp", "item", "score", "rank"), "top")
         done = won if done is None else done.unionByName(won)

@@ -37,7 +37,10 @@ def test_leaks_equal_brute_force(spark):
             if s and 10 * len(own & s) >= 3 * len(s):
                 want.add((d, i, len(own & s), len(s)))
     left = spark.createDataFrame([(d, t, "x", 1, 2) for d, t in docs.items()] + [(None, line, "x", 1, 2)], DOCS)
-    right = spark.createDataFrame([(i, x, 0) for i, x in items.items()] + [(None, "a b c d e f", 0), (99, None, 0)], "item_id bigint, text string, doc_id int")
+    right = spark.createDataFrame(
+        [(i, x, 0) for i, x in items.items()] + [(None, "a b c d e f", 0), (99, None, 0)],
+        "item_id bigint, text string, doc_id int"
+    )
     for block in (10**7, 1500):
         got = K.find_leaks(left, right, "doc_id", "text", "item_id", "text", block_chars=block)
         assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
@@ -54,7 +57,9 @@ def test_no_items_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b c d e", "en", 0, 0)], DOCS)
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert K.find_leaks(docs, items, "doc_id", "text", "item_id", "text").count() == 0
-    assert K.find_leaks(docs.limit(0), docs.select(F.col("doc_id").alias("item_id"), "text"), "doc_id", "text", "item_id", "text").count() == 0
+    assert K.find_leaks(
+        docs.limit(0), docs.select(F.col("doc_id").alias("item_id"), "text"), "doc_id", "text", "item_id", "text"
+    ).count() == 0
 
 
 WORDS = {
@@ -110,8 +115,13 @@ def test_filter_never_misses_and_false_rates_are_estimated():
 def test_segments_and_labels(spark):
     d = L.train([(lang, t) for t, lang, _ in corpus(1, 300)])
     r = random.Random(5)
-    mono, mixed = "".join(sentence(r, "de") for _ in range(6)), "".join(sentence(r, "en") for _ in range(6)) + "".join(sentence(r, "pt") for _ in range(3))
-    data = [(1, mono, "de"), (2, mono, "DE "), (3, mono, "de-DE"), (4, mono, None), (5, mixed, "en"), (6, None, "en"), (7, "", "en"), (8, "12 / 45", "en"), (9, "Guten Tag", "xx"), (None, mono, "en"), (10, mono * 300, "fr")]
+    mono, mixed = "".join(
+        sentence(r, "de") for _ in range(6)
+    ), "".join(sentence(r, "en") for _ in range(6)) + "".join(sentence(r, "pt") for _ in range(3))
+    data = [
+        (1, mono, "de"), (2, mono, "DE "), (3, mono, "de-DE"), (4, mono, None), (5, mixed, "en"), (6, None, "en"),
+        (7, "", "en"), (8, "12 / 45", "en"), (9, "Guten Tag", "xx"), (None, mono, "en"), (10, mono * 300, "fr")
+    ]
     df = spark.createDataFrame([(*x, 0, 0) for x in data], DOCS)
     seg = L.label_segments(df, d, "doc_id", "text")
     got = {tuple(x) for x in L.doubtful_labels(df, seg, "doc_id", "lang").collect()}
@@ -124,5 +134,7 @@ def test_segments_and_labels(spark):
 
 
 def test_sample_is_bounded(spark):
-    df = spark.createDataFrame([(i, "word " * 40, "en" if i % 2 else "EN ", 0, 0) for i in range(50)] + [(99, "x" * 500, "zz", 0, 0)], DOCS)
+    df = spark.createDataFrame(
+        [(i, "word " * 40, "en" if i % 2 else "EN ", 0, 0) for i in range(50)] + [(99, "x" * 500, "zz", 0, 0)], DOCS
+    )
     assert len(L.labelled_sample(df, "doc_id", "text", "lang", 10)) == 10

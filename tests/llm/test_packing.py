@@ -43,12 +43,16 @@ def check(rows, sizes, capacity):
 
 def test_every_item_has_its_place(spark):
     r = random.Random(3)
-    sizes = {i: r.choice([0, 1, 7, 100, 256, 512, 513, 2000, r.randint(1, 600), r.randint(1, 60)]) for i in range(700)} | {10_000 + i: 100 for i in range(400)}
+    sizes = {
+        i: r.choice([0, 1, 7, 100, 256, 512, 513, 2000, r.randint(1, 600), r.randint(1, 60)]) for i in range(700)
+    } | {10_000 + i: 100 for i in range(400)}
     df = spark.createDataFrame([(i, None, s, 0, 0) for i, s in sizes.items()], DOCS)
     n = check(K.pack(df, "doc_id", F.col("size"), 512).collect(), sizes, 512)
     assert n <= sum(sizes.values()) / 512 * 1.02 + 1
     again = K.pack(df.repartition(7), "doc_id", F.col("size"), 512)
-    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, K.pack(df, "doc_id", F.col("size"), 512).collect()), key=str)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(
+        map(tuple, K.pack(df, "doc_id", F.col("size"), 512).collect()), key=str
+    )
 
 
 def test_empty_and_null_sizes(spark):
@@ -107,4 +111,6 @@ def test_best_fit_equals_item_by_item(sizes):
     got = Counter()
     for f, n in K.best_fit(Counter(sizes), 40):
         got[tuple(f)] += n
-    assert sum(got.values()) == len(bins) and sum((Counter({s: n * k for s, k in Counter(f).items()}) for f, n in got.items()), Counter()) == Counter(sizes)
+    assert sum(got.values()) == len(bins) and sum(
+        (Counter({s: n * k for s, k in Counter(f).items()}) for f, n in got.items()), Counter()
+    ) == Counter(sizes)

@@ -23,7 +23,10 @@ def brute_pairs(data, min_pairs, min_share):
         n[f] += 1
         one.update((f, i) for i in items)
         two.update((f, a, b) for a, b in itertools.combinations(sorted(items, key=lambda s: s.encode()), 2))
-    return {(f, a, b): (k, one[f, a], one[f, b], n[f]) for (f, a, b), k in two.items() if k >= min_pairs and k >= min_share * n[f]}
+    return {
+        (f, a, b): (k, one[f, a], one[f, b], n[f]) for (f, a, b),
+        k in two.items() if k >= min_pairs and k >= min_share * n[f]
+    }
 
 
 def test_pairs_equal_brute_force_with_huge_baskets(spark):
@@ -32,15 +35,21 @@ def test_pairs_equal_brute_force_with_huge_baskets(spark):
     for b in range(120):
         for i in r.sample(range(60), 45 if b < 6 else r.randint(0, 6)):
             data += [("x", b, f"é{i}" if i % 2 else f"i{i}", 1, 1)] * r.choice([1, 1, 2])
-    data += [("y", 1, "a", 0, 0), ("y", 1, "b", 0, 0), ("y", None, "a", 0, 0), ("y", 2, None, 0, 0), ("y", 3, "only", 0, 0)]
+    data += [
+        ("y", 1, "a", 0, 0), ("y", 1, "b", 0, 0), ("y", None, "a", 0, 0), ("y", 2, None, 0, 0), ("y", 3, "only", 0, 0)
+    ]
     df = spark.createDataFrame(data, BASKETS)
     for min_pairs, share, chunk in ((1, 0.0, 10), (3, 0.03, 7), (1, 0.0, 500)):
         want = brute_pairs(data, min_pairs, share)
         got = C.cooccurrence(df, min_pairs, share, chunk).collect()
-        assert {(x["field_name"], x["item_a"], x["item_b"]): (x["n_ab"], x["n_a"], x["n_b"], x["n_baskets"]) for x in got} == want
+        assert {
+            (x["field_name"], x["item_a"], x["item_b"]): (x["n_ab"], x["n_a"], x["n_b"], x["n_baskets"]) for x in got
+        } == want
         assert len(got) == len(want)
         for x in got:
-            assert math.isclose(x["lift"], x["n_ab"] * x["n_baskets"] / x["n_a"] / x["n_b"]) and -1.0001 <= x["npmi"] <= 1.0001
+            assert math.isclose(
+                x["lift"], x["n_ab"] * x["n_baskets"] / x["n_a"] / x["n_b"]
+            ) and -1.0001 <= x["npmi"] <= 1.0001
 
 
 def test_no_pairs(spark):
@@ -57,8 +66,16 @@ def test_top_items_with_ties_repeats_and_a_hot_group(spark):
     data = []
     for _ in range(3000):
         g = "hot" if r.random() < 0.4 else f"g{r.randint(0, 200)}"
-        data.append((g, f"s{r.randint(0, 300)}", r.choice([None, float("nan"), 0.5, round(r.random(), 2)]), t0 + timedelta(days=r.randint(0, 50)), "z", 0, 0))
-    data += data[:200] + [(None, "a", 1.0, t0, "", 0, 0), ("n", None, 1.0, t0, "", 0, 0), ("n", "late", None, None, "", 0, 0), ("n", "x", 0.1, None, "", 0, 0)]
+        data.append(
+            (
+                g, f"s{r.randint(0, 300)}", r.choice([None, float("nan"), 0.5, round(r.random(), 2)]),
+                t0 + timedelta(days=r.randint(0, 50)), "z", 0, 0
+            )
+        )
+    data += data[:200] + [
+        (None, "a", 1.0, t0, "", 0, 0), ("n", None, 1.0, t0, "", 0, 0), ("n", "late", None, None, "", 0, 0),
+        ("n", "x", 0.1, None, "", 0, 0)
+    ]
     last = {}
     for g, s, v, at, *_ in data:
         if g is not None and s is not None:
@@ -94,7 +111,9 @@ def nearest_rank(v, p):
 def test_percentiles_equal_nearest_rank(spark):
     r = random.Random(9)
     number = lambda: r.choice([None, float("nan"), 0.0, -0.0, -3.5, 1e300, -1e-300, r.gauss(0, 10), float(r.randint(0, 5))])
-    data = [(r.choice(["x", "y", None, "hot", "hot"]), number(), number(), 1, 1) for _ in range(800)] + [("inf", float("inf"), -float("inf"), 1, 1), ("one", 4.0, None, 0, 0)]
+    data = [
+        (r.choice(["x", "y", None, "hot", "hot"]), number(), number(), 1, 1) for _ in range(800)
+    ] + [("inf", float("inf"), -float("inf"), 1, 1), ("one", 4.0, None, 0, 0)]
     df = spark.createDataFrame(data, VALUES)
     pcts = [1, 10, 50, 90, 100]
     by = defaultdict(list)
@@ -104,13 +123,17 @@ def test_percentiles_equal_nearest_rank(spark):
                 by[f, t].append(v)
     values = P.keyed_values(df, "tag", ["a", "b"])
     for bits in (16, 8):
-        got = {(x["field_name"], x["grp"], x["pct"]): x["value"] for x in P.radix_percentiles(values, pcts, bits).collect()}
+        got = {
+            (x["field_name"], x["grp"], x["pct"]): x["value"] for x in P.radix_percentiles(values, pcts, bits).collect()
+        }
         assert got == {(f, t, p): nearest_rank(v, p) for (f, t), v in by.items() for p in pcts}
 
 
 def test_summaries_of_days_add_up_within_their_bound(spark):
     r = random.Random(1)
-    parts = [spark.createDataFrame([("g", r.lognormvariate(0, 2), 0.0, 0, 0) for _ in range(300)], VALUES) for _ in range(3)]
+    parts = [
+        spark.createDataFrame([("g", r.lognormvariate(0, 2), 0.0, 0, 0) for _ in range(300)], VALUES) for _ in range(3)
+    ]
     whole = P.keyed_values(parts[0].union(parts[1]).union(parts[2]), "tag", ["a"])
     merged = P.merge_summaries(*[P.summary(P.keyed_values(p, "tag", ["a"])) for p in parts])
     assert sorted(merged.collect()) == sorted(P.summary(whole).collect())
@@ -122,6 +145,8 @@ def test_summaries_of_days_add_up_within_their_bound(spark):
 def test_no_values(spark):
     empty = spark.createDataFrame([("x", None, float("nan"), 0, 0)], VALUES)
     assert P.radix_percentiles(P.keyed_values(empty, "tag", ["a", "b"]), [50]).count() == 0
-    keys = spark.createDataFrame([(v,) for v in (-float("inf"), -2.0, -1.0, 0.0, 1.0, 2.0)], "v double").select("v", P.ordered_key("v").alias("k"))
+    keys = spark.createDataFrame(
+        [(v,) for v in (-float("inf"), -2.0, -1.0, 0.0, 1.0, 2.0)], "v double"
+    ).select("v", P.ordered_key("v").alias("k"))
     got = keys.orderBy(F.expr("shiftrightunsigned(k, 1)")).select("v", P.key_value("k")).collect()
     assert [x[0] for x in got] == [x[1] for x in got] == [-float("inf"), -2.0, -1.0, 0.0, 1.0, 2.0]
