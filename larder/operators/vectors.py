@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.numeric import finite, steady_round
 from larder.functions.vocabulary import SEGMENT_REST, SEGMENT_RULES
+from larder.operators.skew import heavy_of, split_join
 
 #: Query vectors broadcast at once.
 BLOCK = 2_000
@@ -181,6 +182,21 @@ def hash_shape(n: int, least: float, miss: float = 0.001) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log1p(-hit))
 
 
+def equal_vectors(df: DataFrame) -> DataFrame:
+    """(a, b), a < b: every id whose vector another id has too, with the smallest such id; null and zero vectors equal
+    nothing. A vector with a large share of all rows meets its smallest id by broadcast."""
+    from larder.session import materialize
+
+    ok = df.select(
+        F.col("id").cast("bigint").alias("id"), "embedding"
+    ).filter("id is not null and exists(embedding, v -> v <> 0) and forall(embedding, v -> v is not null and not isnan(v))")
+    counts = materialize(ok.groupBy("embedding").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("_n")), "copies")
+    first = counts.filter("_n > 1").select("embedding", "a")
+    return split_join(ok, first, ["embedding"], heavy=heavy_of(counts, ["embedding"])).filter("a <> id").select(
+        "a", F.col("id").alias("b")
+    )
+
+
 def similar_vectors(df: DataFrame, least: float, near: int = 8, seed: int = 42) -> DataFrame:
     """(a, b, similarity), a < b: pairs of different vectors with cosine of at least ``least``, by sign hashing.
 
