@@ -18,6 +18,9 @@ from larder.operators.skew import heavy_of, split_join
 #: Query vectors broadcast at once.
 BLOCK = 2_000
 
+#: Vectors of a block of the join of all vectors, broadcast at once.
+LINK_BLOCK = 20_000
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays, accumulated in double; null if one is all zero."""
@@ -182,14 +185,19 @@ def hash_shape(n: int, least: float, miss: float = 0.001) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log1p(-hit))
 
 
+def _usable(df: DataFrame) -> DataFrame:
+    """(id, embedding) of the rows that can match: an id, no null or NaN in the vector, not all zero."""
+    return df.select(F.col("id").cast("bigint").alias("id"), "embedding").filter(
+        "id is not null and exists(embedding, v -> v <> 0) and forall(embedding, v -> v is not null and not isnan(v))"
+    )
+
+
 def equal_vectors(df: DataFrame) -> DataFrame:
     """(a, b), a < b: every id whose vector another id has too, with the smallest such id; null and zero vectors equal
     nothing. A vector with a large share of all rows meets its smallest id by broadcast."""
     from larder.session import materialize
 
-    ok = df.select(
-        F.col("id").cast("bigint").alias("id"), "embedding"
-    ).filter("id is not null and exists(embedding, v -> v <> 0) and forall(embedding, v -> v is not null and not isnan(v))")
+    ok = _usable(df)
     counts = materialize(ok.groupBy("embedding").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("_n")), "copies")
     first = counts.filter("_n > 1").select("embedding", "a")
     return split_join(ok, first, ["embedding"], heavy=heavy_of(counts, ["embedding"])).filter("a <> id").select(
@@ -197,53 +205,87 @@ def equal_vectors(df: DataFrame) -> DataFrame:
     )
 
 
-def similar_vectors(df: DataFrame, least: float, near: int = 8, seed: int = 42) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of different vectors with cosine of at least ``least``, by sign hashing.
+def _spanning(links: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(row, column) of enough ``links`` to join all that they join; ``group`` has the group of each column so far and
+    is brought up to date."""
+    for r in np.flatnonzero(links.any(axis=1)):
+        at = np.flatnonzero(links[r])
+        of = group[at]
+        if (of == of[0]).all():
+            yield r, at[0]
+            continue
+        old, first = np.unique(of, return_index=True)
+        group[np.isin(group, old)] = old[0]
+        for c in at[first]:
+            yield r, c
 
-    Equal vectors are one class beforehand (their smallest id stands for them), so copies give no pairs. The rows of all
-    tables are range-partitioned by bucket and, within it, by a projection, and each is compared with the next ``near``
-    of its bucket: the work is linear and a bucket that holds much of the data is spread over tasks. A dense bucket so
-    gives chains of pairs rather than all, which is what classes need. Null and zero vectors match nothing.
-    """
-    from pyspark.sql import types as T
 
+def _block_join(df: DataFrame, least: float, every: bool, block: int, tile: int = 1_024) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of different vectors with cosine of at least ``least``, exactly.
+
+    Copies are represented by their smallest id. The vectors are cut into blocks by the hash of their id; one block at a
+    time is broadcast and meets the rows of its own and all later blocks in tiles, so every pair is compared once and a
+    dense region needs no more memory than any other. Without ``every`` a task gives only as many pairs as join all that
+    are linked to its block, at most one a row and one a vector of the block.
+    """
     from larder.session import materialize
 
-    ok = df.select(
-        F.col("id").cast("bigint").alias("id"), "embedding"
-    ).filter("id is not null and embedding is not null")
-    unit = materialize(ok.groupBy("embedding").agg(F.min("id").alias("id")), "vectors")
-    bits, tables = hash_shape(unit.count(), least)
-    place = T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("p", T.FloatType())]))
-
-    @F.pandas_udf(place)
-    def buckets(e: pd.Series) -> pd.Series:
-        x = np.stack(e.to_numpy()).astype(np.float64)
-        rng = np.random.default_rng(seed)
-        signs = (x @ rng.normal(size=(x.shape[1], tables * bits)) > 0).reshape(len(x), tables, bits)
-        key = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2) + (np.arange(tables, dtype=np.int64) << bits)
-        where = x @ rng.normal(size=(x.shape[1], tables))
-        return pd.Series(
-            [[{"k": int(a), "p": float(b)} for a, b in zip(u, v, strict=True)] for u, v in zip(key, where, strict=True)]
+    spark = df.sparkSession
+    unit = materialize(_usable(df).groupBy("embedding").agg(F.min("id").alias("id")), "vectors")
+    n_blocks = max(1, math.ceil(unit.count() / block))
+    number = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
+    unit = materialize(unit.withColumn("_b", number).repartition("_b", "id"), "vectors", ["_b"] if n_blocks > 1 else None)
+    parts = []
+    for k in range(n_blocks):
+        got = unit.filter(F.col("_b") == k).select("id", "embedding").orderBy("id").toPandas()  # about ``block`` rows
+        if got.empty:
+            continue
+        m = np.stack(got["embedding"].to_numpy()).astype(np.float64)
+        shared = spark.sparkContext.broadcast(
+            (got["id"].to_numpy(dtype=np.int64), m / np.linalg.norm(m, axis=1, keepdims=True))
+        )
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared, k=k) -> Iterator[pd.DataFrame]:
+            ids, m = shared.value
+            group = np.arange(len(ids))
+            for p in batches:
+                for start in range(0, len(p), tile):
+                    t = p.iloc[start:start + tile]
+                    x = np.stack(t["embedding"].to_numpy()).astype(np.float64)
+                    i, own = t["id"].to_numpy(dtype=np.int64), t["_b"].to_numpy() == k
+                    s = np.round(x / np.linalg.norm(x, axis=1, keepdims=True) @ m.T, 9)
+                    links = s >= least
+                    if every:
+                        links &= ~own[:, None] | (i[:, None] < ids[None, :])
+                        u, v = np.nonzero(links)
+                    else:
+                        u, v = np.array(list(_spanning(links, group)), dtype=np.int64).reshape(-1, 2).T
+                    out = pd.DataFrame(
+                        {"a": np.minimum(i[u], ids[v]), "b": np.maximum(i[u], ids[v]), "similarity": s[u, v]}
+                    )
+                    yield out[out["a"] < out["b"]]
+
+        pairs = unit.filter(F.col("_b") >= k).select("id", "embedding", "_b").mapInPandas(
+            run, "a bigint, b bigint, similarity double"
         )
+        if n_blocks > 1:  # else the broadcasts of all blocks are held at once
+            pairs = materialize(pairs, "pairs")
+            shared.destroy()
+        parts.append(pairs)
+    empty = spark.createDataFrame([], "a bigint, b bigint, similarity double")
+    return reduce(DataFrame.unionByName, parts) if parts else empty
+
+
+def similar_vectors(df: DataFrame, least: float, block: int = LINK_BLOCK) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of different vectors with cosine of at least ``least``.
+
+    Equal vectors are one beforehand (their smallest id stands for them), so copies give no pairs. Null and zero vectors
+    match nothing. The work is quadratic, and so is the result where much of the data is alike.
+    """
+    return _block_join(df, least, True, block)
+
 
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k, i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
-            old = len(k)
-            k, i = np.concatenate([k, b["k"].to_numpy()]), np.concatenate([i, b["id"].to_numpy()])
-            for s in range(1, min(near, len(k) - 1) + 1):
-                same = np.flatnonzero(k[s:] == k[:-s])
-                same = same[same + s >= old]
-                u, v = i[same], i[same + s]
-                yield pd.DataFrame({"id": np.minimum(u, v), "other": np.maximum(u, v)})
-            k, i = k[-near:], i[-near:]
-
-    keyed = unit.select("id", F.explode(buckets("embedding")).alias("x")).select("id", "x.k", "x.p")
-    pairs = keyed.repartitionByRange("k", "p").sortWithinPartitions("k", "p", "id").mapInPandas(
-        neighbours, "id bigint, other bigint"
-    ).distinct()
-    v = unit.select(F.col("id").alias("other"), F.col("embedding").alias("f"))
-    s = cosine(F.col("embedding"), F.col("f"))
-    out = pairs.join(unit, "id").join(v, "other").withColumn("similarity", s).filter(F.col("similarity") >= least)
-    return out.select(F.col("id").alias("a"), F.col("other").alias("b"), "similarity")
+def linked_vectors(df: DataFrame, least: float, block: int = LINK_BLOCK) -> DataFrame:
+    """(a, b), a < b: links of cosine of at least ``least`` whose components are the classes of all such links, copies
+    included. All pairs are compared, but links inside what is joined already are left out."""
+    return _block_join(df, least, False, block).select("a", "b").unionByName(equal_vectors(df))

@@ -219,9 +219,9 @@ def nearest_one(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("vector_classes")
 def vector_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector with the class it is merged into (a cosine of at least 0.7 links; the test measures the recall)."""
+    """Every vector with the class it is merged into (a cosine of at least 0.7 links; all pairs are compared)."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return M.components(v.select("id"), N.similar_vectors(v, 0.7).select("a", "b").unionByName(N.equal_vectors(v)))
+    return M.components(v.select("id"), N.linked_vectors(v, 0.7))
 
 
 @R.add(
