@@ -127,10 +127,10 @@ def substitution_scores(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
 def segment_users(
     df: DataFrame, id_col: str, features: list[str], ks: tuple[int, ...] = (4, 5, 6),
-    seeds: tuple[int, ...] = (42, 43, 44), sample: int = 10_000
+    seeds: tuple[int, ...] = tuple(range(42, 52)), sample: int = 10_000
 ) -> DataFrame:
-    """(id, cluster_id, cluster_label): K-Means on standardised features; k by the silhouette over ``sample`` rows picked
-    by the hash of their id, each k with the best of several starts; then every row is assigned."""
+    """(id, cluster_id, cluster_label): K-Means on the standardised features of all rows, each k with the best of ten
+    starts; k by the silhouette over ``sample`` rows picked by the hash of their id."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -144,11 +144,11 @@ def segment_users(
     if filled.isEmpty():
         return filled.select(F.col("_id").alias(id_col), F.lit(0).alias("cluster_id"), F.lit("").alias("cluster_label"))
     scaler = StandardScaler(inputCol="_v", outputCol="features", withMean=True, withStd=True).fit(vec)
-    data = scaler.transform(vec)
+    data = materialize(scaler.transform(vec), "scaled")
     small = materialize(data.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("features"), "sample")
     best = None
     for k in ks:
-        models = [KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster_id").fit(small) for s in seeds]
+        models = [KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster_id").fit(data) for s in seeds]
         model = min(models, key=lambda m: m.summary.trainingCost)
         got = model.transform(small)
         if got.select("cluster_id").distinct().count() < 2:
