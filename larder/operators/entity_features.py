@@ -134,7 +134,8 @@ class EntityFeatures:
     ) -> DataFrame:
         """One row per entity; with ``since``/``until`` (inclusive days) only events of that range count.
 
-        Buckets wholly inside the range come from the state; those the range cuts are aggregated from ``events``.
+        Buckets wholly inside the range come from the state; those the range cuts are aggregated from ``events``,
+        without which a range that cuts a stored bucket is an error.
         """
         part = self.partials()
         if since or until:
@@ -144,6 +145,8 @@ class EntityFeatures:
             end = F.date_add(start, self.days - 1)
             whole = (F.col("bucket") != NO_DATE) & (start >= lo) & (end <= hi)
             cut = ~whole & (start <= hi) & (end >= lo)
+            if events is None and not part.filter((F.col("bucket") != NO_DATE) & cut).isEmpty():
+                raise ValueError("the range cuts a stored bucket: give the events")
             part = part.filter(whole)
             if events is not None:
                 ev = _events(events, self.columns, self.days).filter(F.col("day").isNotNull() & cut)
