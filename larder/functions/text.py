@@ -120,7 +120,7 @@ def is_external_term(t: Column) -> Column:
 
 
 def keyword_pattern(keys: list[str] | None = None) -> str:
-    keys = keys or [k for _, _, ks in V.taxonomy() for k in ks]
+    keys = keys or [k for _, _, ks in V.TAXONOMY for k in ks]
     return r"\b(" + "|".join(keys) + r")\b"
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Our own small lexicon of kitchen reviews: word, valence. A parameter of every function that uses it.
+# Words of kitchen reviews with valences on the -4..4 scale of the published VADER lexicon (Hutto and
+# Gilbert, 2014), a short default. ``read_lexicon`` reads the whole published file; the lexicon is a parameter.
 LEXICON = {
     "good": 1.9, "great": 3.1, "excellent": 2.7, "amazing": 2.8, "love": 3.2, "loved": 2.9, "lovely": 2.8, "perfect": 2.7,
     "delicious": 2.7, "tasty": 2.3, "easy": 1.9, "nice": 1.8, "best": 3.2, "better": 1.9, "enjoyed": 2.3, "wonderful": 2.7,
@@ -27,6 +28,18 @@ BOOSTERS = {
 NEGATE, EXCLAIM, MOST_EXCLAIM, ALPHA = -0.74, 0.292, 4, 15
 
 
+def read_lexicon(path: str) -> dict[str, float]:
+    """A lexicon file in the published form: word, tab, mean valence, further columns. Single lower-case words are kept,
+    as texts are scored word by word; the file is a fixed resource of some thousand lines."""
+    out = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            word, _, rest = line.rstrip("\n").partition("\t")
+            if word.isalpha() and word.isascii():
+                out[word.lower()] = float(rest.split("\t")[0])
+    return out
+
+
 def lexicon_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
     """Compound score between -1 and 1; null for null or blank text, 0 where no word is known."""
     found = F.regexp_extract_all(F.lower(F.replace(text, F.lit("'"), F.lit(""))), F.lit("[a-z]+"), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import text as X
 from larder.functions.numeric import steady_round
-from larder.functions.vocabulary import JUNK, taxonomy
+from larder.functions.vocabulary import JUNK, TAXONOMY
 from larder.session import broadcast_if_small
 
 
@@ -17,7 +17,7 @@ def tags_of(t: Column, rules: list[tuple[str, str, list[str]]] | None = None) ->
     One alternation per tag decides; only for tags that match is the first keyword looked for. Both run in the JVM.
     """
     found = []
-    for tag, dimension, keys in rules or taxonomy():
+    for tag, dimension, keys in rules or TAXONOMY:
         word = F.coalesce(*[F.when(t.rlike(rf"\b{k}\b"), F.lit(k)) for k in keys])
         hit = F.struct(F.lit(tag).alias("tag"), F.lit(dimension).alias("dimension"), word.alias("word"))
         found.append(F.when(t.rlike(X.keyword_pattern(keys)), hit))

@@ -56,7 +56,7 @@ def _tags_sql(source: str, key: str, text: str) -> str:
     """Tags of ``text`` in ``source`` by keyword, as one union of the taxonomy's tags."""
     parts = [
         f"SELECT {key}, '{tag}' tag, '{dim}' dimension, {_alias_case('t', keys)} kw FROM n" for tag, dim,
-        keys in V.taxonomy()
+        keys in V.TAXONOMY
     ]
     return f"""WITH n AS (SELECT {key}, {sql_for_tags(text)} t FROM {source}), x AS ({' UNION ALL '.join(parts)})
     SELECT {key}, tag, dimension, {sql_term('kw')} matched_term FROM x WHERE kw IS NOT NULL"""
@@ -150,7 +150,7 @@ def _searches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_KEYS = "|".join(k for _, _, ks in V.taxonomy() for k in ks)
+_KEYS = "|".join(k for _, _, ks in V.TAXONOMY for k in ks)
 _EXTERNAL = f"""{_SEARCHES},
     ok AS (SELECT *, {sql_strict('raw_term')} canonical_term FROM t WHERE length(raw_term) BETWEEN 3 AND 60 AND NOT regexp_matches(raw_term, '(?i){'|'.join(V.RESIDUE)}')
       AND length(regexp_replace(raw_term, '[^a-zA-Z]', '', 'g')) >= 0.6 * length(raw_term) AND NOT regexp_matches(raw_term, '(?i)\\b({V.BLOCKED_TOPICS})\\b')

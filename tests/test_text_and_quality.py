@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import text as X
-from larder.functions.vocabulary import taxonomy
+from larder.functions.vocabulary import TAXONOMY
 from larder.operators import quality as Q
 from larder.operators.sentiment import lexicon_score, model_score
 from larder.operators.tagging import tag_rows, weakly_tagged
@@ -66,7 +66,7 @@ def test_small_text_functions(spark):
 
 
 def test_taxonomy_and_tags(spark, rows):
-    assert len(taxonomy()) == 29
+    assert len(TAXONOMY) == 29
     df = spark.createDataFrame(
         [(1, "Quick chicken thighs with fried rice"), (2, "sheet pan gnocchi"), (3, None), (4, "water")],
         "id int, name string"
