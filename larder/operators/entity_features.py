@@ -1,24 +1,30 @@
 """Per-entity feature table from events, kept as time-bucketed partial aggregates.
 
-The state folder holds one Parquet partition per time bucket with a row per entity and event type, and a manifest
-with a fingerprint of the source rows of each bucket. ``refresh`` recomputes only buckets whose fingerprint changed;
+The state folder holds one Parquet partition per time bucket with a row per entity and event type, and manifests that name
+the live generation of each bucket with a fingerprint of its source rows. ``refresh`` recomputes only changed buckets;
 ``features`` merges whole buckets and adds the raw events of buckets that a time range cuts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NO_DATE = -1
+from larder.session import file_system
+
+#: Bucket of the events without a date; below that of any day.
+NO_DATE = -1_000_000
+MANIFEST = "bucket int, gen int, rows bigint, mark decimal(38,0), seen timestamp"
 PARTIAL = "entity bigint, type string, n bigint, n_rated bigint, total double, n_scored bigint, score double, first_day date, last_day date, bucket int"
 
 
 @dataclass(frozen=True)
 class EventColumns:
-    """Names of the columns of the event table; ``day`` is a date column (null where the date is unknown)."""
+    """Names of the columns of the event table; ``day`` is a date column (null where the date is unknown), ``loaded`` the time
+    at which a row came, if the table has one."""
 
     event_id: str = "interaction_id"
     entity: str = "user_id"
@@ -26,6 +32,7 @@ class EventColumns:
     day: str = "full_date"
     rating: str = "rating"
     score: str = "sentiment_score"
+    loaded: str | None = None
 
 
 def _events(df: DataFrame, c: EventColumns, bucket_days: int) -> DataFrame:
@@ -38,6 +45,7 @@ def _events(df: DataFrame, c: EventColumns, bucket_days: int) -> DataFrame:
         col(c.day).alias("day"),
         col(c.rating).cast("double").alias("rating"),
         score.alias("score"),
+        (col(c.loaded) if c.loaded else F.lit(None)).cast("timestamp").alias("loaded"),
     ).withColumn("bucket", F.coalesce(F.floor(F.unix_date("day") / bucket_days).cast("int"), F.lit(NO_DATE)))
 
 
@@ -60,74 +68,94 @@ def _partial(ev: DataFrame) -> DataFrame:
     )
 
 
-def _prints(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.xxhash64("event_id", "entity", "type", "day", "rating", "score").cast("decimal(20,0)")).alias("mark"),
-    )
-
-
 class EntityFeatures:
     """Incremental feature state in ``folder`` (a shared file system).
 
     Copies of an event must agree in their date, so that they meet in one bucket; of copies that differ otherwise the
     smallest row counts. Events without id or entity are left out, those without a date are kept in a bucket of
     their own, NaN scores count as null, a null type counts in the totals but not in ``by_type``.
+
+    Each refresh writes the buckets it recomputes under a generation of its own and then a manifest that names the live
+    generation of every bucket. So a refresh holds as a whole or not at all, and a bucket that has lost its rows is empty.
     """
 
     def __init__(self, spark: SparkSession, folder: str, columns: EventColumns | None = None, bucket_days: int = 30):
         self.spark, self.folder, self.columns, self.days = spark, folder.rstrip("/"), columns or EventColumns(), bucket_days
 
-    def _read(self, name: str) -> DataFrame | None:
-        path = f"{self.folder}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return None
-        r = self.spark.read
-        return r.schema(PARTIAL).parquet(path) if name == "buckets" else r.parquet(path)
-
     def _generation(self) -> int:
-        n = 0
-        while self._read(f"manifest-{n}") is not None:
-            n += 1
-        return n
-
-    def refresh(self, events: DataFrame) -> list[int]:
+        """The number of the next generation: one more than the last manifest's."""
+        fs, path = file_system(self.spark, f"{self.folder}/manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        done = [int(n.split("=")[1]) for n in names if fs.exists(file_system(self.spark, f"{self.folder}/manifests/{n}/_SUCCESS")[1])]
+        return max(done, default=-1) + 1
+
+    def _manifest(self, gen: int) -> list:
+        """(bucket, gen, rows, mark, seen) of every live bucket: as many rows as the time span has buckets."""
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifests/gen={gen}").collect() if gen >= 0 else []
+
+    def _changes(self, ev: DataFrame, was: dict, verify: bool) -> tuple[dict, set[int]]:
+        """The manifest entries as they should be and the buckets to recompute."""
+        mark = F.sum(F.xxhash64("event_id", "entity", "type", "day", "rating", "score").cast("decimal(20,0)"))
+        by_time = self.columns.loaded is not None and was and not verify
+        if not by_time:
+            got = ev.groupBy("bucket").agg(F.count(F.lit(1)), mark, F.max("loaded")).collect()
+            now = {b: (n, m, t) for b, n, m, t in got}
+            return now, {b for b in now if b not in was or tuple(was[b][1:3]) != now[b][:2]}
+        seen = max((w[3] for w in was.values() if w[3] is not None), default=None)
+        late = F.lit(True) if seen is None else F.col("loaded") > F.lit(seen)
+        fresh = ev.filter(late | F.col("loaded").isNull())
+        got = fresh.groupBy("bucket").agg(F.count(F.lit(1)), mark, F.max("loaded")).collect()
+        now = {b: tuple(w[1:]) for b, w in was.items()}
+        for b, n, m, t in got:
+            old = now.get(b, (0, 0, None))
+            now[b] = (old[0] + n, old[1] + m, max((x for x in (old[2], t) if x is not None), default=None))
+        return now, {r[0] for r in got}
+
+    def refresh(self, events: DataFrame, verify: bool = False) -> list[int]:
         """Brings the state up to date with ``events`` (all rows of the source) and returns the changed buckets.
 
-        The buckets are time slices, so their list is as short as the time span divided by the bucket length.
+        Where the columns name a load time, only rows loaded after the last refresh (or without a load time) are looked
+        at to tell which buckets changed, a filter that reaches the scan; rows edited or deleted in place are found with
+        ``verify``, or without a load time always, by a fingerprint of every bucket. Then only changed buckets are read.
+        Buckets are time slices, so their list is as short as the time span divided by the bucket length.
         """
         ev = _events(events, self.columns, self.days)
         gen = self._generation()
-        now = {r["bucket"]: (r["rows"], r["mark"]) for r in _prints(ev).collect()}
-        was = {}
-        if gen:
-            was = {r["bucket"]: (r["rows"], r["mark"]) for r in self._read(f"manifest-{gen - 1}").collect()}
-        changed = sorted(b for b in now if was.get(b) != now[b])
+        was = {r["bucket"]: (r["gen"], r["rows"], r["mark"], r["seen"]) for r in self._manifest(gen - 1)}
+        now, changed = self._changes(ev, was, verify)
         if changed:
-            part = ev if len(changed) == len(now) else ev.filter(F.col("bucket").isin(changed))
-            (
-                _partial(part)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("bucket")
-                .parquet(f"{self.folder}/buckets")
-            )
-        rows = [(b, n, m) for b, (n, m) in sorted(now.items())]
-        self.spark.createDataFrame(rows, "bucket int, rows bigint, mark decimal(38,0)").coalesce(1).write.parquet(
-            f"{self.folder}/manifest-{gen}"
+            part = ev if len(changed) == len(now) else ev.filter(F.col("bucket").isin(*changed))
+            _partial(part).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/buckets/gen={gen}")
+        rows = [(b, gen if b in changed else was[b][0], *x) for b, x in sorted(now.items())]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.folder}/manifests/gen={gen}"
         )
-        return changed
+        return sorted(changed)
 
     def partials(self) -> DataFrame:
-        """The partial aggregates of all buckets that the source still has."""
-        gen = self._generation()
-        df = self._read("buckets")
-        if not gen or df is None:
-            return self.spark.createDataFrame([], PARTIAL)
-        live = [r["bucket"] for r in self._read(f"manifest-{gen - 1}").select("bucket").collect()]
-        return df.filter(F.col("bucket").isin(live))
+        """The partial aggregates of all live buckets."""
+        live: dict[int, list[int]] = {}
+        for r in self._manifest(self._generation() - 1):
+            live.setdefault(r["gen"], []).append(r["bucket"])
+        out = self.spark.createDataFrame([], PARTIAL)
+        fs, _ = file_system(self.spark, self.folder)
+        paths = [f"{self.folder}/buckets/gen={g}" for g in sorted(live)]
+        paths = [p for p in paths if fs.exists(file_system(self.spark, p)[1])]
+        if not paths:
+            return out
+        stored = self.spark.read.schema(f"{PARTIAL}, gen int").option("basePath", f"{self.folder}/buckets").parquet(*paths)
+        wanted = reduce(Column.__or__, [(F.col("gen") == g) & F.col("bucket").isin(*bs) for g, bs in live.items()])
+        return stored.filter(wanted).drop("gen")
+
+    def vacuum(self) -> None:
+        """Removes manifests but the last, and generations it does not name. No reader may hold an older state."""
+        last = self._generation() - 1
+        keep = {f"gen={r['gen']}" for r in self._manifest(last)}
+        for name, kept in (("buckets", keep), ("manifests", {f"gen={last}"})):
+            fs, path = file_system(self.spark, f"{self.folder}/{name}")
+            for f in fs.listStatus(path) if fs.exists(path) else []:
+                if f.getPath().getName() not in kept:
+                    fs.delete(f.getPath(), True)
 
     def features(
         self, since: str | None = None, until: str | None = None, events: DataFrame | None = None

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.session import broadcast_if_small, materialize
+from larder.session import materialize
 
 
 def located(df: DataFrame) -> DataFrame:
@@ -20,6 +20,14 @@ def located(df: DataFrame) -> DataFrame:
     return df.withColumn("_part", F.shiftright(at, 33).cast("int")).withColumn("_at", at)
 
 
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """``located`` in the order of the columns ``order`` (nulls first) instead of the input's: the rows are
+    range-partitioned and written, so that a lost task finds the same places again. Rows equal in ``order`` should be
+    equal in all that counts."""
+    cols = [F.col(f"`{c}`").asc_nulls_first() for c in order]
+    return materialize(located(df.repartitionByRange(*cols).sortWithinPartitions(*cols)), "order")
+
+
 def number_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``_number``: 1, 2, ... within each key in input order, without bringing a key's rows to one task."""
     by = [*keys, "_part"]
@@ -37,59 +45,74 @@ def _states(df: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
+def _long(df: DataFrame, key_fields: list[str], others: list[str]) -> DataFrame:
+    """(field_name, key_id, _part, _at, others...): a row per key that is not null."""
+    keys = F.array(*[F.struct(F.lit(k).alias("f"), F.col(f"`{k}`").cast("bigint").alias("k")) for k in key_fields])
+    long = df.select(F.explode(keys).alias("_k"), "_part", "_at", *others)
+    return long.select(
+        F.col("_k.f").alias("field_name"), F.col("_k.k").alias("key_id"), "_part", "_at", *others
+    ).filter(F.col("key_id").isNotNull())
+
+
+def _heavy(long: DataFrame, share: float, chunk_rows: int) -> DataFrame:
+    """(field_name, key_id, _size) of the keys with at least ``share`` of a field's rows, at most 1 / share a field, with
+    the rows of a chunk: that share of the rows, but no more than ``chunk_rows``. Counts combine before the shuffle."""
+    counts = materialize(long.groupBy("field_name", "key_id").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    least = counts.groupBy("field_name").agg((F.sum("_n") * share).alias("_least"))
+    size = F.greatest(F.least(F.ceil("_least"), F.lit(chunk_rows)), F.lit(1)).cast("bigint")
+    rows = counts.join(F.broadcast(least), "field_name").filter(F.col("_n") >= F.col("_least"))  # a row per field
+    return materialize(rows.select("field_name", "key_id", size.alias("_size")), "heavy")
+
+
 def per_key_stats(
-    df: DataFrame, key_fields: list[str], measures: list[str], chunk_rows: int = 50_000, broadcast_rows: int = 100_000
+    df: DataFrame, key_fields: list[str], measures: list[str], share: float = 0.01, chunk_rows: int = 50_000
 ) -> DataFrame:
     """Rows (field_name, key_id, n_rows, n_chunks, mean_<measure>...) for each value of each key field.
 
-    Keys of up to ``chunk_rows`` rows are aggregated in the ordinary way; the rows of heavier ones (at most
-    rows / chunk_rows keys) are numbered and aggregated chunk by chunk. Null keys give no row; null and NaN measures
-    do not count; a mean without values is null; repeated rows count as often as they occur; an empty table gives an
-    empty result. Other columns are ignored.
+    Keys are counted first. The rows of heavy keys, those with at least ``share`` of a field's rows, are numbered exactly and
+    aggregated in chunks of equal size (that share of the rows, at most ``chunk_rows``), whose states are merged; all
+    other rows take one two-phase aggregate. So every row is aggregated once, at any size of the table. Null keys give
+    no row; null and NaN measures do not count; a mean without values is null; repeated rows count as often as they
+    occur; an empty table gives an empty result. Other columns are ignored.
     """
-    col = lambda n: F.col(f"`{n}`")
-    clean = [F.nanvl(col(m).cast("double"), F.lit(None)).alias(m) for m in measures]
-    keys = F.array(*[F.struct(F.lit(k).alias("f"), col(k).cast("bigint").alias("k")) for k in key_fields])
-    base = located(df.select(keys.alias("_keys"), *clean))
+    clean = [F.nanvl(F.col(f"`{m}`").cast("double"), F.lit(None)).alias(m) for m in measures]
+    named = [F.col(f"`{k}`") for k in key_fields if k not in measures]
     by = ["field_name", "key_id"]
-    long = (
-        base.select(F.explode("_keys").alias("_k"), "_part", "_at", *measures)
-        .select(F.col("_k.f").alias("field_name"), F.col("_k.k").alias("key_id"), "_part", "_at", *measures)
-        .filter(F.col("key_id").isNotNull())
-    )
-    totals = materialize(_states(long, by, measures), "keys")
-    heavy = totals.filter(F.col("n_rows") > chunk_rows).select(*by)
-    rows = long.join(broadcast_if_small(heavy, limit=broadcast_rows), by)
-    chunk = F.floor((F.col("_number") - 1) / chunk_rows)
-    chunks = _states(number_rows(rows, by).withColumn("chunk_no", chunk), [*by, "chunk_no"], measures)
+    long = _long(located(df.select(*named, *clean)), key_fields, measures)
+    heavy = _heavy(long, share, chunk_rows)
+    few = F.broadcast(heavy)  # at most 1 / share rows a field
+    light = _states(long.join(few, by, "left_anti"), by, measures).withColumn("n_chunks", F.lit(1).cast("bigint"))
+    numbered = number_rows(long.join(few, by), by)
+    chunk = F.floor((F.col("_number") - 1) / F.col("_size"))
+    chunks = _states(numbered.withColumn("chunk_no", chunk), [*by, "chunk_no"], measures)
     merged = chunks.groupBy(*by).agg(
         F.sum("n_rows").alias("n_rows"),
         F.count(F.lit(1)).alias("n_chunks"),
         *[F.sum(f"{p}_{m}").alias(f"{p}_{m}") for m in measures for p in ("n", "sum")],
     )
-    light = totals.filter(F.col("n_rows") <= chunk_rows).withColumn("n_chunks", F.lit(1).cast("bigint"))
     out = light.unionByName(merged)
     means = [F.when(F.col(f"n_{m}") > 0, F.col(f"sum_{m}") / F.col(f"n_{m}")).alias(f"mean_{m}") for m in measures]
     return out.select(*by, "n_rows", "n_chunks", *means)
 
 
-def value_changes(df: DataFrame, key_fields: list[str], measure: str, chunk_rows: int = 50_000) -> DataFrame:
+def value_changes(
+    df: DataFrame, key_fields: list[str], measure: str, order: list[str] | None = None, share: float = 0.01,
+    chunk_rows: int = 50_000
+) -> DataFrame:
     """Rows (field_name, key_id, n_rows, n_changes, first_value, last_value): how often ``measure`` differs from the row
-    before of the same key, in input order.
+    before of the same key, in the order of the columns ``order``, without it in input order.
 
     A result that hangs on order: each chunk counts its own changes and hands on its first and last value, and the
-    chunks of a key are merged in order, a change between two chunks counting once. Null is a value; null keys give no row.
+    chunks of a key are merged in order, a change between two chunks counting once. Keys below ``share`` of a field's
+    rows are one chunk. Null is a value; null keys give no row.
     """
-    col = lambda n: F.col(f"`{n}`")
-    keys = F.array(*[F.struct(F.lit(k).alias("f"), col(k).cast("bigint").alias("k")) for k in key_fields])
     by = ["field_name", "key_id"]
-    long = located(
-        df.select(keys.alias("_keys"), col(measure).alias("_m"))
-    ).select(F.explode("_keys").alias("_k"), "_m", "_part", "_at")
-    long = long.select(
-        F.col("_k.f").alias("field_name"), F.col("_k.k").alias("key_id"), "_m", "_part", "_at"
-    ).filter(F.col("key_id").isNotNull())
-    rows = number_rows(long, by).withColumn("_chunk", F.floor((F.col("_number") - 1) / chunk_rows))
+    kept = list(dict.fromkeys([*key_fields, *(order or [])]))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{measure}`").alias("_m"))
+    long = _long(in_order(rows, [*order, "_m"]) if order else located(rows), key_fields, ["_m"])
+    size = long.join(F.broadcast(_heavy(long, share, chunk_rows)), by, "left")  # at most 1 / share rows a field
+    chunk = F.coalesce(F.floor((F.col("_number") - 1) / F.col("_size")), F.lit(0))
+    rows = number_rows(size, by).withColumn("_chunk", chunk)
     inside = Window.partitionBy(*by, "_chunk").orderBy("_number")
     differs = lambda a, b: (~a.eqNullSafe(b)).cast("int")
     step = F.when(F.row_number().over(inside) > 1, differs(F.col("_m"), F.lag("_m").over(inside))).otherwise(0)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from larder.functions.numeric import finite
 from larder.functions.text import list_literal
-from larder.operators.skew import split_join
-from larder.session import broadcast_if_small
+from larder.operators.skew import sized_join, split_join
+from larder.session import materialize
 
 NUTRITION = [
     "calories_pdv", "total_fat_pdv", "sugar_pdv", "sodium_pdv", "protein_pdv", "saturated_fat_pdv", "carbs_pdv"
@@ -70,7 +70,8 @@ def busy_users(df: DataFrame, user: str, day: Column, more_than: int = 50) -> Da
 
 
 def drop_users(df: DataFrame, users: DataFrame, user: str) -> DataFrame:
-    return df.join(broadcast_if_small(users), user, "left_anti")
+    """``df`` without the rows of ``users`` (unique)."""
+    return sized_join(df, materialize(users, "users"), [user], "left_anti")
 
 
 def cap(x: Column, most: float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.session import materialize
+from larder.session import BROADCAST_BYTES, materialize, table_bytes
 
 
 def count_keys(df: DataFrame, keys: list[str], name: str = "_n") -> DataFrame:
@@ -38,3 +38,14 @@ def split_join(
     a = marked.filter(F.col("_heavy").isNull()).drop("_heavy").join(right, on, how)
     b = marked.filter(F.col("_heavy")).drop("_heavy").join(F.broadcast(few), on, how)  # at most 1 / share rows
     return a.unionByName(b)
+
+
+def sized_join(
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES,
+    heavy: DataFrame | None = None, share: float = 0.01
+) -> DataFrame:
+    """``left`` joined with ``right`` (unique by ``on``, read more than once): by broadcast where the measured bytes of
+    ``right`` stay within ``limit``, else by ``split_join``, so that no size of ``right`` brings a hot key to one task."""
+    if table_bytes(right) <= limit:
+        return left.join(F.broadcast(right), on, how)
+    return split_join(left, right, on, how, share, heavy)

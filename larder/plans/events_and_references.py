@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.numeric import steady_round, steady_sql
-from larder.operators.entity_features import EntityFeatures
-from larder.operators.hot_keys import per_key_stats
+from larder.operators.entity_features import NO_DATE, EntityFeatures, EventColumns
+from larder.operators.hot_keys import per_key_stats, value_changes
 from larder.operators.orphans import OrphanTracker, parent_rows, references, track
 from larder.operators.packed_values import split_packed
 from larder.plans.registry import Registry, table
@@ -25,10 +25,20 @@ ev AS (SELECT o.*, d.full_date FROM once o LEFT JOIN dim_date d USING (date_id)
 """
 
 
-def _feature_state(spark: SparkSession, sf: str) -> EntityFeatures:
+#: The history is brought in twice: rows loaded by this moment, then the rest.
+FIRST_LOAD = "2024-01-01 00:00:00"
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
     days = table(spark, sf, "dim_date").select("date_id", "full_date")
-    facts = table(spark, sf, "fact_interactions").join(broadcast_if_small(days), "date_id", "left")
-    state = EntityFeatures(spark, scratch_path(spark, "features"), bucket_days=365)
+    return table(spark, sf, "fact_interactions").join(broadcast_if_small(days), "date_id", "left")
+
+
+def _feature_state(spark: SparkSession, sf: str) -> EntityFeatures:
+    """The state after two refreshes: the second one sees by the load time which buckets got rows, and recomputes those."""
+    facts = _events(spark, sf)
+    state = EntityFeatures(spark, scratch_path(spark, "features"), EventColumns(loaded="loaded_at"), bucket_days=365)
+    state.refresh(facts.filter(F.col("loaded_at") <= F.lit(FIRST_LOAD).cast("timestamp")))
     state.refresh(facts)
     return state
 
@@ -87,6 +97,37 @@ def p3_user_type_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_RANGE = ("2021-03-10", "2023-08-20")
+
+
+@R.add(
+    "p3_range_features",
+    f"""WITH {_ONCE}
+    SELECT user_id, count(*) n_events, count(rating) review_count, sum(rating)::DOUBLE rating_total, min(full_date) first_day, max(full_date) last_day
+    FROM ev WHERE full_date BETWEEN DATE '{_RANGE[0]}' AND DATE '{_RANGE[1]}' GROUP BY user_id""",
+)
+def p3_range_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of a range of days that cuts two buckets: whole buckets from the state, boundary events from the facts."""
+    return _feature_state(spark, sf).features(*_RANGE, _events(spark, sf)).select(
+        F.col("entity").alias("user_id"), "n_events", "review_count", "rating_total", "first_day", "last_day"
+    )
+
+
+@R.add(
+    "p3_changed_buckets",
+    f"""SELECT CAST(floor((full_date - DATE '1970-01-01') / 365) AS INTEGER) bucket, bool_or(loaded_at > TIMESTAMPTZ '{FIRST_LOAD}+00') changed
+    FROM fact_interactions JOIN dim_date USING (date_id) GROUP BY 1""",
+)
+def p3_changed_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Which time buckets the second of two loads changed: those the load brought rows for, the others keep their state."""
+    facts = _events(spark, sf)
+    state = EntityFeatures(spark, scratch_path(spark, "features"), EventColumns(loaded="loaded_at"), bucket_days=365)
+    first = state.refresh(facts.filter(F.col("loaded_at") <= F.lit(FIRST_LOAD).cast("timestamp")))
+    again = state.refresh(facts)
+    rows = [(b, b in again) for b in sorted({*first, *again}) if b != NO_DATE]
+    return spark.createDataFrame(rows, "bucket int, changed boolean")
+
+
 # ---------------------------------------------------------------------------------------------------------------- p4
 
 _VALUE = r"""[\p{L}\p{M}\p{N}\-&%.][\p{L}\p{M}\p{N}\-&%.'' ]*"""
@@ -175,7 +216,39 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("ref_field", "month", "n_refs", "n_orphans", "n_keys")
 
 
-@R.add("p6_snapshots")
+#: Cuts of the replay, the state of each key at each cut, and what changed in between.
+_STATE = f"""{_REFS},
+ends AS (SELECT epoch_us(min(loaded_at)) lo, epoch_us(max(loaded_at)) hi FROM refs WHERE key IS NOT NULL),
+cuts AS (SELECT i AS n, make_timestamptz(lo + (hi - lo) * i // 3) t FROM ends, (SELECT unnest([1, 2, 3]) i)),
+k AS (SELECT DISTINCT ref_field, key FROM refs WHERE key IS NOT NULL AND loaded_at IS NOT NULL),
+alive AS (SELECT DISTINCT n, ref_field, key FROM parents, cuts WHERE born <= t AND (gone IS NULL OR gone > t)),
+was AS (SELECT n, ref_field, key, count(*) n_refs FROM refs, cuts WHERE key IS NOT NULL AND loaded_at <= t GROUP BY ALL),
+came AS (SELECT n, ref_field, key, count(*) n_found FROM orphans, cuts WHERE loaded_at <= t AND NOT EXISTS (
+           SELECT 1 FROM cuts c WHERE c.n = cuts.n - 1 AND loaded_at <= c.t) GROUP BY ALL),
+s AS (SELECT cuts.n, t, k.ref_field, k.key, coalesce(n_refs, 0) n_refs, coalesce(n_found, 0) n_found, a.n IS NOT NULL lives
+      FROM k CROSS JOIN cuts LEFT JOIN was w ON w.n = cuts.n AND w.ref_field = k.ref_field AND w.key = k.key
+      LEFT JOIN came c ON c.n = cuts.n AND c.ref_field = k.ref_field AND c.key = k.key
+      LEFT JOIN alive a ON a.n = cuts.n AND a.ref_field = k.ref_field AND a.key = k.key),
+w AS (SELECT *, CASE WHEN lives THEN 0 ELSE n_refs END n_waiting FROM s),
+d AS (SELECT *, n_found + coalesce(lag(n_waiting) OVER (PARTITION BY ref_field, key ORDER BY n), 0) n_open FROM w)
+"""
+
+
+@R.add(
+    "p6_pending",
+    f"WITH {_STATE} SELECT ref_field, key AS key_id, n_refs, n_waiting FROM w WHERE n = 3 AND n_waiting > 0",
+)
+def p6_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys that references still wait for at the end of the replayed history, with the number of references."""
+    return _tracked(spark, sf).pending().withColumnRenamed("key", "key_id")
+
+
+@R.add(
+    "p6_snapshots",
+    f"""WITH {_STATE} SELECT ref_field, t AS until, sum(n_found)::BIGINT n_new, sum(CASE WHEN lives THEN n_open ELSE 0 END)::BIGINT n_resolved,
+    sum(CASE WHEN lives THEN 0 ELSE n_refs - n_open END)::BIGINT n_reopened, sum(n_waiting)::BIGINT n_waiting FROM d
+    WHERE EXISTS (SELECT 1 FROM w x WHERE x.ref_field = d.ref_field AND x.n <= d.n AND x.n_refs > 0) GROUP BY ref_field, t""",
+)
 def p6_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """New, resolved, reopened and waiting references after each batch of the replayed history."""
     return _tracked(spark, sf).snapshot()
@@ -191,7 +264,7 @@ k AS (SELECT 'user_id' field_name, user_id key_id, rating, sentiment_score FROM
 
 def _key_stats(spark: SparkSession, sf: str) -> DataFrame:
     facts = table(spark, sf, "fact_interactions")
-    return per_key_stats(facts, ["user_id", "recipe_id"], ["rating", "sentiment_score"], chunk_rows=20_000)
+    return per_key_stats(facts, ["user_id", "recipe_id"], ["rating", "sentiment_score"])
 
 
 @R.add(
@@ -200,7 +273,7 @@ def _key_stats(spark: SparkSession, sf: str) -> DataFrame:
     HAVING count(*) * 50 >= (SELECT count(*) FROM fact_interactions)""",
 )
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys that hold at least 2 % of all delivered rows."""
+    """Keys that hold at least 2 % of all delivered rows; all of them are heavy, so their rows went through the chunks."""
     total = table(spark, sf, "fact_interactions").count()
     return _key_stats(spark, sf).filter(F.col("n_rows") * 50 >= total).select("field_name", "key_id")
 
@@ -220,7 +293,24 @@ def p7_key_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@R.add(
+    "p7_rating_changes",
+    """WITH k AS (SELECT 'user_id' field_name, user_id key_id, rating, loaded_at, interaction_id FROM fact_interactions
+      UNION ALL SELECT 'recipe_id', recipe_id, rating, loaded_at, interaction_id FROM fact_interactions),
+    w AS (SELECT *, row_number() OVER o rn, lag(rating) OVER o before FROM k WHERE key_id IS NOT NULL
+          WINDOW o AS (PARTITION BY field_name, key_id ORDER BY loaded_at NULLS FIRST, interaction_id NULLS FIRST, rating NULLS FIRST))
+    SELECT field_name, key_id, count(*) n_rows, count(*) FILTER (rn > 1 AND rating IS DISTINCT FROM before) n_changes FROM w GROUP BY ALL""",
+)
+def p7_rating_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the rating of a key differs from the one before in order of loading: a result that hangs on the order of a
+    key's rows, merged from the boundary states of its chunks."""
+    facts = table(spark, sf, "fact_interactions")
+    out = value_changes(facts, ["user_id", "recipe_id"], "rating", ["loaded_at", "interaction_id"])
+    return out.select("field_name", "key_id", "n_rows", "n_changes")
+
+
 R.plain("p3_user_features", dates=("first_day", "last_day"))
 R.plain("p3_user_type_features", dates=("last_day",))
+R.plain("p3_range_features", dates=("first_day", "last_day"))
 R.plain("p6_report", dates=("month",))
 R.plain("p6_snapshots", micros=("until",))

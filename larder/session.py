@@ -9,8 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table counted beforehand may be broadcast by ``broadcast_if_small``.
+#: Bytes up to which a table measured beforehand may be broadcast (``broadcast_if_small``, ``skew.sized_join``).
+BROADCAST_BYTES = 32_000_000
 BROADCAST_ROWS = 200_000
 
 _own_folders: dict[str, str] = {}
@@ -41,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local-cluster[")) and spark.sparkContext.master != "local":
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
@@ -56,6 +58,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path in its terms."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     local = path.removeprefix("file://")
     if os.path.isdir(local):
@@ -64,9 +72,8 @@ def _remove(spark: SparkSession, path: str) -> None:
         shutil.rmtree(local, ignore_errors=True)
         return
     try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = file_system(spark, path)
+        fs.delete(p, True)
     except Exception:  # the JVM may be gone already
         pass
 
@@ -92,7 +99,22 @@ def release(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks ``df`` for broadcast only where its counted rows stay within ``limit``; else Spark shuffles it."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df`` as they lie in memory, by one aggregate: fixed widths, lengths of strings, and twice the
+    JSON length of nested values."""
+    width = F.lit(16)
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width = width + 2 * F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            width = width + 16
+    return df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks ``df`` for broadcast only where its measured bytes stay within ``limit``; else Spark shuffles it. Where the
+    other side may hold hot keys use ``skew.sized_join``, which splits them off beyond the limit."""
+    return F.broadcast(df) if table_bytes(df) <= limit else df

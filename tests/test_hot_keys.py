@@ -1,10 +1,11 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from larder.operators.hot_keys import located, number_rows, per_key_stats, value_changes
 from larder.operators.numbering import number_in_groups
-from larder.operators.skew import heavy_keys, split_join
+from larder.operators.skew import heavy_keys, sized_join, split_join
 
 SCHEMA = "u bigint, r bigint, x int, s double, field_name string, n_rows int"
 
@@ -39,7 +40,8 @@ def test_chunked_results_equal_brute_force(spark, rows):
     mean = lambda v: sum(v) / len(v) if v else None
     for k, (n, x, s) in want.items():
         assert (got[k]["n_rows"], got[k]["mean_x"], got[k]["mean_s"]) == (n, mean(x), mean(s))
-    assert got[("u", 7)]["n_chunks"] == -(-want[("u", 7)][0] // 100)
+    size = min(100, math.ceil(0.01 * sum(w[0] for (f, _), w in want.items() if f == "u")))
+    assert got[("u", 7)]["n_chunks"] == -(-want[("u", 7)][0] // size) > 20
 
 
 def test_numbers_are_exact(spark):
@@ -96,7 +98,25 @@ def test_ordered_merge_of_chunks(spark):
     for chunk in (7, 100, 10_000):
         got = {
             (r[0], r[1]): tuple(r[2:]) for r in value_changes(
-                spark.read.parquet(path), ["u", "r"], "x", chunk
+                spark.read.parquet(path), ["u", "r"], "x", chunk_rows=chunk
             ).collect()
         }
         assert got == want
+    mixed = spark.read.parquet(path).repartition(5, "r")
+    got = {(r[0], r[1]): tuple(r[2:]) for r in value_changes(mixed, ["u", "r"], "x", ["i"]).collect()}
+    assert got == want
+
+
+def test_every_hot_key_is_chunked_at_any_size(spark):
+    for n in (200, 2000):
+        rows = [(7 if i % 3 == 0 else i, i, 1, 0.5, "a", 1) for i in range(n)]
+        got = {r["key_id"]: r["n_chunks"] for r in per_key_stats(spark.createDataFrame(rows, SCHEMA), ["u"], ["x"]).collect()}
+        assert got[7] == math.ceil(sum(1 for r in rows if r[0] == 7) / math.ceil(0.01 * n))
+
+
+def test_sized_join_is_the_same_with_and_without_broadcast(spark, rows):
+    df = spark.createDataFrame([(1, i) for i in range(300)] + [(i, i) for i in range(2, 90)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (5, "b")], "k int, w string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a, b = (rows(sized_join(df, right, ["k"], how, limit)) for limit in (0, 10**12))
+        assert a == b

@@ -1,4 +1,6 @@
-from larder.operators.packed_values import split_packed, split_rule
+import random
+
+from larder.operators.packed_values import fold_rule, split_packed, split_rule
 
 SCHEMA = "recipe_id bigint, tags string, field_name string, _id int, item_value string"
 
@@ -39,7 +41,7 @@ def test_cases(spark):
 
 
 def test_shuffled_rules_give_the_same(spark):
-    assert values(spark, list(CASES), broadcast_rows=0) == list(CASES.values())
+    assert values(spark, list(CASES), limit=0) == list(CASES.values())
 
 
 def test_nulls_empty_table_and_long_text(spark):
@@ -58,3 +60,48 @@ def test_rule_of_a_skeleton():
     assert split_rule("a|a") == [(1, 1, ""), (3, 1, "")]
     assert split_rule('["a"]') == [(3, 1, '"')]
     assert split_rule("s'a'") == [(3, 1, "'")]
+
+
+def test_a_fold_does_not_tell_how_often_it_repeats():
+    assert fold_rule("{a,}a").vals == [(1, 0, 1, 0, 1, 2, ""), (3, 1, 1, 0, 0, 0, "")]
+    assert fold_rule('"{a,}a"').vals == [(2, 0, 3, 1, 0, 0, '"')]
+    assert fold_rule('"{"a",}') is None
+
+
+def brute(t):
+    """The statement of the problem, character by character."""
+    plain = lambda c: c.isalpha() or c.isdigit() or c in " -'&%."
+    out, i = [], 0
+    while i < len(t):
+        if t[i] in "'\"":
+            q, j, v = t[i], i + 1, ""
+            while j < len(t):
+                if t[j] == "\\" and j + 1 < len(t) and t[j + 1] in "'\"":
+                    v, j = v + t[j + 1], j + 2
+                elif t[j] == q and j + 1 < len(t) and t[j + 1] == q:
+                    v, j = v + q, j + 2
+                elif t[j] == q:
+                    break
+                else:
+                    v, j = v + t[j], j + 1
+            i = j + 1
+        elif plain(t[i]) and t[i] != " ":
+            j = i
+            while j < len(t) and plain(t[j]):
+                j += 1
+            v, i = t[i:j], j
+        else:
+            i += 1
+            continue
+        if v.strip(" \t\r\n"):
+            out.append(v.strip(" \t\r\n"))
+    return out
+
+
+def test_random_strings_equal_brute_force(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab ,;|'\"\\") for _ in range(r.randint(1, 14))) for _ in range(3000)]
+    texts += [r.choice(",;|").join(r.choice(["a", "b c", '"x, y"', "'q'", "it's", '"a""b"', "'a,b,c,d'"]) for _ in range(r.randint(1, 9))) for _ in range(1500)]
+    got = values(spark, texts)
+    bad = [(t, g, brute(t)) for t, g in zip(texts, got, strict=True) if g != brute(t)]
+    assert not bad, bad[:5]
