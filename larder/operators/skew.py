@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,10 @@ def split_join(
 
 def sized_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES,
-    heavy: DataFrame | None = None, share: float = 0.01
+    heavy: Callable[[], DataFrame] | None = None, share: float = 0.01
 ) -> DataFrame:
     """``left`` joined with ``right`` (unique by ``on``, read more than once): by broadcast where the measured bytes of
     ``right`` stay within ``limit``, else by ``split_join``, so that no size of ``right`` brings a hot key to one task."""
     if table_bytes(right) <= limit:
         return left.join(F.broadcast(right), on, how)
-    return split_join(left, right, on, how, share, heavy)
+    return split_join(left, right, on, how, share, heavy and heavy())
