@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.session import materialize
@@ -29,8 +29,9 @@ SAMPLE_DOCS, SAMPLE_CHARS = 300, (100, 20_000)
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?…\n:;()\[\]]+|,")
-#: Longest clause that is labelled as a whole; longer ones are taken in pieces of this many words.
-CLAUSE_WORDS = 16
+#: Longest clause that is labelled as a whole; longer ones, of text without punctuation, are taken in pieces of PIECE_WORDS
+#: words, short enough for a run of another language inside a sentence to fill some.
+CLAUSE_WORDS, PIECE_WORDS = 16, 4
 #: Words whose scores a task keeps.
 KNOWN_WORDS = 200_000
 #: Cost, in words, of a change of language at the end of a sentence and elsewhere.
@@ -46,8 +47,8 @@ def clauses(text: str) -> list[tuple[list[str], float, int, int]]:
         words = _LETTERS.findall(text[at:end].lower())
         if len(words) > CLAUSE_WORDS:
             found = [(w.start(), w.end(), w.group().lower()) for w in _LETTERS.finditer(text, at, end)]
-            for k in range(0, len(found), CLAUSE_WORDS):
-                part = found[k : k + CLAUSE_WORDS]
+            for k in range(0, len(found), PIECE_WORDS):
+                part = found[k : k + PIECE_WORDS]
                 out.append(([w for _, _, w in part], cost if k == 0 else COST_IN, part[0][0], part[-1][1]))
         elif words:
             out.append((words, cost, at, end))
@@ -69,15 +70,20 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class BitSlicedFilter:
-    """Bloom filters of several languages in one array: bit l of a slot belongs to language l."""
+    """Bloom filters of several languages in one array: bit l of a slot belongs to language l. Slots are as wide as the
+    languages need, at most 64 of them."""
 
     log_slots: int = 19
     hashes: int = 4
+    languages: int = 8
     slots: np.ndarray = field(default=None)  # type: ignore[assignment]
 
     def __post_init__(self) -> None:
         if self.slots is None:
-            self.slots = np.zeros(1 << self.log_slots, dtype=np.uint8)
+            width = next((w for w in (8, 16, 32, 64) if self.languages <= w), None)
+            if width is None:
+                raise ValueError(f"{self.languages} languages, at most 64")
+            self.slots = np.zeros(1 << self.log_slots, dtype=f"uint{width}")
 
     def _places(self, gram: str) -> list[int]:
         h = xxhash.xxh3_64_intdigest(gram)
@@ -86,18 +92,19 @@ class BitSlicedFilter:
 
     def add(self, gram: str, mask: int) -> None:
         for p in self._places(gram):
-            self.slots[p] |= mask
+            self.slots[p] |= self.slots.dtype.type(mask)
 
     def mask(self, gram: str) -> int:
         """All languages that contain the n-gram, as a bitmask; false positives are possible, misses are not."""
-        out = 0xFF
+        out = (1 << 8 * self.slots.dtype.itemsize) - 1
         for p in self._places(gram):
             out &= int(self.slots[p])
         return out
 
     def false_rates(self, n: int) -> np.ndarray:
         """Per language, how often an n-gram that was not added seems to be in."""
-        return np.array([float(np.mean((self.slots >> k) & 1)) ** self.hashes for k in range(n)])
+        one = self.slots.dtype.type
+        return np.array([float(np.mean((self.slots >> one(k)) & one(1))) ** self.hashes for k in range(n)])
 
 
 class Detector:
@@ -184,7 +191,7 @@ class Detector:
 
 def _build(counts: dict[str, Counter], keep: float, log_slots: int) -> BitSlicedFilter:
     """A language contains an n-gram if its relative frequency there is at least ``keep`` of the highest one."""
-    f = BitSlicedFilter(log_slots)
+    f = BitSlicedFilter(log_slots, languages=len(counts))
     totals = {k: max(1, sum(c.values())) for k, c in counts.items()}
     for g in set().union(*counts.values()):
         rate = [counts[k][g] / totals[k] if counts[k][g] > 1 else 0.0 for k in counts]
@@ -226,21 +233,34 @@ def train(
     return detector
 
 
+def save(spark: SparkSession, detector: Detector, path: str) -> None:
+    """Stores the filters as a table of one row, so that a fit is used again."""
+    f = detector.filters
+    row = (list(detector.languages), f.log_slots, f.hashes, bytearray(f.slots.tobytes()), str(f.slots.dtype))
+    schema = "languages array<string>, log_slots int, hashes int, slots binary, kind string"
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Detector:
+    r = spark.read.parquet(path).first()
+    slots = np.frombuffer(r["slots"], dtype=r["kind"])
+    return Detector(BitSlicedFilter(r["log_slots"], r["hashes"], len(r["languages"]), slots), tuple(r["languages"]))
+
+
 def labelled_sample(
     docs: DataFrame, doc_id: str, text: str, lang: str, per_label: int = SAMPLE_DOCS
 ) -> list[tuple[str, str]]:
-    """Up to ``per_label`` documents of each plain two-letter label, picked by the hash of their id."""
+    """Up to ``per_label`` documents of each plain two-letter label, picked by the hash of their id. Only ids are ranked; the
+    texts are fetched for the picked ones. A repeated id counts once, with its smallest text."""
     label = F.lower(F.trim(F.col(f"`{lang}`")))
-    length = F.length(F.col(f"`{text}`"))
-    rows = docs.select(
-        label.alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{doc_id}`")).alias("h")
-    )
-    rows = rows.filter(F.col("lang").isin(*LANGUAGES) & length.between(*SAMPLE_CHARS))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    top = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_label)
-    return [(r["lang"], r["text"]) for r in top.orderBy("lang", "rn").select("lang", "text").collect()]
+    rows = docs.select(label.alias("lang"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = rows.filter(F.col("lang").isin(*LANGUAGES) & F.length("text").between(*SAMPLE_CHARS) & F.col("id").isNotNull())
+    ids = rows.select("lang", "id").distinct().withColumn("h", F.xxhash64("id"))
+    w = Window.partitionBy("lang").orderBy("h", "id")
+    picked = ids.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_label)
+    few = F.broadcast(materialize(picked.select("lang", "id", "rn"), "picked"))  # at most per_label rows a language
+    got = rows.join(few, ["lang", "id"]).groupBy("lang", "rn").agg(F.min("text").alias("text"))
+    return [(r["lang"], r["text"]) for r in sorted(got.collect(), key=lambda r: (r["lang"], r["rn"]))]
 
 
 SEGMENTS = "doc_id bigint, segment_no int, start int, end int, lang string, n_words int, confidence double"
@@ -253,12 +273,12 @@ def label_segments(docs: DataFrame, detector: Detector, doc_id: str, text: str)
     a null id are left out; repeated rows are labelled each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
-        (detector.filters.slots, detector.filters.log_slots, detector.languages)
+        (detector.filters.slots, detector.filters.log_slots, detector.filters.hashes, detector.languages)
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots, log_slots, languages = shared.value
-        d = Detector(BitSlicedFilter(log_slots, slots=slots), languages)
+        slots, log_slots, hashes, languages = shared.value
+        d = Detector(BitSlicedFilter(log_slots, hashes, len(languages), slots), languages)
         for b in batches:
             out = [
                 (i, k + 1, *s) for i, t in zip(b["doc_id"], b["text"], strict=True) for k, s in enumerate(d.segments(t))

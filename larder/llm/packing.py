@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.operators.numbering import number_in_groups
 from larder.session import materialize
@@ -20,6 +23,12 @@ from larder.session import materialize
 GPT2_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+SPAN = T.StructType(
+    [T.StructField("lo", T.LongType()), T.StructField("base", T.LongType()), T.StructField("per", T.IntegerType()),
+     T.StructField("place", T.IntegerType()), T.StructField("fixed", T.BooleanType())]
+)
+
+
 def count_tokens(text: Column) -> Column:
     """Matches of the GPT-2 pre-tokenisation pattern; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit("(?U)" + GPT2_PATTERN)), F.lit(0))
@@ -164,6 +173,27 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return [(s, n, True) for s, n in fixed] + [(s, n, False) for s, n in best_fit(free, capacity)]
 
 
+def _looker(starts: list[tuple]):
+    """A function of (size, nth) that finds the span of an item by binary search; ``starts`` has a span per size and kind of
+    container, so its length hangs on the capacity, not on the number of items."""
+    table = np.array([r[:2] for r in starts], dtype=np.int64).reshape(-1, 2)
+    spans = pd.DataFrame(starts, columns=["size", "lo", "base", "per", "place", "fixed"])
+    first = {int(s): int(k) for s, k in zip(*np.unique(table[:, 0], return_index=True), strict=True)}
+    last = {s: int(np.searchsorted(table[:, 0], s, "right")) for s in first}
+
+    @F.pandas_udf(SPAN)
+    def look(size: pd.Series, nth: pd.Series) -> pd.DataFrame:
+        at = np.zeros(len(size), dtype=np.int64)
+        sizes, n = size.to_numpy(), nth.to_numpy()
+        for s in np.unique(sizes):
+            mine = sizes == s
+            b, e = first[int(s)], last[int(s)]
+            at[mine] = b + np.searchsorted(table[b:e, 1], n[mine], "right") - 1
+        return spans.iloc[at][SPAN.names].reset_index(drop=True)
+
+    return look
+
+
 def pack(docs: DataFrame, id_col: str, size: Column, capacity: int = 512) -> DataFrame:
     """(item, piece_no, n_pieces, first, size, container_id, place, fixed): the container of every item or piece.
 
@@ -171,7 +201,6 @@ def pack(docs: DataFrame, id_col: str, size: Column, capacity: int = 512) -> Dat
     take no room and have no container (null). Items of equal id stay separate items; an empty table gives an empty
     result.
     """
-    spark = docs.sparkSession
     parts = materialize(pieces(docs, id_col, size, capacity), "pieces")
     hist = {
         r["size"]: r["n"] for r in parts.filter("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -185,17 +214,10 @@ def pack(docs: DataFrame, id_col: str, size: Column, capacity: int = 512) -> Dat
             used[s] += per * times
             place += per
         base += times
-    spans = spark.createDataFrame(
-        rows, "size int, lo bigint, hi bigint, base bigint, per int, place int, fixed boolean"
-    )
-    spans = spans.groupBy("size").agg(
-        F.sort_array(F.collect_list(F.struct("lo", "hi", "base", "per", "place", "fixed"))).alias("spans")
-    )
+    starts = sorted((s, lo, base, per, place, fixed) for s, lo, _, base, per, place, fixed in rows)
     salts = max(64, max(hist.values(), default=0) // 1_000_000)  # parts of the largest size hold about a million rows
     ordered = number_in_groups(parts.filter("size > 0"), ["size"], ["item", "piece_no"], "nth", salts)
-    at = ordered.join(F.broadcast(spans), "size").withColumn(  # at most ``capacity`` rows
-        "s", F.filter("spans", lambda x: (x["lo"] <= F.col("nth")) & (x["hi"] > F.col("nth")))[0]
-    )
+    at = ordered.withColumn("s", _looker(starts)("size", "nth"))
     off = F.col("nth") - F.col("s.lo")
     placed = at.select(
         "item", "piece_no", "n_pieces", "first", "size",

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.session import broadcast_if_small, materialize, release
+from larder.operators.skew import sized_join
+from larder.session import materialize, release
 
 SIGN = -(2**63)
 
@@ -95,12 +96,11 @@ def radix_percentiles(values: DataFrame, pcts: list[int], bits: int = 16) -> Dat
             rows = rows.withColumn("prefix", F.lit(0).cast("bigint"))
         else:
             rows = rows.withColumn("prefix", F.shiftrightunsigned("key", 64 - done))
-            live = state.select(*by).distinct()
-            live = broadcast_if_small(live)
-            on = (
-                rows["field_name"] == live["field_name"]
-            ) & rows["grp"].eqNullSafe(live["grp"]) & (rows["prefix"] == live["prefix"])
-            rows = rows.join(live, on, "left_semi")
+            # a null group joins by a mark; a group with a large share of the rows is split off beyond the broadcast size
+            marked = [F.coalesce(F.concat(F.lit("="), F.col("grp").cast("string")), F.lit("")).alias("_grp")]
+            live = state.select("field_name", *marked, "prefix").distinct()
+            on = ["field_name", "_grp", "prefix"]
+            rows = sized_join(rows.select("*", *marked), live, on, "left_semi")
         hist = rows.groupBy(*by, _digit(F.col("key"), done, bits).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy(*by).orderBy("digit")
         cum = hist.withColumn("upto", F.sum("n").over(w))

@@ -10,7 +10,7 @@ from larder.llm.cooccurrence import cooccurrence
 from larder.llm.language import document_languages, doubtful_labels, label_segments, labelled_sample, train
 from larder.llm.leakage import find_leaks
 from larder.llm.packing import count_tokens, pack
-from larder.llm.percentiles import keyed_values, radix_percentiles
+from larder.llm.percentiles import keyed_values, merge_summaries, radix_percentiles, summary, summary_percentiles
 from larder.llm.top_items import latest_scores, top_n
 from larder.plans.events_and_references import PACKED_SQL, packed_values
 from larder.plans.registry import Registry, table
@@ -42,7 +42,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     tags = packed_values(spark, sf, ("tags",)).select(
         "field_name", F.col("recipe_id").alias("basket"), F.col("item_value").alias("item")
     )
-    return cooccurrence(lists.unionByName(tags), min_pairs=5, min_share=1 / 200)
+    return cooccurrence(lists.unionByName(tags), min_pairs=5, min_share=1 / 200, chunk_items=12)
 
 
 @R.add(
@@ -68,6 +68,24 @@ def p1_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@R.add(
+    "p1_recipes_of_users",
+    f"""WITH c AS (SELECT DISTINCT user_id basket, recipe_id::VARCHAR item FROM fact_interactions WHERE user_id IS NOT NULL AND recipe_id IS NOT NULL),
+    tot AS (SELECT count(DISTINCT basket) n_baskets FROM c), one AS (SELECT item, count(*) n FROM c GROUP BY ALL),
+    k AS (SELECT c.* FROM c JOIN one USING (item), tot WHERE n >= 5 AND 1000 * n >= n_baskets),
+    two AS (SELECT x.item item_a, y.item item_b, count(*) n_ab FROM k x JOIN k y ON x.basket = y.basket AND x.item < y.item GROUP BY ALL)
+    SELECT item_a, item_b, n_ab, a.n n_a, z.n n_b, {steady_sql("n_ab::DOUBLE * n_baskets / a.n / z.n")} AS lift
+    FROM two JOIN one a ON a.item = item_a JOIN one z ON z.item = item_b, tot WHERE n_ab >= 5 AND 1000 * n_ab >= n_baskets""",
+)
+def p1_recipes_of_users(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of recipes that the same users reviewed. One user's basket holds most recipes and is cut into many chunks."""
+    rows = table(spark, sf, "fact_interactions").select(
+        F.lit("recipe_id").alias("field_name"), F.col("user_id").alias("basket"), F.col("recipe_id").cast("string").alias("item")
+    )
+    out = cooccurrence(rows, min_pairs=5, min_share=1 / 1000, chunk_items=64)
+    return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", steady_round(F.col("lift")).alias("lift"))
+
+
 # ---------------------------------------------------------------------------------------------------------------- p2
 
 _RANKED = """
@@ -155,6 +173,37 @@ def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_LEAD = "power(2::DOUBLE, floor(log2(abs(value))) - 4)"
+
+
+@R.add(
+    "p5_daily_bounds",
+    f"""{_VALUES} SELECT primary_tag, field_name, pct, {steady_sql(f"CASE WHEN value > 0 THEN floor(value / {_LEAD}) * {_LEAD} ELSE value END")} AS low,
+    n, true AS holds FROM p WHERE scope = 1""",
+)
+def p5_daily_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of every tag from the summaries of single days added up, and whether the exact value lies in the bounds.
+
+    A recipe counts on the first day it was extracted; ``low`` is the lower bound, the upper one is at most 1/16 above.
+    """
+    df = table(spark, sf, "recipes_clean").filter("id is not null")
+    once = df.groupBy("id").agg(F.min("extract_date").alias("day"), F.min(F.struct("primary_tag", *PDV)).alias("r"))
+    rows = materialize(once.select("day", "r.*").filter("primary_tag is not null"), "once")
+    days = rows.select(F.concat_ws("|", F.coalesce(F.col("day").cast("string"), F.lit("")), "primary_tag").alias("grp"), *PDV)
+    daily = materialize(summary(keyed_values(days, "grp", PDV)), "daily")  # one summary per day and tag
+    merged = merge_summaries(daily.withColumn("grp", F.expr("substring(grp, instr(grp, '|') + 1)")))
+    pcts = [10, 25, 50, 75, 90, 99]
+    near = summary_percentiles(merged, pcts)
+    exact = radix_percentiles(materialize(keyed_values(rows, "primary_tag", PDV), "values"), pcts)
+    both = exact.join(near.drop("value"), ["field_name", "grp", "pct"])
+    v, low, high = F.col("value"), F.col("low"), F.col("high")
+    holds = (low <= v) & (v <= high) & ((v == 0) | (high - low <= F.abs(v) / 16 + 1e-9))
+    return both.select(
+        F.col("grp").alias("primary_tag"), "field_name", F.col("pct").cast("int").alias("pct"),
+        steady_round(low).alias("low"), "n", holds.alias("holds"),
+    )
+
+
 # ---------------------------------------------------------------------------------------------------------------- p8
 
 CAPACITY = 512
@@ -175,8 +224,46 @@ def _packed(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("p8_found", f"SELECT doc_id FROM documents WHERE {TOKENS_SQL} > {CAPACITY}")
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that had to be split."""
-    return _packed(spark, sf).filter("n_pieces > 1").select(F.col("item").alias("doc_id")).distinct()
+    """Documents that had to be split: those that the plan put into more than one container."""
+    per = _packed(spark, sf).filter("container_id is not null").groupBy("item").agg(
+        F.min("container_id").alias("a"), F.max("container_id").alias("z")
+    )
+    return per.filter("a < z").select(F.col("item").alias("doc_id"))
+
+
+@R.add(
+    "p8_placements",
+    f"""SELECT doc_id, n n_tokens, greatest(1, ceil(n / {CAPACITY}))::BIGINT n_pieces, ceil(n / {CAPACITY})::BIGINT n_containers
+    FROM (SELECT doc_id, coalesce({TOKENS_SQL}, 0)::BIGINT n FROM documents)""",
+)
+def p8_placements(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens, pieces and containers of every document as placed."""
+    return _packed(spark, sf).groupBy(F.col("item").alias("doc_id")).agg(
+        F.sum("size").alias("n_tokens"), F.count(F.lit(1)).alias("n_pieces"), F.count_distinct("container_id").alias("n_containers")
+    )
+
+
+@R.add(
+    "p8_faults",
+    f"SELECT sum(coalesce({TOKENS_SQL}, 0))::BIGINT n_tokens, 0::BIGINT n_overfull, 0::BIGINT n_same_place, 0::BIGINT n_gaps FROM documents",
+)
+def p8_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """What must not be: containers over capacity, places held twice, gaps in the places of a container or in the numbers of
+    containers; with all tokens placed."""
+    rows = materialize(_packed(spark, sf).filter("container_id is not null").select("container_id", "place", "size"), "placed")
+    per = rows.groupBy("container_id").agg(
+        F.sum("size").alias("used"), F.count(F.lit(1)).alias("n"), F.max("place").alias("last"), F.min("place").alias("first")
+    )
+    twice = rows.groupBy("container_id", "place").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_same_place"))
+    n = F.count(F.lit(1))
+    gaps = F.count_if((F.col("first") != 1) | (F.col("last") != F.col("n"))) + F.coalesce(F.max("container_id") + 1 - n, F.lit(0))
+    one = per.agg(
+        F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"), F.count_if(F.col("used") > CAPACITY).alias("n_overfull"), gaps.alias("n_gaps")
+    )
+    # two tables of one row each
+    return one.withColumn("_k", F.lit(1)).join(twice.withColumn("_k", F.lit(1)), "_k").select(
+        "n_tokens", "n_overfull", "n_same_place", "n_gaps"
+    )
 
 
 @R.add("p8_containers")

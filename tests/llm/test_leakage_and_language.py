@@ -1,10 +1,13 @@
 import random
 import unicodedata
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from larder.llm import language as L
 from larder.llm import leakage as K
+from larder.session import scratch_path
 
 DOCS = "doc_id bigint, text string, lang string, item_id int, n_shared int"
 
@@ -48,9 +51,15 @@ def test_leaks_equal_brute_force(spark):
 
 
 def test_sketches_are_as_long_as_the_share_needs():
-    s = {f"s{i}" for i in range(50)}
-    assert len(K.sketch(s, 0.3)) == 50 - 15 + 1 and set(K.sketch(s, 0.3)) <= s
-    assert K.sketch({"a"}, 0.3) == ["a"]
+    s = np.unique(K.shingle_hashes(np.arange(1, 55, dtype=np.uint64), 5))
+    assert len(s) == 50 and list(K.sketch(s, 0.3)) == sorted(s)[: 50 - 15 + 1]
+    assert list(K.sketch(s[:1], 0.3)) == [s[0]]
+
+
+def test_hashes_are_those_of_the_runs_of_one_document():
+    part = K._Slice(["a b c d e f", "", "x y", "b c d e f"], 5, {})
+    h, ends = part.hashes(0)
+    assert list(ends) == [0, 2, 2, 2, 3] and h[1] == h[2] != h[0]
 
 
 def test_no_items_or_documents(spark):
@@ -133,6 +142,32 @@ def test_segments_and_labels(spark):
     assert L.train([]).segments("no model at all") != [] and L.train([]).segments("x")[0][2] is None
 
 
+def test_a_second_language_inside_unpunctuated_text():
+    d = L.train([(lang, t) for t, lang, _ in corpus(1, 300)])
+    r = random.Random(6)
+    plain = lambda lang, n: " ".join(sentence(r, lang).strip(" .!\n").lower() for _ in range(n))
+    for a, b in (("de", "en"), ("fr", "nl"), ("es", "de")):
+        text = f"{plain(a, 3)} {plain(b, 2)} {plain(a, 4)}"
+        n = {}
+        for *_, lang, k, _ in d.segments(text):
+            n[lang] = n.get(lang, 0) + k
+        assert {x for x, k in n.items() if k >= 0.15 * sum(n.values())} == {a, b}
+
+
+def test_filters_are_stored_and_as_wide_as_the_languages(spark):
+    d = L.train([(lang, t) for t, lang, _ in corpus(1, 100)])
+    path = scratch_path(spark, "filters")
+    L.save(spark, d, path)
+    again = L.load(spark, path)
+    text = "".join(t for t, *_ in corpus(3, 5))
+    assert again.segments(text) == d.segments(text)
+    f = L.BitSlicedFilter(10, 3, 20)
+    f.add("g", 1 << 19)
+    assert f.mask("g") == 1 << 19 and f.false_rates(20)[19] > 0
+    with pytest.raises(ValueError):
+        L.BitSlicedFilter(10, 3, 65)
+
+
 def test_sample_is_bounded(spark):
     df = spark.createDataFrame(
         [(i, "word " * 40, "en" if i % 2 else "EN ", 0, 0) for i in range(50)] + [(99, "x" * 500, "zz", 0, 0)], DOCS

@@ -39,9 +39,9 @@ def test_pairs_equal_brute_force_with_huge_baskets(spark):
         ("y", 1, "a", 0, 0), ("y", 1, "b", 0, 0), ("y", None, "a", 0, 0), ("y", 2, None, 0, 0), ("y", 3, "only", 0, 0)
     ]
     df = spark.createDataFrame(data, BASKETS)
-    for min_pairs, share, chunk in ((1, 0.0, 10), (3, 0.03, 7), (1, 0.0, 500)):
+    for min_pairs, share, chunk, limit in ((1, 0.0, 10, 0), (3, 0.03, 7, 10**9), (1, 0.0, 500, 10**9)):
         want = brute_pairs(data, min_pairs, share)
-        got = C.cooccurrence(df, min_pairs, share, chunk).collect()
+        got = C.cooccurrence(df, min_pairs, share, chunk, limit).collect()
         assert {
             (x["field_name"], x["item_a"], x["item_b"]): (x["n_ab"], x["n_a"], x["n_b"], x["n_baskets"]) for x in got
         } == want
@@ -89,11 +89,28 @@ def test_top_items_with_ties_repeats_and_a_hot_group(spark):
             by[g].append((-v, s))
     want = {(g, s, k + 1) for g, x in by.items() for k, (_, s) in enumerate(sorted(x)[:5])}
     rows = T.latest_scores(spark.createDataFrame(data, SCORES), "c", "s", "score", "at")
-    for kw in ({}, {"broadcast_rows": 0}, {"shares": (0.99, 0.95, 0.5, 0.2)}, {"shares": (0.5,)}):
+    for kw in ({}, {"limit": 0}, {"bands": 100, "limit": 0}, {"bands": 2}):
         got = T.top_n(rows, 5, **kw).collect()
         assert {(x["grp"], x["item"], x["rank"]) for x in got} == want and len(got) == len(want)
 
 
+def test_runs_of_bands_follow_the_open_places():
+    assert T._run([10] * 10, 0, 5) == 1 and T._run([10] * 10, 0, 1000) == 6 and T._run([10] * 10, 8, 1000) == 10
+    at, ends = 0, []
+    while at < 20:
+        at = T._run([100] * 20, at, 10**9)
+        ends.append(at)
+    assert ends == [12, 16, 20]
+
+
+def test_chunk_pairs_hold_no_more_than_two_chunks(spark):
+    rows = spark.createDataFrame([("x", 1, f"i{k:04}", 0, 0) for k in range(2000)], BASKETS).select("field_name", "basket", "item")
+    got = C._chunk_pairs(rows, 100, 10**9).select("lo", "hi", "n_left", F.size("items").alias("n")).collect()
+    assert len(got) == 20 * 21 // 2 and max(x["n"] for x in got) < 300
+    inside = sum(x["n"] * (x["n"] - 1) // 2 for x in got if x["lo"] == x["hi"])
+    assert inside + sum(x["n_left"] * (x["n"] - x["n_left"]) for x in got if x["lo"] < x["hi"]) == 2000 * 1999 // 2
+
+
 def test_top_items_of_one_score_and_of_nothing(spark):
     flat = spark.createDataFrame([("g", f"s{i:03}", 1.0) for i in range(500)], "grp string, item string, score double")
     assert sorted(x["item"] for x in T.top_n(flat, 3).collect()) == ["s000", "s001", "s002"]
