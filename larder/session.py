@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 #: Bytes up to which a table measured beforehand may be broadcast (``broadcast_if_small``, ``skew.sized_join``).
 BROADCAST_BYTES = 32_000_000
-BROADCAST_ROWS = 200_000
 
 _own_folders: dict[str, str] = {}
 
