@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 
@@ -15,17 +16,18 @@ class Config:
     as_of: str = "9999-12-31 00:00:00"
     bot_rows_per_day: int = 50
     pseudo_count: float = 10.0
-    top_substitutes: int = 5
-    text_weight: float = 0.7
-    number_weight: float = 0.3
-    stale_after_days: int = 7
     rebuild: bool = False
 
     @classmethod
-    def from_environment(cls) -> Config:
+    def from_mapping(cls, values: Mapping[str, str]) -> Config:
+        """LARDER_<NAME> where given, else the default."""
         given = {}
         for f in fields(cls):
-            v = os.environ.get(f"LARDER_{f.name.upper()}")
+            v = values.get(f"LARDER_{f.name.upper()}")
             if v is not None:
                 given[f.name] = v.lower() in ("1", "true", "yes") if isinstance(f.default, bool) else type(f.default)(v)
         return cls(**given)
+
+    @classmethod
+    def from_environment(cls) -> Config:
+        return cls.from_mapping(os.environ)

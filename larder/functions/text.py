@@ -171,17 +171,25 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(longest, F.lit(1)))
 
 
+def title_case(x: Column) -> Column:
+    """Every run of letters with a capital first letter and small ones after it, whatever stands before the run."""
+    runs = F.regexp_extract_all(x, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1_000_000)))), "")
+
+
 def _indel(a: str, b: str) -> float:
+    """Twice the longest common subsequence over the summed lengths, with a bit per character of ``a``."""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for ca in a:
-        prev = 0
-        for j, cb in enumerate(b, 1):
-            keep = row[j]
-            row[j] = prev + 1 if ca == cb else max(row[j], row[j - 1])
-            prev = keep
-    return 2 * row[-1] / (len(a) + len(b))
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full
+    for c in b:
+        hit = open_ & at.get(c, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return 2 * (len(a) - open_.bit_count()) / (len(a) + len(b))
 
 
 @F.pandas_udf(T.DoubleType())

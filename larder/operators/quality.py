@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.numeric import finite
 from larder.functions.text import list_literal
+from larder.operators.quantiles import exact_quantiles
 from larder.operators.skew import sized_join, split_join
 from larder.session import materialize
 
@@ -15,8 +16,12 @@ NUTRITION = [
 ]
 
 
+def lacking_columns(df: DataFrame, names: list[str]) -> list[str]:
+    return [n for n in names if n not in df.columns]
+
+
 def require_columns(df: DataFrame, names: list[str]) -> None:
-    missing = [n for n in names if n not in df.columns]
+    missing = lacking_columns(df, names)
     if missing:
         raise ValueError(f"missing columns: {missing}")
 
@@ -119,15 +124,15 @@ def canonical_ingredients(df: DataFrame, id_col: str, list_col: str, mapping: Da
     )
 
 
-def upper_fences(df: DataFrame, cols: list[str], q: float = 0.95) -> DataFrame:
-    """One row: the exact q-quantile of each column, NaN left out."""
-    return df.agg(*[F.percentile(finite(F.col(c)), q).alias(f"_q_{c}") for c in cols])
+def upper_fences(df: DataFrame, cols: list[str], q: float = 0.95) -> dict[str, float | None]:
+    """The exact q-quantile of each column, NaN left out."""
+    return {c: v for (c, _), v in exact_quantiles(df, cols, [q]).items()}
 
 
 def flag_outliers(df: DataFrame, cols: list[str] = NUTRITION, q: float = 0.95) -> DataFrame:
     """Adds ``is_outlier``: any column above its own quantile over all rows. The quantiles are one row of numbers."""
-    fences = upper_fences(df, cols, q).first()
-    above = [F.coalesce(finite(F.col(c)) > F.lit(fences[f"_q_{c}"]), F.lit(False)) for c in cols]
+    fences = upper_fences(df, cols, q)
+    above = [F.coalesce(finite(F.col(c)) > F.lit(fences[c]).cast("double"), F.lit(False)) for c in cols]
     flag = above[0]
     for a in above[1:]:
         flag = flag | a
@@ -143,10 +148,10 @@ def balance_score(
     bad: tuple = (("saturated_fat_pdv", 0.25), ("sugar_pdv", 0.2), ("sodium_pdv", 0.15))
 ) -> Column:
     """0.4 good - weighted bad, each as a share of its 95th percentile cut to 0..1; the sum cut to -1..1."""
-    q = upper_fences(df, [good, *[c for c, _ in bad]]).first()
+    q = upper_fences(df, [good, *[c for c, _ in bad]])
 
     def norm(c: str) -> Column:
-        top = q[f"_q_{c}"]
+        top = q[c]
         return clip(finite(F.col(c)) / F.lit(top), 0.0, 1.0) if top and top > 0 else F.lit(0.0)
 
     total = norm(good) * 0.4

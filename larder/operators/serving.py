@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.operators.matching import total_rank
+
 
 def _any(conditions: list[Column]) -> Column:
     return reduce(Column.__or__, conditions)
@@ -65,3 +67,45 @@ def page(df: DataFrame, order: list[Column], number: int, size: int = 10) -> Dat
     last = page_count(df.count(), size)
     number = min(max(1, number), last)
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def first_batches(df: DataFrame, order: list[tuple[str, bool]], match: Column, size: int, wanted: int, most: int) -> DataFrame:
+    """Matching rows of the first batches of ``size`` rows: batches are taken until ``wanted`` matches are there, at most
+    ``most`` of them. ``order`` must tell rows apart."""
+    ranked = total_rank(df, F.lit(True), order, "_rank")
+    rows = ranked.withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("int")).filter(F.col("batch") < most)
+    hits = rows.filter(match).drop("_rank")
+    per = hits.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))  # at most ``most`` rows
+    before = F.coalesce(F.sum("n").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = per.withColumn("_had", before).filter(F.col("_had") < wanted).select("batch")
+    return hits.join(F.broadcast(open_), "batch", "left_semi")
+
+
+def placed_by(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
+    """Adds ``place``: 1, 2, ... within each group by score descending, without bringing a group to one task."""
+    ranked = total_rank(df, F.lit(True), [(group, True), (score, False), (tie, True)], "_rank")
+    first = ranked.groupBy(group).agg(F.min("_rank").alias("_first"))
+    return ranked.join(F.broadcast(first), group).withColumn("place", (F.col("_rank") - F.col("_first") + 1).cast("int")).drop("_rank", "_first")  # groups are labels
+
+
+def apply_swaps(active: DataFrame, changes: DataFrame) -> DataFrame:
+    """(candidate, substitute) after ``changes`` (candidate, substitute, at): the last change of a candidate sets its
+    substitute, a null one removes it."""
+    last = changes.groupBy("candidate").agg(F.max_by(F.struct("substitute"), F.struct("at", "substitute")).alias("c"))
+    kept = active.join(last, "candidate", "left_anti").select("candidate", "substitute")
+    return kept.unionByName(last.select("candidate", F.col("c.substitute").alias("substitute")).filter("substitute is not null"))
+
+
+def with_rising(rows: DataFrame, queries: DataFrame, key: str, query: str, value: str, most: int = 5) -> DataFrame:
+    """``rows`` with ``rising``: the ``most`` queries of highest value of each key, joined by bars. Spark keeps that many a key
+    in every task before the shuffle."""
+    w = Window.partitionBy(key).orderBy(F.col(value).desc(), query)
+    top = queries.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most)
+    lists = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_k", query))).alias("_l"))
+    lists = lists.select(key, F.array_join(F.transform("_l", lambda s: s[query]), "|").alias("rising"))
+    return rows.join(lists, key, "left")
+
+
+def first_stage(stages: list[tuple[str, int]], prefix: str) -> tuple[str, int] | tuple[None, None]:
+    """The first (label, rows) whose label starts with ``prefix``."""
+    return next((s for s in stages if s[0].startswith(prefix)), (None, None))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.numeric import finite, steady_round
 from larder.functions.vocabulary import SEGMENT_REST, SEGMENT_RULES
+from larder.operators.quantiles import exact_quantiles
 from larder.operators.skew import heavy_of, split_join
 
 #: Query vectors broadcast at once.
@@ -28,6 +29,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the ``k`` highest values of each row, ties by smaller id. Only what is not below the k-th value is sorted."""
+    out = np.empty((s.shape[0], min(k, s.shape[1])), dtype=np.int64)
+    if s.shape[1] <= k:
+        return np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    for r in range(s.shape[0]):
+        at = np.flatnonzero(s[r] >= least[r])
+        out[r] = at[np.lexsort((ids[at], -s[r, at]))[:k]]
+    return out
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, id, similarity, rank): the ``k`` rows of highest cosine for each query, itself left out, exactly.
 
@@ -61,7 +74,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) ->
                 x, other = x[norm > 0] / norm[norm > 0, None], other[norm > 0]
                 s = np.round(m @ x.T, 9)
                 s[ids[:, None] == other[None, :]] = -np.inf
-                top = np.lexsort((np.broadcast_to(other, s.shape), -s), axis=1)[:, :k]
+                top = _best(s, other, k)
                 out = pd.DataFrame(
                     {
                         "query_id": np.repeat(ids, top.shape[1]), "id": other[top].ravel(),
@@ -84,10 +97,8 @@ def hybrid_embedding(
 ) -> DataFrame:
     """(id, embedding): the text vector and the standardised numbers (gaps by median, population deviation), weighted,
     joined and scaled to length 1. The statistics are one row."""
-    q = df.agg(
-        *[F.median(finite(F.col(c))).alias(f"m_{c}") for c in numbers]
-    ).first()
-    filled = [F.coalesce(finite(F.col(c)), F.lit(q[f"m_{c}"] if q[f"m_{c}"] is not None else 0.0)) for c in numbers]
+    middle = exact_quantiles(df, numbers, [0.5])
+    filled = [F.coalesce(finite(F.col(c)), F.lit(middle[c, 0.5] or 0.0)) for c in numbers]
     s = df.agg(
         *[F.avg(f).alias(f"a_{c}") for c, f in zip(numbers, filled, strict=True)],
         *[F.stddev_pop(f).alias(f"s_{c}") for c, f in zip(numbers, filled, strict=True)]
@@ -167,24 +178,16 @@ def segment_users(
     return out.select(F.col("_id").alias(id_col), "cluster_id", label.alias("cluster_label"), *features)
 
 
-def segment_labels(centroids: dict) -> dict[int, str]:
+def segment_labels(centroids: dict, rules: tuple[tuple[str, str], ...] = SEGMENT_RULES) -> dict[int, str]:
     """Names for the few segments: each rule takes the unused one with the highest mean, the rest is general."""
     names: dict[int, str] = {}
-    for feature, label in SEGMENT_RULES:
+    for feature, label in rules:
         free = [c for c in sorted(centroids) if c not in names]
         if free and feature in centroids[free[0]].asDict():
             names[max(free, key=lambda c: centroids[c][feature])] = label
     return {c: names.get(c, SEGMENT_REST) for c in centroids}
 
 
-def hash_shape(n: int, least: float, miss: float = 0.001) -> tuple[int, int]:
-    """(bits, tables): buckets of about one of ``n`` random rows, and tables enough to miss a pair at cosine ``least``
-    with probability ``miss``; two vectors at angle t share a bucket with probability (1 - t / pi)^bits."""
-    bits = max(4, math.ceil(math.log2(max(n, 2))))
-    hit = (1 - math.acos(least) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log1p(-hit))
-
-
 def _usable(df: DataFrame) -> DataFrame:
     """(id, embedding) of the rows that can match: an id, no null or NaN in the vector, not all zero."""
     return df.select(F.col("id").cast("bigint").alias("id"), "embedding").filter(

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.config import Config
 from larder.functions import text as X
@@ -15,6 +16,7 @@ from larder.operators import ratings as A
 from larder.operators import sentiment as S
 from larder.operators import warehouse as W
 from larder.sources.readers import has_new_rows, read_if_there
+from larder.sources.tables import read_table
 from larder.sources.writers import replace_parquet, write_new_only, write_upsert
 
 
@@ -75,7 +77,7 @@ def warehouse_pipeline(spark: SparkSession, c: Config) -> Pipeline:
                 write_new_only(t[of], path, keys)
             else:
                 write_upsert(t[of], path, keys, update)
-            return spark.read.parquet(path)
+            return read_table(spark, path)
 
         return put
 
@@ -123,6 +125,83 @@ def warehouse_pipeline(spark: SparkSession, c: Config) -> Pipeline:
     return p
 
 
+# Tables of the app and of search signals with their columns, keys, and the columns that a load renews.
+# A table without such columns takes new keys only.
+APP_TABLES = {
+    "dim_canonical_ingredient_nutrients": (
+        "canonical_ingredient string, calories_per_100g double, protein_g_per_100g double, fat_g_per_100g double, "
+        "saturated_fat_g_per_100g double, sugar_g_per_100g double, sodium_g_per_100g double, carbs_g_per_100g double, "
+        "computed_date date",
+        ["canonical_ingredient"],
+        ["calories_per_100g", "protein_g_per_100g", "fat_g_per_100g", "saturated_fat_g_per_100g", "sugar_g_per_100g",
+         "sodium_g_per_100g", "carbs_g_per_100g", "computed_date"],
+    ),
+    "fact_substitution_recommendations": (
+        "candidate_ingredient string, substitute_ingredient string, substitute_similarity double, recommendation_score double, "
+        "rating_delta double, sentiment_delta double, protein_delta double, saturated_fat_delta double, sugar_delta double, "
+        "sodium_delta double, calories_delta double, health_delta double, updated_at timestamp",
+        ["candidate_ingredient", "substitute_ingredient"],
+        ["substitute_similarity", "recommendation_score", "rating_delta", "sentiment_delta", "protein_delta",
+         "saturated_fat_delta", "sugar_delta", "sodium_delta", "calories_delta", "health_delta", "updated_at"],
+    ),
+    "recipe_gap_analysis": (
+        "source string, raw_term string, canonical_term string, source_score double, best_term string, similarity double, "
+        "match_status string, gap_score double, top_gap_rank bigint, opportunity_label string, insight_summary string, "
+        "gap_reason string, matching_method string, fetched_date date",
+        ["source", "canonical_term"],
+        ["raw_term", "source_score", "best_term", "similarity", "match_status", "gap_score", "top_gap_rank",
+         "opportunity_label", "insight_summary", "gap_reason", "matching_method", "fetched_date"],
+    ),
+    "recipe_term_clusters": (
+        "cluster_id bigint, cluster_label string, representative_term string, source_terms string, sources_present string, "
+        "dominant_tags string, avg_gap_score double, max_gap_score double, best_match string, coverage_count bigint, "
+        "explanation string",
+        ["representative_term"],
+        ["cluster_id", "cluster_label", "source_terms", "sources_present", "dominant_tags", "avg_gap_score", "max_gap_score",
+         "best_match", "coverage_count", "explanation"],
+    ),
+    "google_trends_raw": (
+        "seed_query string, related_query string, query_type string, fetched_date date, raw_value bigint",
+        ["seed_query", "related_query", "query_type", "fetched_date"], ["raw_value"],
+    ),
+    "google_trends_normalised": (
+        "seed_query string, related_query string, query_type string, fetched_date date, raw_value bigint, normalised_score double",
+        ["seed_query", "related_query", "query_type", "fetched_date"], ["raw_value", "normalised_score"],
+    ),
+    "ai_mode_raw": (
+        "seed_query string, block_index int, body string, fetched_date date",
+        ["seed_query", "block_index", "fetched_date"], ["body"],
+    ),
+    "ai_mode_term_scores": (
+        "term string, raw_frequency bigint, normalised_score double, fetched_date date",
+        ["term", "fetched_date"], ["raw_frequency", "normalised_score"],
+    ),
+    "gap_analysis": (
+        "term string, combined_score double, recipe_count bigint, gap_score double, opportunity_tier string, computed_date date",
+        ["term", "computed_date"], ["combined_score", "recipe_count", "gap_score", "opportunity_tier"],
+    ),
+    "recipe_tags": (
+        "recipe_id bigint, tag string, dimension string, matched_term string, canonical_term string, source string",
+        ["recipe_id", "tag", "matched_term", "canonical_term", "source"], [],
+    ),
+    "signal_tags": (
+        "term string, data_source string, tag string, dimension string, matched_term string", ["term", "data_source", "tag"], [],
+    ),
+}
+
+
+def load_app_table(spark: SparkSession, c: Config, name: str, rows: DataFrame) -> DataFrame:
+    """Loads ``rows`` (unique by the table's keys) into a table of ``APP_TABLES`` and returns the table."""
+    columns, keys, update = APP_TABLES[name]
+    path = f"{c.output_dir}/{name}"
+    ready = W.conform(rows, T._parse_datatype_string(columns))
+    if update:
+        write_upsert(ready, path, keys, update)
+    else:
+        write_new_only(ready, path, keys)
+    return read_table(spark, path)
+
+
 def run_if_new(
     spark: SparkSession, c: Config, interactions: DataFrame, recipes: DataFrame, block: bool = False
 ) -> dict[str, DataFrame] | None:
@@ -147,4 +226,4 @@ def build_once(spark: SparkSession, path: str, make: Callable[[], DataFrame], re
     if had is not None:
         return had
     replace_parquet(make(), path)
-    return spark.read.parquet(path)
+    return read_table(spark, path)

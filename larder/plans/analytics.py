@@ -12,6 +12,7 @@ from larder.operators import ratings as A
 from larder.operators import warehouse as W
 from larder.operators.matching import total_rank
 from larder.operators.quality import busy_users, keep_first
+from larder.operators.quantiles import exact_quantiles
 from larder.operators.serving import filter_recipes
 from larder.operators.skew import split_join
 from larder.plans.cleaning import CLEAN, INTERACTIONS, RECIPES, clean_interactions, interactions, recipes
@@ -508,9 +509,10 @@ def missing_recipes(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT median(protein) protein, median(fat) fat, median(carbs) carbs, median(sugar) sugar, median(sodium) sodium FROM dim_recipe"
 )
 def recipe_medians(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "dim_recipe").agg(
-        *[F.median(c).alias(c) for c in ("protein", "fat", "carbs", "sugar", "sodium")]
-    )
+    """The median of each nutrient, for the overlay of a recipe's profile."""
+    names = ["protein", "fat", "carbs", "sugar", "sodium"]
+    m = exact_quantiles(table(spark, sf, "dim_recipe"), names, [0.5])
+    return spark.createDataFrame([tuple(m[c, 0.5] for c in names)], ", ".join(f"{c} double" for c in names))
 
 
 @R.add(

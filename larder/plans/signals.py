@@ -312,8 +312,8 @@ _FOOD_KEY = """(CASE WHEN contains(d, q) THEN 1 ELSE 0 END, hits / n, (recipe_id
 def food_match(spark: SparkSession, sf: str) -> DataFrame:
     """The best food description of every ingredient: phrase, share of words, kind, richness, brevity.
 
-    A word stands in a description only inside one of its runs of letters, so words and runs meet on two-letter parts
-    and are then compared; no ingredient is compared with all descriptions.
+    A word stands in a description only inside one of its runs of letters, so words and runs meet on parts of two to four
+    letters and are then compared; no ingredient is compared with all descriptions.
     """
     q = table(spark, sf, "recipes_clean").select(
         F.explode("ingredients_canonical_list").alias("q")
@@ -322,10 +322,12 @@ def food_match(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "dim_recipe").filter("name is not null").select(
         "recipe_id", F.lower("name").alias("d"), F.coalesce("ingredient_count", F.lit(0)).alias("rich")
     )
-    words = q.select(F.explode("t").alias("w")).distinct().withColumn("g", F.substring("w", 1, 2))
+    # a word of up to four letters is its own key, a longer one meets runs on its first four
+    words = q.select(F.explode("t").alias("w")).distinct().withColumn("g", F.substring("w", 1, 4))
     runs = f.select(F.explode(F.split("d", "[^a-z0-9]+")).alias("r")).filter(F.length("r") >= 2).distinct()
+    starts = F.sequence(F.lit(1), F.length("r") - 1)
     grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length("r") - 1), lambda i: F.substring(F.col("r"), i, F.lit(2)))
+        F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("r"), i, F.lit(n)) for n in (2, 3, 4)])))
     )
     meet = words.join(
         runs.withColumn("g", F.explode(grams)), "g"
@@ -547,20 +549,13 @@ def stream_serving(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT CAST(loaded_at AS DATE) AS day, user_id, count(*) n FROM fact_interactions WHERE user_id IS NOT NULL AND loaded_at IS NOT NULL GROUP BY ALL"
 )
 def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows per user and day as a stream with complete days kept; the batch of one file set needs no watermark cut."""
-    sink = scratch_path(spark, "daily")
-    out = jobs.daily_counts(
-        jobs.read_events(spark, f"{sf}/fact_interactions.parquet", files_per_batch=10_000), late="4000 days"
-    )
-
-    def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
-
-    q = out.writeStream.outputMode("update").foreachBatch(put).option(
-        "checkpointLocation", scratch_path(spark, "daily-state")
-    ).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(sink).select("day", "user_id", "n")
+    """Rows per user and day as a stream in several micro-batches: the facts arrive as many files, a few a batch."""
+    files, sink = scratch_path(spark, "arrivals"), scratch_path(spark, "daily")
+    facts = table(spark, sf, "fact_interactions")
+    facts.select(*[f.split()[0] for f in jobs.EVENT.split(", ")]).repartition(6, "interaction_id").write.parquet(files)
+    events = jobs.read_events(spark, files, files_per_batch=2)
+    jobs.start_partial_counts(events, sink, scratch_path(spark, "daily-state")).awaitTermination()
+    return jobs.summed(spark, sink)
 
 
 R.plain("monthly_interest", dates=("month_end",))

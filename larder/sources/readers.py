@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.vocabulary import JUNK
+from larder.sources.tables import read_table
 
 RECIPES = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("minutes", T.LongType()),
@@ -39,9 +40,11 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """None for a missing or unreadable table."""
+    """The last version of a table, or the Parquet files at ``path``; None if missing or unreadable."""
     try:
-        df = spark.read.parquet(path)
+        df = read_table(spark, path)
+        if df is None:
+            df = spark.read.parquet(path)
         df.schema  # noqa: B018
         return df
     except Exception:

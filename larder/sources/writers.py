@@ -1,55 +1,44 @@
-"""Writers: atomic Parquet, keyed tables, text and JSON files."""
+"""Writers: atomic tables, keyed tables, text and JSON files."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators.warehouse import insert_ignore, upsert
-from larder.sources.readers import read_if_there
+from larder.sources.tables import change_table, part_of, replace_table
+
 
+def replace_parquet(df: DataFrame, path: str, part: Column | None = None) -> None:
+    """Puts ``df`` in place of the table at ``path``: readers see the old or the new version; ``df`` may read ``path``."""
+    replace_table(df, path, part)
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
+def write_upsert(
+    df: DataFrame, path: str, keys: list[str], update: list[str], part: Column | None = None
+) -> list[str]:
+    """Merges ``df`` (unique by ``keys``) into the table at ``path``; creates it if missing; an empty ``df`` keeps it.
 
-def replace_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Writes beside the table and swaps it in, so that readers see the old or the new table; ``df`` may read ``path``."""
-    spark = df.sparkSession
-    tmp, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    w = df.write
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(tmp)
-    fs, target = _fs(spark, path)
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    had = fs.exists(target)
-    if had:
-        fs.rename(target, path_of(old))
-    fs.rename(path_of(tmp), target)
-    if had:
-        fs.delete(path_of(old), True)
+    Only the parts that hold keys of ``df`` are read and written again; they are returned. ``part`` divides the table,
+    for instance by month; it must be the same for all rows of a key. By default keys are spread by their hash.
+    """
+    return change_table(df, path, part_of(keys) if part is None else part, lambda old, new: upsert(old, new, keys, update))
 
 
-def write_upsert(df: DataFrame, path: str, keys: list[str], update: list[str]) -> None:
-    """Merges ``df`` (unique by ``keys``) into the table at ``path``; creates it if missing; an empty ``df`` keeps it."""
-    old = read_if_there(df.sparkSession, path)
-    if old is None:
-        replace_parquet(df, path)
-    elif not df.isEmpty():
-        replace_parquet(upsert(old, df, keys, update), path)
+def write_new_only(df: DataFrame, path: str, keys: list[str], part: Column | None = None) -> list[str]:
+    """Adds rows whose key the table lacks, of several with a key the smallest."""
 
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return insert_ignore(old, new, keys)
 
-def write_new_only(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Adds rows whose key the table lacks."""
-    old = read_if_there(df.sparkSession, path)
-    replace_parquet(df if old is None else insert_ignore(old, df, keys), path)
+    return change_table(df, path, part_of(keys) if part is None else part, merge)
 
 
 def save_metadata(spark: SparkSession, path: str, values: dict[str, str]) -> None:
     """A key-value table."""
-    write_upsert(spark.createDataFrame(sorted(values.items()), "key string, value string"), path, ["key"], ["value"])
+    write_upsert(
+        spark.createDataFrame(sorted(values.items()), "key string, value string"), path, ["key"], ["value"], F.lit(0)
+    )
 
 
 def write_lines(df: DataFrame, col: Column, path: str) -> None:

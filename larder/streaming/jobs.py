@@ -37,23 +37,28 @@ def clean_stream(events: DataFrame, as_of: str | None = None, late: str | None =
     )
 
 
+#: Days of date_id in one part of the sink.
+PART_DAYS = 100
+
+
 def start_ingest(rows: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Appends rows whose id the sink lacks, all that is there now, then stops.
 
-    Each micro-batch owns the folder epoch=<id> and overwrites it when replayed, so a replay changes nothing.
+    Each micro-batch owns the folder epoch=<id> and overwrites it when replayed, so a replay changes nothing. Copies of
+    an interaction agree in their date_id, so the sink is divided by it and a batch reads the ids of its own dates only.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         once = batch.groupBy("interaction_id").agg(
             F.min_by(F.struct("*"), F.struct("loaded_at", "user_id", "recipe_id")).alias("r")
-        ).select("r.*")
+        ).select("r.*").withColumn("part", F.coalesce(F.floor(F.col("date_id") / PART_DAYS).cast("int"), F.lit(-1)))
         seen = read_if_there(spark, sink)
         if seen is not None:
-            once = once.join(
-                seen.filter(F.col("epoch") != epoch).select("interaction_id"), "interaction_id", "left_anti"
-            )
-        once.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+            parts = [r[0] for r in once.select("part").distinct().collect()]  # as many as the batch has spans of dates
+            seen = seen.filter(F.col("part").isin(*parts) & (F.col("epoch") != epoch)).select("interaction_id")
+            once = once.join(seen, "interaction_id", "left_anti")
+        once.write.mode("overwrite").partitionBy("part").parquet(f"{sink}/epoch={epoch}")
 
     return rows.writeStream.foreachBatch(put).option(
         "checkpointLocation", checkpoint
@@ -69,7 +74,47 @@ def serve(batch: DataFrame, sink: str) -> DataFrame:
 
 
 def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """(day, user_id, n) in daily windows of loading time; state of closed days is dropped by the watermark."""
+    """(day, user_id, n) in daily windows of loading time, as a stateful stream: state of closed days is dropped by the
+    watermark, and rows later than it are lost by design. Write it with ``start_latest``."""
     rows = events.filter("user_id is not null").withWatermark("loaded_at", late)
     out = rows.groupBy(F.window("loaded_at", "1 day").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("w.start").cast("date").alias("day"), "user_id", "n")
+
+
+def start_latest(counts: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows each micro-batch changed under its epoch; ``latest`` reads the last one of each key."""
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(put).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
+    """The last written row of each key."""
+    df = spark.read.parquet(sink)
+    rest = [c for c in df.columns if c not in (*keys, "epoch")]
+    return df.groupBy(*keys).agg(*[F.max_by(c, "epoch").alias(c) for c in rest])
+
+
+def start_partial_counts(events: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Counts (day, user_id) of each micro-batch alone, under its epoch; ``summed`` adds them up.
+
+    No state and no watermark: a row counts however late it comes, and a replayed batch overwrites its own counts.
+    """
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        day = F.col("loaded_at").cast("date").alias("day")
+        rows = batch.filter("user_id is not null and loaded_at is not null").groupBy(day, "user_id")
+        rows.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+
+    return events.writeStream.foreachBatch(put).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
+
+
+def summed(spark: SparkSession, sink: str) -> DataFrame:
+    """(day, user_id, n) over all micro-batches."""
+    return spark.read.parquet(sink).groupBy("day", "user_id").agg(F.sum("n").alias("n"))

@@ -1,9 +1,12 @@
 import json
 import zipfile
+from collections import Counter
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from larder.sources import readers as R
+from larder.sources import tables as T
 from larder.sources import writers as O
 from larder.streaming import jobs
 
@@ -92,10 +95,10 @@ def test_writers(spark, tmp_path, rows):
     O.write_upsert(spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string"), p, ["id"], ["v"])
     O.write_upsert(spark.createDataFrame([], "id int, v string"), p, ["id"], ["v"])
     O.write_new_only(spark.createDataFrame([(2, "x"), (3, "d")], "id int, v string"), p, ["id"])
-    assert rows(spark.read.parquet(p)) == [(1, "b"), (2, "c"), (3, "d")]
+    assert rows(T.read_table(spark, p)) == [(1, "b"), (2, "c"), (3, "d")]
     O.save_metadata(spark, str(tmp_path / "m"), {"k": "1"})
     O.save_metadata(spark, str(tmp_path / "m"), {"k": "2", "l": "3"})
-    assert rows(spark.read.parquet(str(tmp_path / "m"))) == [("k", "2"), ("l", "3")]
+    assert rows(T.read_table(spark, str(tmp_path / "m"))) == [("k", "2"), ("l", "3")]
     O.write_lines(spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "t string"), F.col("t"), str(tmp_path / "l"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "l")).collect()] == ["a", "b"]
     O.write_json(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "j"))
@@ -122,3 +125,42 @@ def test_stream_is_appended_once(spark, tmp_path, rows):
     assert rows(got.select("interaction_id", "source", "rating_normalized")) == [(i, "stream", 1.0) for i in (1, 2, 3)]
     batch = got.filter("interaction_id = 1").select("interaction_id", F.lit("batch").alias("source"))
     assert rows(jobs.serve(batch, sink)) == [(1, "batch"), (2, "stream"), (3, "stream")]
+
+
+def test_counts_hold_over_several_micro_batches(spark, tmp_path, rows):
+    day = lambda d: datetime(2024, 1, d, 5)
+    data = [(i, i % 3, 2, 3, 5, 0.5, "x", day(1 + i % 4)) for i in range(60)] + [(99, None, 2, 3, 5, 0.5, "x", day(1))]
+    src = str(tmp_path / "src")
+    spark.createDataFrame(data, jobs.EVENT).repartition(6).write.parquet(src)
+    want = sorted(((str(d.date()), u), n) for (d, u), n in Counter((x[7], x[1]) for x in data if x[1] is not None).items())
+    read = lambda: jobs.read_events(spark, src, files_per_batch=2)
+    sinks = [str(tmp_path / x) for x in ("sums", "latest", "s1", "s2")]
+    jobs.start_partial_counts(read(), sinks[0], sinks[2]).awaitTermination()
+    jobs.start_latest(jobs.daily_counts(read(), "30 days"), sinks[1], sinks[3]).awaitTermination()
+    for df in (jobs.summed(spark, sinks[0]), jobs.latest(spark, sinks[1], ["day", "user_id"])):
+        assert sorted(((str(r["day"]), r["user_id"]), r["n"]) for r in df.collect()) == want
+
+
+def test_a_broken_write_leaves_the_last_version(spark, tmp_path, rows):
+    """Rows of the stored table stay, whatever an interrupted write left behind."""
+    p = str(tmp_path / "t")
+    make = lambda *x: spark.createDataFrame(list(x), "id int, v string")
+    O.write_upsert(make((1, "a"), (2, "b")), p, ["id"], ["v"])
+    make((9, "junk")).write.parquet(f"{p}/data/v-2/_part=0")  # data without its version file
+    assert rows(R.read_if_there(spark, p)) == [(1, "a"), (2, "b")]
+    O.write_upsert(make((3, "c")), p, ["id"], ["v"])
+    assert rows(T.read_table(spark, p)) == [(1, "a"), (2, "b"), (3, "c")]
+    O.replace_parquet(T.read_table(spark, p).filter("id > 1"), p)
+    assert rows(T.read_table(spark, p)) == [(2, "b"), (3, "c")]
+
+
+def test_only_touched_parts_are_written_again(spark, tmp_path, rows):
+    p, by = str(tmp_path / "t"), F.floor(F.col("id") / 10)
+    make = lambda *x: spark.createDataFrame(list(x), "id int, v string")
+    O.write_upsert(make(*[(i, "a") for i in range(40)]), p, ["id"], ["v"], by)
+    assert O.write_upsert(make((11, "b"), (12, "b")), p, ["id"], ["v"], by) == ["_part=1"]
+    assert O.write_new_only(make((40, "c"), (40, "d"), (1, "z")), p, ["id"], by) == ["_part=0", "_part=4"]
+    want = sorted((i, "b" if i in (11, 12) else "a") for i in range(40)) + [(40, "c")]
+    assert sorted(tuple(r) for r in T.read_table(spark, p).collect()) == want
+    T.vacuum(spark, p, 1)
+    assert sorted(tuple(r) for r in T.read_table(spark, p).collect()) == want

@@ -1,12 +1,16 @@
+import math
+import random
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import text as X
 from larder.functions.vocabulary import TAXONOMY
 from larder.operators import quality as Q
-from larder.operators.sentiment import lexicon_score, model_score
+from larder.operators.quantiles import exact_quantiles
+from larder.operators.sentiment import lexicon_score, model_score, read_lexicon
 from larder.operators.tagging import tag_rows, weakly_tagged
 
 
@@ -132,3 +136,38 @@ def test_sentiment(spark):
         spark, lambda t: model_score(t, lambda xs: [float(len(x)) for x in xs]), "abc", " ", None
     ) == [3.0, None, None]
     assert len(one(spark, lexicon_score, "good " * 50_000)) == 1
+
+
+def test_exact_quantiles_interpolate_as_pandas(spark):
+    r = random.Random(3)
+    data = [(r.choice([None, float("nan"), 0.0, -0.0, 1.5, r.gauss(0, 9)]), float(r.randint(0, 3)), None) for _ in range(500)]
+    df = spark.createDataFrame(data, "a double, b double, c double").repartition(5)
+    got = exact_quantiles(df, ["a", "b", "c"], [0.0, 0.25, 0.5, 0.95, 1.0])
+    p = pd.DataFrame(data, columns=["a", "b", "c"]).astype("float64")
+    for (c, q), v in got.items():
+        assert v is None if c == "c" else math.isclose(v, p[c].quantile(q), abs_tol=1e-12)
+    assert exact_quantiles(df.limit(0), ["a"], [0.5]) == {("a", 0.5): None}
+
+
+def test_indel_ratio_equals_the_longest_common_subsequence():
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            prev = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(prev[j] + 1 if x == y else max(prev[j + 1], row[j]))
+        return row[-1]
+
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abc d") for _ in range(r.randint(0, 12))) for _ in range(2))
+        want = 1.0 if not a and not b else 2 * lcs(a, b) / (len(a) + len(b))
+        assert X._indel(a, b) == want
+
+
+def test_title_case_and_lexicon_file(spark, tmp_path):
+    df = spark.createDataFrame([("30chili o'brien b-c é",), (None,)], "x string")
+    assert [r[0] for r in df.select(X.title_case(F.col("x"))).collect()] == ["30Chili O'Brien B-C É", None]
+    (tmp_path / "l.txt").write_text("good\t1.9\t0.9\t[1]\n:)\t2.0\t1\t[2]\nBad\t-2.5\t0.6\t[3]\n")
+    assert read_lexicon(str(tmp_path / "l.txt")) == {"good": 1.9, "bad": -2.5}
