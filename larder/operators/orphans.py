@@ -131,10 +131,11 @@ class OrphanTracker:
         """References without a live parent at their time.
 
         Keys with a span that covers all their references of the batch need no look at single rows. Of the rest, those
-        of hot keys meet their few spans by broadcast.
+        of hot keys meet their spans by broadcast, if the counted spans of all such keys stay within the limit.
         """
-        open_keys = touched.filter("n_new > 0 and not covered").select(*KEY, "n_new")
-        n_keys, total = open_keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_new"), F.lit(0))).first()
+        open_keys = touched.filter("n_new > 0 and not covered").select(*KEY, "n_new", "n_spans")
+        zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        n_keys, total, n_spans = open_keys.agg(F.count(F.lit(1)), zero("n_new"), zero("n_spans")).first()
         hot = open_keys.filter(F.col("n_new") >= max(1.0, HOT * total)).select(*KEY)
         if n_keys * KEY_BYTES <= self.limit:
             rows = refs.join(F.broadcast(open_keys.select(*KEY)), KEY, "left_semi")
@@ -143,13 +144,14 @@ class OrphanTracker:
         marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), KEY, "left")  # at most 1 / HOT rows
         cold, warm = marked.filter("_hot is null").drop("_hot"), marked.filter("_hot").drop("_hot")
         few = spans.join(F.broadcast(hot), KEY, "left_semi")
+        few = F.broadcast(few) if n_spans * KEY_BYTES <= self.limit else few
         some = spans.join(open_keys.select(*KEY), KEY, "left_semi")
 
         def without(r: DataFrame, s: DataFrame) -> DataFrame:
             on = (r["ref_field"] == s["ref_field"]) & (r["key"] == s["key"]) & _live(s, r["ref_at"], r["ref_at"])
             return r.join(s, on, "left_anti")
 
-        return without(cold, some).unionByName(without(warm, F.broadcast(few)))  # spans of at most 1 / HOT keys
+        return without(cold, some).unionByName(without(warm, few))
 
     def apply(self, refs: DataFrame, parents: DataFrame, until) -> None:
         """Takes in the references up to ``until`` and the parent rows born or gone since the last batch.
@@ -176,6 +178,7 @@ class OrphanTracker:
         no = F.lit(False)
         touched = materialize(
             keys.join(spans, KEY, "left").groupBy(*KEY, "n_new").agg(
+                F.count(spans["born"]).alias("n_spans"),
                 F.coalesce(F.max(_live(spans, t, t)), no).alias("alive"),
                 F.coalesce(F.max(_live(spans, keys["lo"], keys["hi"])), no).alias("covered"),
             ),

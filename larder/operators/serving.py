@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.matching import total_rank
+from larder.operators.skew import sized_join
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -82,10 +83,11 @@ def first_batches(df: DataFrame, order: list[tuple[str, bool]], match: Column, s
 
 
 def placed_by(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """Adds ``place``: 1, 2, ... within each group by score descending, without bringing a group to one task."""
+    """Adds ``place``: 1, 2, ... within each group (not null) by score descending, without bringing a group to one task."""
     ranked = total_rank(df, F.lit(True), [(group, True), (score, False), (tie, True)], "_rank")
     first = ranked.groupBy(group).agg(F.min("_rank").alias("_first"))
-    return ranked.join(F.broadcast(first), group).withColumn("place", (F.col("_rank") - F.col("_first") + 1).cast("int")).drop("_rank", "_first")  # groups are labels
+    out = sized_join(ranked, first, [group])
+    return out.withColumn("place", (F.col("_rank") - F.col("_first") + 1).cast("int")).drop("_rank", "_first")
 
 
 def apply_swaps(active: DataFrame, changes: DataFrame) -> DataFrame:
