@@ -233,12 +233,14 @@ def segment_profile(spark: SparkSession, sf: str) -> DataFrame:
 def segment_top_ingredients(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    users = table(spark, sf, "dim_user").select("user_id", "cluster_id").filter("cluster_id is not null")
+    # both joins are shuffled: Spark takes lists and narrow rows for a small part of what they are and would broadcast them
+    users = table(spark, sf, "dim_user").select("user_id", "cluster_id").filter("cluster_id is not null").hint("merge")
     seen = clean_interactions(spark, sf).select("user_id", "recipe_id").distinct().join(users, "user_id").select(
         "cluster_id", F.col("recipe_id").alias("id")
     ).distinct()
-    e = recipes(spark, sf).select("id", F.explode("ingredients_canonical_list").alias("ingredient"))
-    n = seen.join(e, "id").groupBy("cluster_id", "ingredient").agg(F.count(F.lit(1)).alias("n"))
+    lists = recipes(spark, sf).select("id", "ingredients_canonical_list").hint("merge")
+    e = seen.join(lists, "id").select("cluster_id", F.explode("ingredients_canonical_list").alias("ingredient"))
+    n = e.groupBy("cluster_id", "ingredient").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("cluster_id").orderBy(F.col("n").desc(), "ingredient")
     return n.withColumn("place", F.row_number().over(w)).filter("place <= 5")
 
