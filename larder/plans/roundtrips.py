@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import zipfile
 from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ from larder.operators.tagging import tag_rows
 from larder.pipeline import APP_TABLES, build_once, load_app_table, run_if_new
 from larder.plans.cleaning import RECIPES, interactions, recipes
 from larder.plans.registry import Registry, table
-from larder.session import materialize, scratch_path
+from larder.session import file_system, materialize, scratch_path
 from larder.sources import readers as IO
 from larder.sources import tables as VT
 from larder.sources import writers as O
@@ -115,12 +117,44 @@ def archive_scan(spark: SparkSession, sf: str) -> DataFrame:
     return IO.read_csv(spark, f"file://{member}", schema)
 
 
+def _database(rows: DataFrame, table_name: str, types: list[str]) -> tuple[str, str]:
+    """URL and driver of an embedded database (it comes with Spark) that holds the few rows of a table; all executors can
+    open it.
+
+    Only one JVM may open such a database while it can be changed, and one in memory exists in one JVM alone. So the driver
+    fills it, shuts it down and packs it into an archive in the shared folder: from there it is read-only, for any JVM.
+    """
+    spark, driver = rows.sparkSession, "org.apache.derby.jdbc.EmbeddedDriver"
+    fs, folder = file_system(spark, scratch_path(spark, "database"))
+    at = fs.makeQualified(folder).toUri()
+    if at.getScheme() != "file":
+        raise RuntimeError("the database is a file: spark.checkpoint.dir must be a folder that all executors have mounted")
+    jvm, packed = spark.sparkContext._jvm, f"{at.getPath()}/db.zip"
+    open_at = lambda url: jvm.org.apache.derby.jdbc.EmbeddedDriver().connect(url, jvm.java.util.Properties())
+    with tempfile.TemporaryDirectory() as own:
+        con = open_at(f"jdbc:derby:{own}/db;create=true")
+        columns = ", ".join(f"{c} {t}" for c, t in zip(rows.columns, types, strict=True))
+        con.createStatement().execute(f"CREATE TABLE {table_name} ({columns})")
+        insert = con.prepareStatement(f"INSERT INTO {table_name} VALUES ({', '.join('?' * len(types))})")
+        for row in rows.collect():
+            for k, v in enumerate(row, 1):
+                insert.setObject(k, v)
+            insert.executeUpdate()
+        con.close()
+        try:
+            open_at(f"jdbc:derby:{own}/db;shutdown=true")
+        except Py4JJavaError as e:  # a shutdown that went well is reported in this way
+            if e.java_exception.getSQLState() != "08006":
+                raise
+        os.makedirs(os.path.dirname(packed), exist_ok=True)
+        shutil.make_archive(packed.removesuffix(".zip"), "zip", own)
+    return f"jdbc:derby:jar:({packed})db", driver
+
+
 @R.add("database_scan", "SELECT n_nationkey, n_name FROM nation")
 def database_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """A database table read in ranges of its key (an embedded database that comes with Spark stands in)."""
-    url, driver = f"jdbc:derby:memory:n{os.urandom(4).hex()};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
-    rows = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    rows.write.jdbc(url, "nation", properties={"driver": driver})
+    """A database table read in ranges of its key by the executors; 25 rows by nature."""
+    url, driver = _database(table(spark, sf, "nation").select("n_nationkey", "n_name"), "nation", ["INTEGER", "CLOB"])
     got = IO.read_jdbc(spark, url, "nation", "n_nationkey", (0, 25), 4, driver=driver)
     return materialize(got.select(F.col("N_NATIONKEY").alias("n_nationkey"), F.col("N_NAME").alias("n_name")), "database")
 
